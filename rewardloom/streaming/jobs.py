@@ -1,0 +1,150 @@
+"""Structured Streaming jobs over a growing table of generations or metric values."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from rewardloom.operators.reports import validation_report
+from rewardloom.operators.scoring import score
+from rewardloom.operators.trends import HISTORY, WINDOW
+from rewardloom.profiles import V2, Profile
+
+
+def read_stream(
+    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, max_files: int = 1000
+) -> DataFrame:
+    """New Parquet files below ``path``; ``max_files`` per trigger bounds a micro-batch, nothing is dropped."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.parquet(path)
+
+
+def _each_batch(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
+    return (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def _batch_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch to a folder of its own: a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def scoring_stream(
+    generations: DataFrame, path: str, checkpoint: str, profile: Profile = V2
+) -> StreamingQuery:
+    """Score new generations and append them to ``path``. Stateless; rewards are those of the batch job."""
+    return _each_batch(score(generations, profile=profile), _batch_folder(path), checkpoint)
+
+
+def windowed_metrics(metrics: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Statistics per time window and metric; rows later than the watermark are dropped."""
+    return (
+        metrics.withWatermark("ts", late)
+        .groupBy(F.window("ts", window), "metric")
+        .agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.stddev_pop("value").alias("std"),
+        )
+        .select(F.col("window.start").alias("window_start"), "metric", "n", "mean", "min", "max", "std")
+    )
+
+
+def running_counts(scored: DataFrame, keys: tuple[str, ...] = ("run", "step")) -> DataFrame:
+    """Correct and total answers so far per key; the state is two numbers per key."""
+    return scored.groupBy(*keys).agg(
+        F.count_if(F.col("correctness") > 0).alias("correct"), F.count("*").alias("total")
+    )
+
+
+def updates_stream(aggregated: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the changed groups of every micro-batch; :func:`latest_updates` reads the current state."""
+    return _each_batch(aggregated, _batch_folder(path), checkpoint, "update")
+
+
+def latest_updates(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    rows = spark.read.parquet(path)
+    fields = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch_id").alias("r"))
+    return newest.select(*keys, "r.*")
+
+
+def _newest(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    return rows.sort_values("step").tail(n)
+
+
+def running_trends(metrics: DataFrame, window: int = WINDOW, history: int = HISTORY) -> DataFrame:
+    """Trend of each metric over its newest values, updated by every micro-batch.
+
+    The state of a metric is its newest ``history`` values. They are found batch by batch before the shuffle, so a
+    metric with a large part of all rows sends no more than ``history`` rows per Arrow batch to its task.
+    """
+    wanted = metrics.select("metric", F.col("step").cast("bigint"), F.col("value").cast("double"))
+
+    def newest_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values("step").groupby("metric", sort=False).tail(history)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        steps, values = state.get if state.exists else ([], [])
+        kept = pd.DataFrame({"step": list(steps), "value": list(values)}).astype({"step": "int64", "value": "float64"})
+        for rows in batches:
+            kept = _newest(pd.concat([kept, rows[["step", "value"]]]), history)
+        state.update((kept["step"].tolist(), kept["value"].tolist()))
+        recent = kept["value"].tail(window).reset_index(drop=True)
+        at = pd.Series(range(len(recent)), dtype="float64")
+        slope = recent.cov(at) / at.var() if len(recent) > 1 else 0.0
+        yield pd.DataFrame({
+            "metric": [key[0]], "mean": [recent.mean()], "median": [recent.median()], "min": [recent.min()],
+            "max": [recent.max()], "std": [recent.std(ddof=0)], "count": [len(recent)], "trend": [slope],
+        })
+
+    fields = "mean double, median double, min double, max double, std double, count bigint, trend double"
+    return (
+        wanted.mapInPandas(newest_only, "metric string, step bigint, value double")
+        .groupBy("metric")
+        .applyInPandasWithState(
+            update, f"metric string, {fields}", "steps array<bigint>, vals array<double>", "update",
+            GroupStateTimeout.NoTimeout,
+        )
+    )
+
+
+def periodic_validation(samples: DataFrame, path: str, checkpoint: str, order: str = "sample_id") -> StreamingQuery:
+    """A validation report for each batch of new samples. A query runs one batch at a time, so reports never overlap."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # persist is enough here: a lost block is computed again from the batch's files.
+        batch = batch.persist()
+        validation_report(batch, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return _each_batch(samples, write, checkpoint)
+
+
+def without_redelivery(
+    generations: DataFrame, ts: str = "timestamp", late: str = "1 day", keys=("question_id", "run", "global_step")
+) -> DataFrame:
+    """Drop rows that arrive again within the watermark."""
+    return generations.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
