@@ -1,6 +1,13 @@
 """Generation scoring and training telemetry as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
+from rewardloom.operators.scoring import Rewards, score
 from rewardloom.profiles import SOLUTION_TAGS, V1, V2, Profile
-from rewardloom.operators.scoring import score
 
-__all__ = ["Profile", "SOLUTION_TAGS", "V1", "V2", "score"]
+# Functions handed to Spark's Python workers travel with their code: the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = ["Profile", "Rewards", "SOLUTION_TAGS", "V1", "V2", "score"]

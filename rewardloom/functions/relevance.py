@@ -26,12 +26,13 @@ def terms(text: Column) -> Column:
 def majority_script(text: Column, p: Profile = V2) -> Column:
     """The script most letters belong to; on a tie the one seen first; 'Unknown' without letters."""
 
-    def tally(script: str) -> Column:
-        pattern = f"\\p{{Is{script}}}"
-        n = F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-        return F.struct(n.alias("n"), (-F.regexp_instr(text, F.lit(pattern))).alias("first"), F.lit(script).alias("s"))
+    def tally(script: Column) -> Column:
+        pattern = F.concat(F.lit("\\p{Is"), script, F.lit("}"))
+        n = F.length(text) - F.length(F.regexp_replace(text, pattern, F.lit("")))
+        return F.struct(n.alias("n"), (-F.regexp_instr(text, pattern)).alias("first"), script.alias("s"))
 
-    best = let(F.array_max(F.array(*[tally(s) for s in p.scripts])), lambda b: F.when(b["n"] > 0, b["s"]))
+    tallies = F.transform(F.array(*map(F.lit, p.scripts)), tally)
+    best = let(F.array_max(tallies), lambda b: F.when(b["n"] > 0, b["s"]))
     latin_only = F.when(text.rlike(r"\p{IsLatin}"), "Latin")
     foreign = script_class(s for s in p.scripts if s != "Latin")
     has_foreign = maybe_foreign(text) & text.rlike(foreign)

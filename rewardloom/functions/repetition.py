@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,15 +145,10 @@ def script_changes(codes: Column) -> Column:
 def _legitimate(changes: Column, p: Profile) -> Column:
     """Ordinary multilingual text. The counts are taken over the list of changes, not over the characters."""
     n = F.length(changes)
-    enough = [
-        (occurrences(changes, code) == 0) | (occurrences(changes, code) >= p.min_script_chars)
-        for code in _CODES[: len(p.scripts)]
-    ]
-    return (
-        (n - 1 <= p.max_consecutive_changes)
-        & (n / (n + 1) >= p.min_script_ratio)
-        & reduce(lambda a, b: a & b, enough)
+    often_enough = F.forall(
+        F.array_distinct(F.split(changes, "")), lambda code: occurrences(changes, code) >= p.min_script_chars
     )
+    return (n - 1 <= p.max_consecutive_changes) & (n / (n + 1) >= p.min_script_ratio) & often_enough
 
 
 def mixed_script_segments(text: Column, p: Profile = V2) -> Column:
@@ -326,16 +322,18 @@ def detector_counts(text: Column, p: Profile = V2) -> Column:
 
 def penalty(counts: Column, math: Column, p: Profile = V2) -> Column:
     """Logarithmic penalty of each detector beyond the tolerated count; a struct of counts in, a reward out."""
+    threshold = F.when(math, p.math_context.threshold).otherwise(p.general_context.threshold)
+    log_base = F.when(math, log(p.math_context.log_base)).otherwise(log(p.general_context.log_base))
 
-    def one(name: str, weight: float) -> Column:
-        def beyond(context) -> Column:
-            excess = counts[name] - context.threshold
-            return F.when(excess > 0, F.log(context.log_base, excess + 1) * weight).otherwise(0.0)
+    def total(context: Column) -> Column:
+        def one(name: str, weight: float) -> Column:
+            return F.ln(F.greatest(counts[name] - context["threshold"], F.lit(0)) + 1) * weight
 
-        return F.when(math, beyond(p.math_context)).otherwise(beyond(p.general_context))
+        weighted = reduce(lambda a, b: a + b, [one(name, weight) for name, weight in p.repetition_weights])
+        return weighted / context["log_base"]
 
-    total = reduce(lambda a, b: a + b, [one(name, weight) for name, weight in p.repetition_weights])
-    return F.greatest(0.0 - total * p.repetition_scale, F.lit(p.repetition_floor))
+    context = F.struct(threshold.alias("threshold"), log_base.alias("log_base"))
+    return F.greatest(0.0 - let(context, total) * p.repetition_scale, F.lit(p.repetition_floor))
 
 
 def anti_repetition(text: Column, p: Profile = V2) -> Column:

@@ -17,55 +17,77 @@ from rewardloom.functions.text import n_words, words
 from rewardloom.operators.keys import join_on
 from rewardloom.profiles import V2, Profile
 
-MEDIAN_BINS = 4096
+# Bins of the median search per doubling of the magnitude.
+BINS_PER_DOUBLING = 256
+NAN_BIN = 1 << 62
+
+
+def _bin(v: Column) -> Column:
+    """A bin number that never falls as the value grows and depends on nothing else; NaN sorts last."""
+    magnitude = F.log2(F.abs(v) + 1) * BINS_PER_DOUBLING
+    return F.when(F.isnan(v), F.lit(NAN_BIN)).otherwise(F.floor(F.signum(v) * magnitude))
+
+
+def _anchor(bin_number: Column) -> Column:
+    return F.signum(bin_number) * (F.pow(F.lit(2.0), F.abs(bin_number) / BINS_PER_DOUBLING) - 1)
 
 
 def statistics(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Count, mean, exact median, min, max and population deviation per group, in one pass over the input.
 
     Values are counted first: ties collapse before the shuffle, and a hot group is spread over its values. The
-    median is looked up through equal-width bins: only the one or two bins that hold the middle ranks are ordered.
+    moments come from narrow bins of the counted values. The median is looked up through the bins too: only the one
+    or two bins that hold the middle ranks are put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("c")
+    keys = list(keys)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("v"))
+        .agg(F.count("*").alias("c"))
+        .withColumn("bin", _bin(F.col("v")))
     )
-    spans = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
+    off = F.col("v") - _anchor(F.col("bin"))
+    bins = counts.groupBy(*keys, "bin").agg(
+        F.sum("c").alias("k"),
+        F.sum(F.col("c") * off).alias("s1"),
+        F.sum(F.col("c") * off * off).alias("s2"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
     )
-    width = F.col("max") - F.col("min")
-    bin_of = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("min")) / width * MEDIAN_BINS),
-                                       F.lit(MEDIAN_BINS - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
-    binned = join_on(counts, spans, keys).withColumn("bin", bin_of)
-    bins = binned.groupBy(*keys, "bin").agg(
-        F.sum("c").alias("in_bin"),
-        F.sum(F.col("c") * F.pow(F.col("v") - F.col("mean"), 2)).alias("sq"),
-        *[F.first(c).alias(c) for c in ("n", "mean", "min", "max")],
+    group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin")
+    bins = bins.withColumn("m", _anchor(F.col("bin")) + F.col("s1") / F.col("k")).withColumns({
+        "n": F.sum("k").over(group),
+        "mean": F.sum(F.col("m") * F.col("k")).over(group) / F.sum("k").over(group),
+        "upto": F.sum("k").over(ordered),
+    })
+    inside = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("k"), F.lit(0.0))
+    between = F.col("k") * F.pow(F.col("m") - F.col("mean"), 2)
+    ranks = {"lower": F.floor((F.col("n") + 1) / 2), "upper": F.floor(F.col("n") / 2) + 1}
+    before = F.col("upto") - F.col("k")
+
+    def holder(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") >= rank) & (before < rank), F.struct("bin", before.alias("before"))))
+
+    groups = bins.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+        F.sqrt(F.sum(inside + between) / F.first("n")).alias("std"),
+        F.array_distinct(F.array(*[holder(rank) for rank in ranks.values()])).alias("middle"),
     )
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    ordered = Window.partitionBy(*keys).orderBy("bin")
-    middle = (
-        bins.withColumn("upto", F.sum("in_bin").over(ordered))
-        .where((F.col("upto") >= lower) & (F.col("upto") - F.col("in_bin") < upper))
-        .select(*keys, "bin", (F.col("upto") - F.col("in_bin")).alias("before"))
+    stats = ("n", "mean", "min", "max", "std")
+    middle = groups.select(*keys, *stats, F.inline("middle"))
+    covered = join_on(counts, middle, [*keys, "bin"]).withColumn(
+        "at", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
     )
-    at = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
-    covered = join_on(binned, middle, [*keys, "bin"]).withColumn("at", at)
 
     def covers(rank: Column) -> Column:
         return ((F.col("at") >= rank) & (F.col("at") - F.col("c") < rank)).cast("int")
 
-    medians = covered.groupBy(*keys).agg(
-        (F.sum(F.col("v") * (covers(lower) + covers(upper))) / 2).alias("median")
-    )
-    spread = bins.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.first(c).alias(c) for c in ("mean", "min", "max")],
-        F.sqrt(F.sum("sq") / F.first("n")).alias("std"),
+    hits = covers(ranks["lower"]) + covers(ranks["upper"])
+    return (
+        covered.groupBy(*keys)
+        .agg(*[F.first(c).alias(c) for c in stats], (F.sum(F.when(hits > 0, F.col("v") * hits)) / 2).alias("median"))
+        .select(*keys, "n", "mean", "median", "min", "max", "std")
     )
-    return join_on(spread, medians, keys).select(*keys, "n", "mean", "median", "min", "max", "std")
 
 
 def length_statistics(df: DataFrame, text: str = "model_output", keys: list[str] = ()) -> DataFrame:
@@ -86,7 +108,7 @@ def token_entropy(df: DataFrame, text: str, keys: list[str] = (), tokenizer=word
     """
     tokens = df.select(*keys, F.explode_outer(tokenizer(F.col(text))).alias("token"))
     counts = tokens.groupBy(*keys, "token").agg(F.count("token").alias("n"))
-    entropy = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
+    entropy = F.log2(F.sum("n")) - F.try_divide(F.sum(F.col("n") * F.log2("n")), F.sum("n"))
     return counts.groupBy(*keys).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_tokens"),
         F.coalesce(F.when(F.sum("n") > 0, entropy), F.lit(0.0)).alias("token_entropy"),
@@ -110,7 +132,7 @@ def reasoning_answer_ratio(df: DataFrame, text: str, keys: list[str] = (), p: Pr
     both = F.col("r").isNotNull() & F.col("a").isNotNull()
     return means.select(
         *keys,
-        F.when(both & (F.col("a") > 0), F.col("r") / F.col("a")).otherwise(0.0).alias("reasoning_to_answer_ratio"),
+        F.when(both & (F.col("a") > 0), F.try_divide("r", "a")).otherwise(0.0).alias("reasoning_to_answer_ratio"),
         F.when(both, F.col("r")).otherwise(0.0).alias("avg_reasoning_length"),
         F.when(both, F.col("a")).otherwise(0.0).alias("avg_answer_length"),
     )
@@ -185,15 +207,21 @@ def kl_divergence(
 
 
 def correlations(df: DataFrame, names: list[str], keys: list[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair of reward columns, from one aggregation."""
+    """Pearson correlation of every pair of reward columns, from one aggregation; NULL if one of them is constant."""
     pairs = list(combinations(names, 2))
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+
+    def correlation(a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        spread = [F.stddev_pop(F.when(both, F.col(c))) for c in (a, b)]
+        return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+    wide = df.groupBy(*keys).agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot([F.col(k) for k in keys], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "correlation")
     return long.select(
         *keys,
         F.substring_index("pair", "|", 1).alias("reward_a"),
         F.substring_index("pair", "|", -1).alias("reward_b"),
-        F.when(~F.isnan("correlation"), F.col("correlation")).alias("correlation"),
+        "correlation",
     )
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import answers, formats, relevance, repetition
-from rewardloom.functions.extract import last_number, sections, validation_answer
-from rewardloom.functions.text import py_float, sentences
+from rewardloom.functions.extract import last_number, validation_answer
+from rewardloom.functions.text import py_float
+from rewardloom.operators.pairing import pair_similarities, question_sentence_pairs
 from rewardloom.operators.scoring import BUILT_IN, Rewards, score, to_long, to_wide
 from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
@@ -88,9 +89,9 @@ from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i
     ("candidates", """
 select doc_id, phrase, count(*) as positions from grams join keys using (doc_id, size, key)
 where length(phrase) <= 50 group by doc_id, phrase"""),
-    ("repeated", f"""
-select doc_id, phrase, positions, {q.occurrences('text', 'phrase')} as n from candidates join lists using (doc_id)
-where {q.occurrences('text', 'phrase')} >= 3"""),
+    ("counted", f"""
+select doc_id, phrase, positions, {q.occurrences('text', 'phrase')} as n from candidates join lists using (doc_id)"""),
+    ("repeated", "select * from counted where n >= 3"),
 ]
 WHITE = " or ".join(f"regexp_matches(phrase, {q.lit(p)})" for p in V2.whitelist)
 
@@ -320,7 +321,8 @@ def r19(t: Tables) -> DataFrame:
 
 
 @query("e1_custom_reward", f"""
-select run, sample_id, round({R1} + length(question) * 0.001, 6) as total_reward from generations""")
+select run, sample_id, round(cast({R1} as double) + length(question) * cast(0.001 as double), 6) as total_reward
+from generations""")
 def e1(t: Tables) -> DataFrame:
     """A reward of the user's own, in the slow form: an Arrow UDF over the columns it names."""
 
@@ -385,12 +387,6 @@ left join sims ps on ps.id = s.id * 1000000 + pos * 2 + 1""", [
     *RELEVANCE_STEPS[2:-1],
 ])
 def j5(t: Tables) -> DataFrame:
-    from rewardloom.operators.pairing import pair_similarities, question_sentence_pairs
-
     pairs = pair_similarities(question_sentence_pairs(t.turns, "question", "body", "sample_id"))
     return pairs.withColumns({c: F.round(c, 6) for c in ("to_question", "to_previous")})
 
-
-def reasoning_sentences(t: Tables) -> DataFrame:
-    reasoning, _, _ = sections(OUT)
-    return t.generations.select(*KEY, F.posexplode(sentences(reasoning, V2.sentence_pattern)).alias("pos", "sentence"))

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Reward columns are large expressions; recording the Python call site of every node doubles their building time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
