@@ -32,7 +32,8 @@ def tag_count(text: Column, p: Profile = V2) -> Column:
     """A share per well-placed tag, less a little for every character behind the end."""
 
     def trailing(end: str) -> Column:
-        return F.length(F.substring_index(text, end, -1))
+        # Splits go from left to right, which matters where two ends share a line break.
+        return F.length(F.element_at(F.split(text, literal_pattern(end)), -1))
 
     opened = count_is_one(text, f"\n{p.answer_open}\n")
     closed = count_is_one(text, f"\n{p.answer_close}")

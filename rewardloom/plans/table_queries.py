@@ -423,11 +423,10 @@ def w4(t: Tables) -> DataFrame:
 
 
 @query("w5_moving_average", """
-select metric, step, round(avg(value) over w, 6) as moving_average,
+select metric, original as step, round(avg(value) over w, 9) as moving_average,
   case when count(*) over w < 2 then 0 else round(regr_slope(value, step) over w, 6) end as moving_slope
-from (select metric, value, step as s, row_number() over (partition by metric order by step) as step from metric_log)
-window w as (partition by metric order by step rows between 99 preceding and current row)""".replace(
-    "select metric, step, round(avg(value) over w, 6)", "select metric, s as step, round(avg(value) over w, 9)"))
+from (select metric, value, step as original, row_number() over (partition by metric order by step) as step from metric_log)
+window w as (partition by metric order by step rows between 99 preceding and current row)""")
 def w5(t: Tables) -> DataFrame:
     moved = trends.moving_average(t.metric_log, width=2000)
     # Averages of up to 100 values with two decimals: nine digits, so that none ends in a tie.
