@@ -1,0 +1,18 @@
+"""How tables lie in partitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan over all cores if it comes in fewer partitions.
+
+    Scans are cut by bytes, which suits reading; scoring a text costs far more per byte than reading it. A table in a
+    few files is therefore hash-partitioned on ``keys``, which must be unique enough to spread. A scan that already
+    has a partition per core, as any large table has, is left as it is: no shuffle. Use it on plain scans only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -84,7 +84,7 @@ def moving_average(
     value: str = "value",
     width: int = WIDTH,
 ) -> DataFrame:
-    """Average and slope of the last ``n`` values up to each row.
+    """Average and slope of the last ``n`` values up to each row; values are never NULL in a metric's history.
 
     Rows are cut into blocks by position; the last ``n - 1`` rows of a block are copied into the next one, so every
     frame is whole inside one block and a long series is spread over many tasks.
@@ -97,14 +97,16 @@ def moving_average(
     copies = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))
     spread = positions.withColumn("__home", home).withColumn("__block", F.explode(copies))
     frame = Window.partitionBy(*keys, "__block").orderBy("__rank").rowsBetween(1 - n, 0)
+    # The slope against consecutive positions needs one more sum only: the spread of the positions is known.
+    at = F.pmod(F.col("__rank"), F.lit(block)) + F.when(F.col("__home") < F.col("__block"), 0).otherwise(block)
+    held = F.least(F.col("__rank") + 1, F.lit(n))
+    tilt = F.col("__weighted") - (at - (held - 1) / 2) * F.col("moving_average") * held
+    slope = F.when(held > 1, tilt * 12 / (held * (held * held - 1))).otherwise(0.0)
     return (
-        spread.withColumn("moving_average", F.avg(value).over(frame))
-        .withColumn(
-            "moving_slope",
-            F.coalesce(F.regr_slope(F.col(value), F.col("__rank").cast("double")).over(frame), F.lit(0.0)),
-        )
+        spread.withColumns({"moving_average": F.avg(value).over(frame), "__weighted": F.sum(F.col(value) * at).over(frame)})
         .where(F.col("__home") == F.col("__block"))
-        .drop("__rank", "__home", "__block")
+        .withColumn("moving_slope", slope)
+        .drop("__rank", "__home", "__block", "__weighted")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom import session
+from rewardloom.operators.layout import spread
 
 
 class Tables:
@@ -24,11 +25,11 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread(self.read("documents"), "doc_id")
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self.read("conversations")
+        return spread(self.read("conversations"), "conv_id", "turn")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -85,7 +86,9 @@ class Tables:
     @cached_property
     def typed_answers(self) -> DataFrame:
         """``sample_id, answer_type, category, target, model_answer``, one row per order."""
-        return self.spark.sql(TYPED_ANSWERS.replace("from orders", "from {orders}"), orders=self.read("orders"))
+        return self.spark.sql(
+            TYPED_ANSWERS.replace("from orders", "from {orders}"), orders=spread(self.read("orders"), "o_orderkey")
+        )
 
     @cached_property
     def metric_log(self) -> DataFrame:

@@ -16,11 +16,10 @@ from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
 from rewardloom.plans.sources_queries import EVALUATED
-from rewardloom.plans.text_queries import CUSTOM, KEY, OUT, SOLUTIONS, solution_tagged
+from rewardloom.plans.text_queries import CUSTOM, KEY, output, SOLUTIONS, solution_tagged
 from rewardloom.profiles import PROFILES, SOLUTION_TAGS, THINK_TAGS, V1, V2
 from rewardloom.schemas import REWARDS
 
-TEXT = F.col("text")
 
 
 def reward(name: str, profile=V2):
@@ -51,7 +50,7 @@ query("r6_anti_repetition")(reward("anti_repetition"))
 
 def detector(name: str):
     def run(t: Tables) -> DataFrame:
-        return t.documents.select("doc_id", repetition.DETECTORS[name](TEXT, V2, None).alias("weight"))
+        return t.documents.select("doc_id", repetition.DETECTORS[name](F.col("text"), V2, None).alias("weight"))
 
     return run
 
@@ -110,7 +109,7 @@ from repeated join documents using (doc_id) where regexp_matches(phrase, '\\b(an
        PHRASE_STEPS)
 def k8(t: Tables) -> DataFrame:
     """Repeated phrases that were let pass, with the start of their text, as a side table of the repetition reward."""
-    found = F.filter(repetition.repeated_phrases(TEXT, AUDIT), lambda c: c["whitelisted"])
+    found = F.filter(repetition.repeated_phrases(F.col("text"), AUDIT), lambda c: c["whitelisted"])
     excerpt = F.concat(F.substring("text", 1, 500), F.when(F.length("text") > 500, "...").otherwise(""))
     rows = t.documents.select("doc_id", excerpt.alias("excerpt"), F.explode(found).alias("c"))
     return rows.select("doc_id", "excerpt", "c.phrase", "c.n", "c.positions")
@@ -118,7 +117,7 @@ def k8(t: Tables) -> DataFrame:
 
 @query("r6_detector_counts")
 def r6_counts(t: Tables) -> DataFrame:
-    counted = t.generations.select(*KEY, repetition.detector_counts(OUT).alias("c"))
+    counted = t.generations.select(*KEY, repetition.detector_counts(output()).alias("c"))
     return counted.select(*KEY, "c.*")
 
 
@@ -149,7 +148,7 @@ select run, sample_id, greatest(length(reasoning) - 500, 0) as reasoning_excess,
     - len({q.sentences('post')}) * 0.3 - coalesce(off_topic, 0) * 0.2 - coalesce(drifts, 0) * 0.5 as double), 6) as reward
 from parts left join misses using (id)""", RELEVANCE_STEPS)
 def r7(t: Tables) -> DataFrame:
-    g = t.generations.withColumn("p", relevance.relevance_parts(F.col("question"), OUT))
+    g = t.generations.withColumn("p", relevance.relevance_parts(F.col("question"), output()))
     return g.select(*KEY, "p.*", F.round(relevance.relevance_penalty(F.col("p")), 6).alias("reward"))
 
 
@@ -279,14 +278,14 @@ select run, sample_id, lower({q.strip(f'''case when regexp_matches(model_output,
 @query("r16_validation_correctness", VALIDATED)
 def r16(t: Tables) -> DataFrame:
     return t.generations.select(
-        *KEY, answers.matches_expected(validation_answer(OUT), F.col("answer")).alias("is_correct")
+        *KEY, answers.matches_expected(validation_answer(output()), F.col("answer")).alias("is_correct")
     )
 
 
 @query("r17_numeric_correctness", "select run, sample_id, predicted_answer, is_correct from evaluated",
        [("evaluated", EVALUATED)])
 def r17(t: Tables) -> DataFrame:
-    rows = t.generations.withColumn("predicted_answer", last_number(OUT))
+    rows = t.generations.withColumn("predicted_answer", last_number(output()))
     return rows.select(
         *KEY, "predicted_answer",
         answers.near(F.col("predicted_answer"), py_float(F.col("answer"))).alias("is_correct"),
@@ -314,9 +313,9 @@ select run, sample_id, cast({R3} as double) as strict_format, cast({R4} as doubl
 def r19(t: Tables) -> DataFrame:
     g = t.generations.withColumn("model_output", F.expr(THINK))
     return g.select(
-        *KEY, formats.strict_format(OUT, THINK_TAGS).alias("strict_format"),
-        formats.soft_format(OUT, THINK_TAGS).alias("soft_format"),
-        F.round(formats.tag_count(OUT, THINK_TAGS), 6).alias("tag_count"),
+        *KEY, formats.strict_format(output(), THINK_TAGS).alias("strict_format"),
+        formats.soft_format(output(), THINK_TAGS).alias("soft_format"),
+        F.round(formats.tag_count(output(), THINK_TAGS), 6).alias("tag_count"),
     )
 
 

@@ -13,7 +13,7 @@ from rewardloom.plans.registry import query
 from rewardloom.plans.reward_queries import R1, R2, R3, R4, R5
 from rewardloom.plans.sources_queries import LOG_SQL, log_table
 from rewardloom.plans.table_queries import CORRECT, ISSUES, TREND, TREND_FIELDS, VALIDATION, rounded, validation_input
-from rewardloom.plans.text_queries import OUT
+from rewardloom.plans.text_queries import output
 from rewardloom.schemas import REWARDS
 from rewardloom.sources import generate
 from rewardloom.streaming import jobs
@@ -87,7 +87,7 @@ select run, step, count(*) filter (correctness > 0) as correct, count(*) as tota
        [("c", CORRECT)])
 def t5(t: Tables) -> DataFrame:
     out = t.work("counts")
-    stream = generation_stream(t).withColumn("correctness", correctness(OUT, F.col("answer")))
+    stream = generation_stream(t).withColumn("correctness", correctness(output(), F.col("answer")))
     jobs.updates_stream(jobs.running_counts(stream), out, t.work("checkpoint")).awaitTermination()
     return jobs.latest_updates(t.spark, out, ("run", "step"))
 

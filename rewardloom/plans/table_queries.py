@@ -14,9 +14,10 @@ from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
 from rewardloom.plans.reward_queries import LONG, PLAIN, R1, R2, R3, R4, R5, long_rewards
 from rewardloom.plans.sources_queries import EVALUATED
-from rewardloom.plans.text_queries import KEY, OUT
+from rewardloom.plans.text_queries import KEY, output
 from rewardloom.profiles import V2
 from rewardloom.schemas import REWARDS
+from rewardloom.sources.logs import stored
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -124,7 +125,7 @@ def j7_retry(t: Tables) -> DataFrame:
 select run, step, reward_name, {q.statistics('value')} from long group by run, step, reward_name""", [("long", LONG)])
 def a2(t: Tables) -> DataFrame:
     """The flagship: extraction, five rewards in one pass, statistics per run, step and reward."""
-    stats = metrics.statistics(long_rewards(t), ["run", "step", "reward_name"])
+    stats = metrics.statistics(stored(long_rewards(t), t.work("rewards")), ["run", "step", "reward_name"])
     return rounded(stats, "mean", "median", "min", "max", "std")
 
 
@@ -462,7 +463,7 @@ select run, sample_id, pos - 1 as pos, sentence, lag(sentence) over (partition b
 from (select run, sample_id, unnest(l) as sentence, generate_subscripts(l, 1) as pos from (
   select run, sample_id, {q.sentences(q.section('model_output', '<reasoning>', '</reasoning>'))} as l from generations))""")
 def w8(t: Tables) -> DataFrame:
-    reasoning, _, _ = sections(OUT)
+    reasoning, _, _ = sections(output())
     rows = t.generations.select(*KEY, F.posexplode(sentences(reasoning, V2.sentence_pattern)).alias("pos", "sentence"))
     keyed = rows.withColumn("sample", F.struct(*KEY))
     paired = pairing.previous_sentence(keyed, "sample", "pos")
@@ -600,7 +601,8 @@ def a17_steps(t: Tables) -> DataFrame:
 
 @query("a2_full_scoring")
 def a2_full(t: Tables) -> DataFrame:
-    """All seven rewards and the total, rolled up per run, step and reward."""
+    """All seven rewards and the total, stored as the long reward table and rolled up per run, step and reward."""
     names = (*REWARDS, "total_reward")
     long = score(t.generations).unpivot(["run", "step"], list(names), "reward_name", "value")
-    return rounded(metrics.statistics(long, ["run", "step", "reward_name"]), "mean", "median", "min", "max", "std")
+    stats = metrics.statistics(stored(long, t.work("rewards")), ["run", "step", "reward_name"])
+    return rounded(stats, "mean", "median", "min", "max", "std")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions import extract as x
@@ -16,7 +16,12 @@ from rewardloom.plans.registry import query
 from rewardloom.plans.sources_queries import PART, RENDERED
 from rewardloom.profiles import SOLUTION_TAGS, SYSTEM_PROMPT
 
-OUT = F.col("model_output")
+
+
+def output() -> Column:
+    return F.col("model_output")
+
+
 KEY = ("run", "sample_id")
 
 
@@ -106,7 +111,7 @@ def p9(t: Tables) -> DataFrame:
     nested = t.generations.where("run = 'base'").withColumn(
         "completion", F.array(F.struct(F.lit("assistant").alias("role"), F.col("model_output").alias("content")))
     )
-    plain = t.generations.where("run = 'tuned'").withColumn("completion", OUT)
+    plain = t.generations.where("run = 'tuned'").withColumn("completion", output())
     return nested.select(*KEY, p.normalised_completion(nested).alias("model_output")).unionByName(
         plain.select(*KEY, p.normalised_completion(plain).alias("model_output"))
     )
@@ -137,19 +142,19 @@ def p11(t: Tables) -> DataFrame:
 
 @query("x1_tagged_answer", f"select run, sample_id, {q.tagged_answer('model_output')} as answer from generations")
 def x1(t: Tables) -> DataFrame:
-    return t.generations.select(*KEY, x.tagged_answer(OUT).alias("answer"))
+    return t.generations.select(*KEY, x.tagged_answer(output()).alias("answer"))
 
 
 @query("x2_answer_with_fallbacks", f"select run, sample_id, {q.answer('model_output')} as answer from generations")
 def x2(t: Tables) -> DataFrame:
-    return t.generations.select(*KEY, x.answer_with_fallbacks(OUT).alias("answer"))
+    return t.generations.select(*KEY, x.answer_with_fallbacks(output()).alias("answer"))
 
 
 @query("x3_reasoning_and_answer", f"""
 select run, sample_id, {q.first_between('model_output', '<reasoning>', '</reasoning>')} as reasoning,
   {q.first_between('model_output', '<answer>', '</answer>')} as answer from generations""")
 def x3(t: Tables) -> DataFrame:
-    reasoning, answer = x.reasoning_and_answer(OUT)
+    reasoning, answer = x.reasoning_and_answer(output())
     return t.generations.select(*KEY, reasoning.alias("reasoning"), answer.alias("answer"))
 
 
@@ -158,7 +163,7 @@ select run, sample_id, {q.section('model_output', '<reasoning>', '</reasoning>')
   {q.section('model_output', '<answer>', '</answer>')} as answer, {q.post_answer('model_output')} as post
 from generations""")
 def x4(t: Tables) -> DataFrame:
-    reasoning, answer, post = x.sections(OUT)
+    reasoning, answer, post = x.sections(output())
     return t.generations.select(*KEY, reasoning.alias("reasoning"), answer.alias("answer"), post.alias("post"))
 
 
@@ -186,14 +191,14 @@ select run, sample_id, case when regexp_matches(model_output, '(?s)<answer>(.*?)
   then {q.first_between('model_output', '<answer>', '</answer>')} else {q.strip('model_output')} end as answer
 from generations""")
 def x7(t: Tables) -> DataFrame:
-    return t.generations.select(*KEY, x.validation_answer(OUT).alias("answer"))
+    return t.generations.select(*KEY, x.validation_answer(output()).alias("answer"))
 
 
 @query("x8_tag_content", f"""
 select run, sample_id, case when regexp_matches(model_output, '(?s)<reasoning>(.*?)</reasoning>')
   then {q.first_between('model_output', '<reasoning>', '</reasoning>')} end as content from generations""")
 def x8(t: Tables) -> DataFrame:
-    return t.generations.select(*KEY, x.tag_content(OUT, "reasoning").alias("content"))
+    return t.generations.select(*KEY, x.tag_content(output(), "reasoning").alias("content"))
 
 
 VARIABLES = (
@@ -222,7 +227,7 @@ def x10(t: Tables) -> DataFrame:
 
 def solution_tagged(t: Tables) -> DataFrame:
     """Generations with the tag names of the ``solution_tags`` profile."""
-    renamed = OUT
+    renamed = output()
     for old, new in zip(q.TAGS, SOLUTION_TAGS.tags):
         renamed = F.replace(renamed, F.lit(old), F.lit(new))
     return t.generations.withColumn("model_output", renamed)
@@ -239,14 +244,14 @@ CUSTOM = "(?ms)^\\s*<start_working_out>.+?<end_working_out>.*?<SOLUTION>(.+?)</S
 select run, sample_id, case when regexp_matches(o, '{CUSTOM}') then regexp_extract(o, '{CUSTOM}', 1) end as answer
 from solutions""", [("solutions", SOLUTIONS)])
 def x11(t: Tables) -> DataFrame:
-    return solution_tagged(t).select(*KEY, x.custom_answer(OUT, SOLUTION_TAGS).alias("answer"))
+    return solution_tagged(t).select(*KEY, x.custom_answer(output(), SOLUTION_TAGS).alias("answer"))
 
 
 @query("x12_first_number_after_tag", """
 select run, sample_id, nullif(regexp_extract(o, '(?s)<SOLUTION>.*?([\\d.]+)', 1), '') as number from solutions""",
        [("solutions", SOLUTIONS)])
 def x12(t: Tables) -> DataFrame:
-    return solution_tagged(t).select(*KEY, x.first_number_after(OUT, "<SOLUTION>").alias("number"))
+    return solution_tagged(t).select(*KEY, x.first_number_after(output(), "<SOLUTION>").alias("number"))
 
 
 @query("x13_question_id", """
@@ -295,5 +300,5 @@ select run, sample_id, {BALANCED} as is_balanced, {q.is_digits(f"({q.answer('mod
 from generations""")
 def x14_balance(t: Tables) -> DataFrame:
     return t.generations.select(
-        *KEY, tags_balanced(OUT).alias("is_balanced"), is_digits(x.answer_with_fallbacks(OUT)).alias("is_integer")
+        *KEY, tags_balanced(output()).alias("is_balanced"), is_digits(x.answer_with_fallbacks(output())).alias("is_integer")
     )

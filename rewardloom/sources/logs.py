@@ -31,6 +31,12 @@ def write_log(df: DataFrame, path: str, now: Column | None = None) -> None:
     log_rows(df, now).write.mode("append").partitionBy("run").parquet(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back: what follows reads plain columns instead of scoring every text again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
