@@ -61,7 +61,12 @@ def read_csv_logs(spark: SparkSession, *paths: str) -> DataFrame:
     )
     texts = [f.name for f in GENERATION_LOG if f.dataType.typeName() == "string"]
     filled = raw.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
-    return filled.withColumn("run", F.url_decode(F.regexp_extract("log_file", "run=([^/]+)", 1)))
+
+    def decoded(c: Column) -> Column:
+        return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+    # A folder name escapes the run's special characters, and the file's address escapes the folder's.
+    return filled.withColumn("run", decoded(decoded(F.regexp_extract("log_file", "run=([^/]+)", 1))))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
