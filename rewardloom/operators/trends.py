@@ -138,7 +138,7 @@ def running_accuracy(
 
 def auto_step(
     df: DataFrame, keys: list[str] = ("tag",), order: list[str] = ("ts", "id"), bucket: Column | None = None,
-    width: int = WIDTH,
+    width: int = 600,
 ) -> DataFrame:
     """Number the rows of every tag 0, 1, 2, ... where no step was given.
 

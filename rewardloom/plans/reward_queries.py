@@ -17,7 +17,7 @@ from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
 from rewardloom.plans.sources_queries import EVALUATED
 from rewardloom.plans.text_queries import CUSTOM, KEY, output, SOLUTIONS, solution_tagged
-from rewardloom.profiles import PROFILES, SOLUTION_TAGS, THINK_TAGS, V1, V2
+from rewardloom.profiles import PROFILES, SCRIPTS, SOLUTION_TAGS, THINK_TAGS, V1, V2
 from rewardloom.schemas import REWARDS
 
 
@@ -75,7 +75,23 @@ using (doc_id)""", [("words", f"""
 select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
   select doc_id, {q.words('text')} as w from documents)""")])(detector("word"))
 query("r6_5_glued_repetitions")(detector("no_space_word"))
-query("r6_6_mixed_scripts")(detector("mixed_script"))
+LETTERS = "".join(f"\\p{{{s}}}" for s in SCRIPTS)
+FOREIGN = "".join(f"\\p{{{s}}}" for s in SCRIPTS if s != "Latin")
+CODES = "segment"
+for code, script in zip("0123456789:;<", SCRIPTS):
+    CODES = f"regexp_replace({CODES}, '\\p{{{script}}}', '{code}', 'g')"
+query("r6_6_mixed_scripts", """
+select doc_id, cast(coalesce(w, 0) as bigint) as weight from documents left join (
+  select doc_id, sum(length(segment) * len(c)) as w from changes
+  where len(c) > 0 and not (len(c) <= 6 and len(c) / (len(c) + 1) >= 0.4
+    and len([x for x in list_distinct(c) if len([y for y in c if y = x]) < 3]) = 0)
+  group by doc_id) using (doc_id)""", [
+    ("segments", f"""
+select doc_id, segment from (select doc_id, unnest(regexp_extract_all(text, '[{LETTERS}]{{2,}}')) as segment
+  from documents where regexp_matches(text, '[{FOREIGN}]')) where regexp_matches(segment, '[{FOREIGN}]')"""),
+    ("codes", f"select doc_id, segment, string_split({CODES}, '') as k from segments"),
+    ("changes", "select doc_id, segment, [k[i] for i in range(2, len(k) + 1) if k[i] <> k[i - 1]] as c from codes"),
+])(detector("mixed_script"))
 
 PHRASE_STEPS = [
     ("lists", f"select doc_id, text, {q.words('text')} as w from documents"),

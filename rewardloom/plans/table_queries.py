@@ -310,6 +310,14 @@ def a13(t: Tables) -> DataFrame:
     })
 
 
+@query("k5_reward_tags", """
+select step, concat('rewards/', reward_name) as tag, 'scalar' as kind, round(value, 6) as number from long""",
+       [("long", LONG)])
+def k5(t: Tables) -> DataFrame:
+    tags = metrics.metric_tags(long_rewards(t).select("step", "reward_name", "value"))
+    return tags.select("step", "tag", "kind", F.round("number", 6).alias("number"))
+
+
 @query("a14_histogram", """
 select metric, bin, round(lo + bin * ((hi - lo) / 20), 6) as edge, count(*) as n from binned group by metric, bin, lo, hi""",
        [("spans", SPANS), ("binned", BINNED)])

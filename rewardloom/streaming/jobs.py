@@ -131,14 +131,21 @@ def running_trends(metrics: DataFrame, window: int = WINDOW, history: int = HIST
     )
 
 
-def periodic_validation(samples: DataFrame, path: str, checkpoint: str, order: str = "sample_id") -> StreamingQuery:
-    """A validation report for each batch of new samples. A query runs one batch at a time, so reports never overlap."""
+def periodic_validation(
+    samples: DataFrame, path: str, checkpoint: str, order: str = "sample_id",
+    on_report: Callable[[DataFrame], None] | None = None,
+) -> StreamingQuery:
+    """A validation report for each batch of new samples. A query runs one batch at a time, so reports never overlap.
+
+    ``on_report`` is called with each stored report.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # persist is enough here: a lost block is computed again from the batch's files.
-        batch = batch.persist()
-        validation_report(batch, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        batch.unpersist()
+        folder = f"{path}/batch_id={batch_id}"
+        report = validation_report(batch, order)
+        report.write.mode("overwrite").parquet(folder)
+        if on_report:
+            on_report(batch.sparkSession.read.schema(report.schema).parquet(folder))
 
     return _each_batch(samples, write, checkpoint)
 

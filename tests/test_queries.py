@@ -3,10 +3,13 @@
 import os
 from pathlib import Path
 
+import brute
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from rewardloom.plans.fixtures import Tables
+from rewardloom.profiles import V2
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
@@ -43,3 +46,25 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_detectors_without_sql_over_whole_documents(spark):
+    texts = {r.doc_id: r.text for r in Tables(spark, SF).documents.select("doc_id", "text").collect()}
+    for name, weight in (("r6_2_repeated_units", brute.unit_weight), ("r6_5_glued_repetitions", brute.glued_weight)):
+        got = {r.doc_id: r.weight for r in QUERIES[name](spark, SF).collect()}
+        assert got == {i: weight(t) for i, t in texts.items()}, name
+
+
+def test_rewards_without_sql_over_all_generations(spark):
+    def key(r):
+        return r.run, r.sample_id
+
+    outputs = {key(r): r.model_output for r in Tables(spark, SF).generations.collect()}
+    relevance = {key(r): r.reward for r in QUERIES["r7_topic_relevance"](spark, SF).collect()}
+    plain = {key(r): r.total_reward for r in QUERIES["r15_total_of_plain_rewards"](spark, SF).collect()}
+    rows = QUERIES["r15_total_reward"](spark, SF).collect()
+    assert len(rows) == len(outputs)
+    for r in rows:
+        repetition = brute.repetition_reward(outputs[key(r)], V2.whitelist, V2.whitelist[:5])
+        assert r.anti_repetition == pytest.approx(repetition, abs=1e-6)
+        assert r.total_reward == pytest.approx(plain[key(r)] + repetition + relevance[key(r)], abs=3e-6)

@@ -53,3 +53,15 @@ def test_redelivered_rows_are_kept_once(spark):
     once = jobs.without_redelivery(incoming(spark, rows, 3))
     jobs.updates_stream(once, out, work_dir(spark, "checkpoint")).awaitTermination()
     assert sorted(r.question_id for r in spark.read.parquet(out).collect()) == [f"q{i}" for i in range(5)]
+
+
+def test_every_batch_is_validated_and_reported(spark):
+    rows = [(i, "q", "5", "<answer>5</answer>" if i % 4 else "no") for i in range(12)]
+    df = spark.createDataFrame(rows, "sample_id bigint, input string, expected string, output string")
+    seen = []
+    out = work_dir(spark, "reports")
+    jobs.periodic_validation(
+        incoming(spark, df, 3), out, work_dir(spark, "checkpoint"), on_report=lambda r: seen.append(r.first().total)
+    ).awaitTermination()
+    assert seen == [4, 4, 4]
+    assert spark.read.parquet(out).agg(F.sum("correct")).first()[0] == 9
