@@ -144,6 +144,11 @@ def question_id(question: Column, answer: Column, source: str, day: Column) -> C
     return F.concat_ws("_", F.lit(source), F.date_format(day, "yyyyMMdd"), F.substring(digest, 1, 12))
 
 
+def trial_id(stamp: Column, index: Column) -> Column:
+    """Id of a row of a test run."""
+    return F.concat(F.lit("test_run_"), stamp.cast("string"), F.lit("_sample_"), index.cast("string"))
+
+
 def response_parts(parts: Column) -> tuple[Column, Column]:
     """Split ``array<struct<thought, text>>`` into reasoning and answer text."""
 

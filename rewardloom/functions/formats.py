@@ -63,11 +63,12 @@ def approximate_format(text: Column, p: Profile) -> Column:
     return total
 
 
-ADHERENCE = r"(?s)<reasoning>.*?</reasoning>.*?<answer>.*?</answer>"
+ADHERENCE = r"<reasoning>.*?</reasoning>.*?<answer>.*?</answer>"
 
 
 def adheres(text: Column, pattern: str = ADHERENCE) -> Column:
-    return text.rlike(pattern)
+    """The layout is found somewhere in the text; a dot in ``pattern`` also stands for a line break."""
+    return text.rlike("(?s)" + pattern)
 
 
 # A tag that is opened and never closed, or closed and never opened.

@@ -267,6 +267,14 @@ def x13(t: Tables) -> DataFrame:
 BALANCED = " and ".join(f"{q.occurrences('model_output', q.lit(tag))} = 1" for tag in q.TAGS)
 
 
+@query("x13_trial_id", """
+select sample_id, concat('test_run_20240101_000000_sample_', sample_id) as question_id from typed_answers""")
+def x13_trial(t: Tables) -> DataFrame:
+    return t.typed_answers.select(
+        "sample_id", x.trial_id(F.lit("20240101_000000"), F.col("sample_id")).alias("question_id")
+    )
+
+
 @query("x14_reward_flags", f"""
 select run, sample_id, {q.answer('model_output')} = answer as is_correct,
   {q.is_digits(f"({q.answer('model_output')})")} as is_integer, {q.has('model_output', *q.TAGS)} as format_correct,
