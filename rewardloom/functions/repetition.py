@@ -8,7 +8,9 @@ from math import log
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rewardloom.functions.text import BLANK_CLASS, any_pattern, has, let, occurrences, total_length, words
+from rewardloom.functions.text import (
+    BLANK_CLASS, any_pattern, has, let, occurrences, total_length, words, words_in_stretches,
+)
 from rewardloom.profiles import V2, Profile
 
 
@@ -178,33 +180,35 @@ def mixed_scripts(text: Column, p: Profile = V2) -> Column:
     return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
-def repeated_phrases(text: Column, p: Profile = V2, w: Column | None = None) -> Column:
+def repeated_phrases(text: Column, p: Profile = V2, s: Column | None = None) -> Column:
     """``array<struct<phrase, positions, n, whitelisted>>``: phrases seen at least ``min_repeats`` times.
 
-    ``n`` counts non-overlapping occurrences of the phrase as a piece of the raw text, so its first and last word
-    may be parts of longer words there. Counting is the dear part and is done only for phrases that can pass: at
-    every occurrence the words strictly inside the phrase are whole words, the word before them ends with the same
-    letter, the word after them begins with the same letter. Positions are therefore sorted by (last letter of the
-    first word, inner words, first letter of the last word), and groups smaller than ``min_repeats`` are left out.
-    All occurrences of a longer phrase share the group of its first words, so each size looks at the positions the
-    size before has left.
+    ``n`` counts non-overlapping occurrences of the phrase as a piece of the raw text, so its first and last word may
+    be parts of longer words there. At every occurrence the words strictly inside the phrase are whole words, the word
+    before them ends with the phrase's first word, the word after them begins with its last, and all gaps are single
+    spaces. Positions are therefore sorted by (last letter of the first word, inner words, first letter of the last
+    word); groups smaller than ``min_repeats`` are left out, and occurrences are looked for inside a group. Only
+    where they lie close enough to overlap is the text itself searched. All occurrences of a longer phrase share the
+    group of its first words, so each size looks at the positions the size before has left.
     """
 
-    def of_sizes(seq: Column, positions: Column, sizes: tuple[int, ...]) -> Column:
-        fitting = F.filter(positions, lambda i: i <= F.size(seq) - sizes[0])
-        grouped = F.sort_array(F.transform(fitting, lambda i: _keyed(seq, i, sizes[0])))
-        frequent = let(grouped, lambda g: F.filter(g, _frequent_key(g, p.min_repeats)))
+    def of_sizes(st: Column, positions: Column, sizes: tuple[int, ...]) -> Column:
+        size = sizes[0]
+        fitting = F.filter(positions, lambda i: i <= F.size(st["w"]) - size)
+        sorted_keys = F.sort_array(F.transform(fitting, lambda i: _keyed(st["w"], i, size)))
+        frequent = let(sorted_keys, lambda g: F.filter(g, _frequent_key(g, p.min_repeats)))
 
         def counted_and_longer(kept: Column) -> Column:
-            counted = _counted(text, seq, kept, sizes[0], p)
-            return F.concat(counted, of_sizes(seq, kept, sizes[1:])) if len(sizes) > 1 else counted
+            counted = _by_group(kept, lambda members: _counted(text, st, members, size, p))
+            if len(sizes) == 1:
+                return counted
+            return F.concat(counted, of_sizes(st, F.transform(kept, lambda g: g["i"]), sizes[1:]))
 
-        return let(F.transform(frequent, lambda g: g["i"]), counted_and_longer)
+        return let(frequent, counted_and_longer)
 
-    white = any_pattern(p.whitelist)
+    sizes, white = tuple(sorted(p.phrase_words)), any_pattern(p.whitelist)
     found = let(
-        words(text) if w is None else w,
-        lambda seq: of_sizes(seq, _starts(seq, p.phrase_words[0]), tuple(sorted(p.phrase_words))),
+        words_in_stretches(text) if s is None else s, lambda st: of_sizes(st, _starts(st["w"], sizes[0]), sizes)
     )
     return F.transform(
         found,
@@ -238,27 +242,51 @@ def _frequent_key(grouped: Column, k: int):
     return test
 
 
-def _counted(text: Column, seq: Column, positions: Column, size: int, p: Profile) -> Column:
-    """Distinct phrases at ``positions`` with the number of positions and of occurrences in the raw text."""
+def _by_group(kept: Column, of_group) -> Column:
+    """Apply ``of_group`` to the positions of each group of a sorted array, and put the results together."""
+    heads = F.filter(
+        _starts(kept, 1), lambda i: (i == 0) | (F.get(kept, i)["key"] != F.get(kept, i - 1)["key"])
+    )
+
+    def one(h: Column, start: Column, j: Column) -> Column:
+        after = F.coalesce(F.get(h, j + 1), F.size(kept))
+        return let(F.transform(F.slice(kept, start + 1, after - start), lambda g: g["i"]), of_group)
+
+    return F.flatten(let(heads, lambda h: F.transform(h, lambda start, j: one(h, start, j))))
+
+
+def _counted(text: Column, st: Column, members: Column, size: int, p: Profile) -> Column:
+    """The repeated phrases among the positions of one group."""
+    w, stretch = st["w"], st["stretch"]
 
-    def distinct(s: Column) -> Column:
-        heads = F.filter(_starts(s, 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    def occurs(phrase: Column) -> Column:
+        first, last = F.substring_index(phrase, " ", 1), F.substring_index(phrase, " ", -1)
 
-        def with_count(h: Column) -> Column:
-            def one(i: Column, j: Column) -> Column:
-                after = F.coalesce(F.get(h, j + 1), F.size(s))
-                return F.struct(
-                    F.get(s, i).alias("phrase"),
-                    (after - i).cast("bigint").alias("positions"),
-                    occurrences(text, F.get(s, i)).alias("n"),
-                )
+        def here(i: Column) -> Column:
+            end = i + (size - 1)
+            spaced = F.get(stretch, i) == F.get(stretch, end)
+            return spaced & F.get(w, i).endswith(first) & F.get(w, end).startswith(last)
 
-            return F.filter(F.transform(h, one), lambda c: c["n"] >= p.min_repeats)
+        def number(at: Column) -> Column:
+            close = F.exists(_starts(at, 2), lambda k: F.get(at, k + 1) - F.get(at, k) < size)
+            found = F.when(close, occurrences(text, phrase)).otherwise(F.size(at).cast("bigint"))
+            return F.when(F.size(at) >= p.min_repeats, found).otherwise(F.lit(0).cast("bigint"))
 
-        return let(heads, with_count)
+        return let(F.filter(members, here), number)
 
-    at = F.transform(positions, lambda i: F.concat_ws(" ", *_gram(seq, i, size)))
-    return let(F.sort_array(F.filter(at, lambda x: F.length(x) <= p.max_phrase_chars)), distinct)
+    def of_grams(grams: Column) -> Column:
+        short = F.filter(F.array_distinct(grams), lambda g: F.length(g) <= p.max_phrase_chars)
+        counted = F.transform(
+            short,
+            lambda g: F.struct(
+                g.alias("phrase"),
+                F.size(F.filter(grams, lambda x: x == g)).cast("bigint").alias("positions"),
+                occurs(g).alias("n"),
+            ),
+        )
+        return F.filter(counted, lambda c: c["n"] >= p.min_repeats)
+
+    return let(F.transform(members, lambda i: F.concat_ws(" ", *_gram(w, i, size))), of_grams)
 
 
 def phrase_weight(phrases: Column) -> Column:
@@ -271,8 +299,8 @@ def phrase_weight(phrases: Column) -> Column:
     )
 
 
-def phrases(text: Column, p: Profile = V2, w: Column | None = None) -> Column:
-    return phrase_weight(repeated_phrases(text, p, w))
+def phrases(text: Column, p: Profile = V2, s: Column | None = None) -> Column:
+    return phrase_weight(repeated_phrases(text, p, s))
 
 
 def non_latin_repeats(text: Column, p: Profile = V2) -> Column:
@@ -292,19 +320,23 @@ def non_latin_repeats(text: Column, p: Profile = V2) -> Column:
     )
 
 
-# Detector name -> column of (text, profile, words of the text).
+# Detector name -> column of (text, profile, words of the text in stretches).
 DETECTORS = {
-    "consecutive_script": lambda text, p, w: script_runs(text),
-    "pattern": lambda text, p, w: repeated_units(text, w),
-    "punctuation": lambda text, p, w: punctuation(text),
-    "word": repeated_words,
-    "no_space_word": glued_repetitions,
-    "mixed_script": lambda text, p, w: mixed_scripts(text, p),
+    "consecutive_script": lambda text, p, s: script_runs(text),
+    "pattern": lambda text, p, s: repeated_units(text, s["w"]),
+    "punctuation": lambda text, p, s: punctuation(text),
+    "word": lambda text, p, s: repeated_words(text, p, s["w"]),
+    "no_space_word": lambda text, p, s: glued_repetitions(text, p, s["w"]),
+    "mixed_script": lambda text, p, s: mixed_scripts(text, p),
     "phrase": phrases,
-    "non_latin": lambda text, p, w: non_latin_repeats(text, p),
+    "non_latin": lambda text, p, s: non_latin_repeats(text, p),
 }
 
 
+def detector(name: str, text: Column, p: Profile = V2) -> Column:
+    return let(words_in_stretches(text), lambda s: DETECTORS[name](text, p, s))
+
+
 def is_math(text: Column, p: Profile = V2) -> Column:
     return has(text, p.reasoning_open) | text.rlike(any_pattern(p.whitelist[: p.math_markers]))
 
@@ -312,12 +344,12 @@ def is_math(text: Column, p: Profile = V2) -> Column:
 def detector_counts(text: Column, p: Profile = V2) -> Column:
     """All detectors as one struct; the text is split into words once."""
 
-    def all_of(w: Column) -> Column:
+    def all_of(s: Column) -> Column:
         return F.struct(
-            *[DETECTORS[name](text, p, w).cast("bigint").alias(name) for name, _ in p.repetition_weights]
+            *[DETECTORS[name](text, p, s).cast("bigint").alias(name) for name, _ in p.repetition_weights]
         )
 
-    return let(words(text), all_of)
+    return let(words_in_stretches(text), all_of)
 
 
 def penalty(counts: Column, math: Column, p: Profile = V2) -> Column:

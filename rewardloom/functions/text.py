@@ -32,6 +32,24 @@ def words(c: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, BLANK_RUN))
 
 
+# A gap between words that is anything but one space.
+OTHER_GAP = f" ?[{BLANK_CLASS.replace(chr(32), chr(31))}][{BLANK_CLASS}]*| [{BLANK_CLASS}]+"
+
+
+def words_in_stretches(c: Column) -> Column:
+    """``struct<w, stretch>``: the words of a text, and for each the number of its stretch of single-spaced words."""
+    text = strip(c)
+    pieces = F.when(text != "", F.transform(F.split(text, OTHER_GAP), lambda s: F.split(s, " ")))
+
+    def numbered(parts: Column) -> Column:
+        return F.struct(
+            F.flatten(parts).alias("w"),
+            F.flatten(F.transform(parts, lambda part, i: F.array_repeat(i, F.size(part)))).alias("stretch"),
+        )
+
+    return let(F.coalesce(pieces, F.array().cast("array<array<string>>")), numbered)
+
+
 def n_words(c: Column) -> Column:
     return F.size(words(c)).cast("bigint")
 

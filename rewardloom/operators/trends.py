@@ -103,7 +103,10 @@ def moving_average(
     tilt = F.col("__weighted") - (at - (held - 1) / 2) * F.col("moving_average") * held
     slope = F.when(held > 1, tilt * 12 / (held * (held * held - 1))).otherwise(0.0)
     return (
-        spread.withColumns({"moving_average": F.avg(value).over(frame), "__weighted": F.sum(F.col(value) * at).over(frame)})
+        spread.withColumns({
+            "moving_average": F.avg(value).over(frame),
+            "__weighted": F.sum(F.col(value) * at).over(frame),
+        })
         .where(F.col("__home") == F.col("__block"))
         .withColumn("moving_slope", slope)
         .drop("__rank", "__home", "__block", "__weighted")

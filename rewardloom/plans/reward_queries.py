@@ -50,7 +50,7 @@ query("r6_anti_repetition")(reward("anti_repetition"))
 
 def detector(name: str):
     def run(t: Tables) -> DataFrame:
-        return t.documents.select("doc_id", repetition.DETECTORS[name](F.col("text"), V2, None).alias("weight"))
+        return t.documents.select("doc_id", repetition.detector(name, F.col("text")).alias("weight"))
 
     return run
 

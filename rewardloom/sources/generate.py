@@ -21,7 +21,7 @@ def fixed_reply(prompts: pd.Series, questions: pd.Series) -> pd.Series:
 
 
 def generate(df: DataFrame, model: Generator, prompt: str = "prompt", question: str = "question") -> DataFrame:
-    """Add ``full_response`` and ``model_output``. ``model`` gets a batch at a time, so that it can use its own batching."""
+    """Add ``full_response`` and ``model_output``; ``model`` is given one Arrow batch at a time."""
     schema = T.StructType([*df.schema.fields, T.StructField("full_response", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

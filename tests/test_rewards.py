@@ -17,7 +17,7 @@ many = settings(
 )
 
 WORDS = ["go", "a", "the cat", "sat", "no", "no no", "abab", "abc", "hahaha", "Let x be the", "1", "über", " ", "x"]
-GAPS = [" ", " ", " ", "  ", "\n", "\t", "", ". "]
+GAPS = [" ", " ", " ", " ", "  ", "\n", " \n", "\t", "", ". "]
 prose = st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(GAPS)), max_size=40).map(
     lambda parts: "".join(w + g for w, g in parts)
 )
