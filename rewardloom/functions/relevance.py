@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import sections
 from rewardloom.functions.repetition import maybe_foreign, script_class
-from rewardloom.functions.text import let, sentences
+from rewardloom.functions.text import let, runs, sentences
 from rewardloom.profiles import V2, Profile
 
 # Inverse document frequency over two texts with smoothing: 1 for a shared term, this for any other.
@@ -43,25 +43,17 @@ def term_vector(text: Column, p: Profile = V2) -> Column:
     """``struct<blank, script, terms, counts, sq>``: distinct terms in order, their counts, the sum of squares."""
 
     def counted(s: Column) -> Column:
-        indices = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        heads = F.filter(indices, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-
-        def from_heads(h: Column) -> Column:
-            counts = F.transform(
-                h, lambda i, j: (F.coalesce(F.get(h, j + 1), F.size(s)) - i).cast("double")
-            )
-            return let(
-                counts,
-                lambda n: F.struct(
-                    (text == "").alias("blank"),
-                    majority_script(text, p).alias("script"),
-                    F.transform(h, lambda i: F.get(s, i)).alias("terms"),
-                    n.alias("counts"),
-                    F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x).alias("sq"),
-                ),
+        def vector(r: Column) -> Column:
+            counts = F.transform(r, lambda x: x["size"].cast("double"))
+            return F.struct(
+                (text == "").alias("blank"),
+                majority_script(text, p).alias("script"),
+                F.transform(r, lambda x: F.get(s, x["start"])).alias("terms"),
+                counts.alias("counts"),
+                F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x).alias("sq"),
             )
 
-        return let(heads, from_heads)
+        return let(runs(s), vector)
 
     return let(F.sort_array(terms(text)), counted)
 

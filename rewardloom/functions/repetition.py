@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import (
-    BLANK_CLASS, any_pattern, has, let, occurrences, total_length, words, words_in_stretches,
+    BLANK_CLASS, any_pattern, has, let, occurrences, runs, starts, total_length, words, words_in_stretches,
 )
 from rewardloom.profiles import V2, Profile
 
@@ -40,27 +40,10 @@ def script_runs(text: Column) -> Column:
     return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
-def _equal_run(seq: Column, k: int):
-    """Test of ``filter``: the element is one of ``k`` or more equal neighbours."""
-
-    def test(x: Column, i: Column) -> Column:
-        windows = [
-            reduce(lambda a, b: a & b, [F.get(seq, i + d) == x for d in range(lo, lo + k) if d != 0])
-            for lo in range(1 - k, 1)
-        ]
-        return F.coalesce(reduce(lambda a, b: a | b, windows), F.lit(False))
-
-    return test
-
-
-def _starts(w: Column, size: int) -> Column:
-    return F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
-
-
 def _thrice(seq: Column) -> Column:
     """An element equals its two successors."""
     return F.exists(
-        _starts(seq, 3), lambda i: (F.get(seq, i) == F.get(seq, i + 1)) & (F.get(seq, i) == F.get(seq, i + 2))
+        starts(seq, 3), lambda i: (F.get(seq, i) == F.get(seq, i + 1)) & (F.get(seq, i) == F.get(seq, i + 2))
     )
 
 
@@ -79,7 +62,7 @@ def repeated_units(text: Column, w: Column | None = None) -> Column:
         return in_word | (F.length(part) - total_length(seq) >= F.size(seq) + 6)
 
     def with_gaps(seq: Column) -> Column:
-        triples = F.transform(_starts(seq, 3), lambda i: F.concat_ws(" ", *_gram(seq, i, 3)))
+        triples = F.transform(starts(seq, 3), lambda i: F.concat_ws(" ", *_gram(seq, i, 3)))
         return _thrice(seq) | let(F.sort_array(triples), _thrice)
 
     def searchable(line: Column) -> Column:
@@ -103,11 +86,23 @@ def punctuation(text: Column) -> Column:
     return F.coalesce(F.when(there, total_length(_all(text, PUNCTUATION))), F.lit(0).cast("bigint"))
 
 
+def word_runs(text: Column, p: Profile = V2, w: Column | None = None) -> Column:
+    """``array<struct<word, n>>``: words repeated in sequence; too short words neither count nor break a run."""
+
+    def of_words(seq: Column) -> Column:
+        found = F.filter(runs(seq), lambda r: r["size"] >= p.min_repeats)
+        return F.transform(
+            found, lambda r: F.struct(F.get(seq, r["start"]).alias("word"), r["size"].cast("bigint").alias("n"))
+        )
+
+    return let(F.filter(words(text) if w is None else w, lambda x: F.length(x) >= p.min_word_chars), of_words)
+
+
 def repeated_words(text: Column, p: Profile = V2, w: Column | None = None) -> Column:
-    """Characters in runs of the same word; words below the minimal length neither count nor break a run."""
-    w = words(text) if w is None else w
-    long_words = F.filter(w, lambda x: F.length(x) >= p.min_word_chars)
-    return total_length(let(long_words, lambda seq: F.filter(seq, _equal_run(seq, p.min_repeats))))
+    """Characters in runs of the same word."""
+    return F.aggregate(
+        word_runs(text, p, w), F.lit(0).cast("bigint"), lambda total, r: total + F.length(r["word"]) * r["n"]
+    )
 
 
 def glued_repetitions(text: Column, p: Profile = V2, w: Column | None = None) -> Column:
@@ -208,7 +203,7 @@ def repeated_phrases(text: Column, p: Profile = V2, s: Column | None = None) ->
 
     sizes, white = tuple(sorted(p.phrase_words)), any_pattern(p.whitelist)
     found = let(
-        words_in_stretches(text) if s is None else s, lambda st: of_sizes(st, _starts(st["w"], sizes[0]), sizes)
+        words_in_stretches(text) if s is None else s, lambda st: of_sizes(st, starts(st["w"], sizes[0]), sizes)
     )
     return F.transform(
         found,
@@ -244,15 +239,12 @@ def _frequent_key(grouped: Column, k: int):
 
 def _by_group(kept: Column, of_group) -> Column:
     """Apply ``of_group`` to the positions of each group of a sorted array, and put the results together."""
-    heads = F.filter(
-        _starts(kept, 1), lambda i: (i == 0) | (F.get(kept, i)["key"] != F.get(kept, i - 1)["key"])
-    )
 
-    def one(h: Column, start: Column, j: Column) -> Column:
-        after = F.coalesce(F.get(h, j + 1), F.size(kept))
-        return let(F.transform(F.slice(kept, start + 1, after - start), lambda g: g["i"]), of_group)
+    def one(r: Column) -> Column:
+        members = F.transform(F.slice(kept, r["start"] + 1, r["size"]), lambda g: g["i"])
+        return let(members, of_group)
 
-    return F.flatten(let(heads, lambda h: F.transform(h, lambda start, j: one(h, start, j))))
+    return F.flatten(F.transform(runs(kept, lambda g: g["key"]), one))
 
 
 def _counted(text: Column, st: Column, members: Column, size: int, p: Profile) -> Column:
@@ -268,7 +260,7 @@ def _counted(text: Column, st: Column, members: Column, size: int, p: Profile) -
             return spaced & F.get(w, i).endswith(first) & F.get(w, end).startswith(last)
 
         def number(at: Column) -> Column:
-            close = F.exists(_starts(at, 2), lambda k: F.get(at, k + 1) - F.get(at, k) < size)
+            close = F.exists(starts(at, 2), lambda k: F.get(at, k + 1) - F.get(at, k) < size)
             found = F.when(close, occurrences(text, phrase)).otherwise(F.size(at).cast("bigint"))
             return F.when(F.size(at) >= p.min_repeats, found).otherwise(F.lit(0).cast("bigint"))
 

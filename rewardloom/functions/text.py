@@ -22,6 +22,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def starts(seq: Column, size: int = 1) -> Column:
+    """The positions at which ``size`` elements of an array are left."""
+    return F.when(F.size(seq) >= size, F.sequence(F.lit(0), F.size(seq) - size)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def runs(seq: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """``array<struct<start, size>>`` of the stretches of neighbours with the same key."""
+    heads = F.filter(
+        starts(seq), lambda i: (i == 0) | (key(F.get(seq, i)) != key(F.get(seq, i - 1)))
+    )
+
+    def sized(h: Column) -> Column:
+        return F.transform(
+            h, lambda i, j: F.struct(i.alias("start"), (F.coalesce(F.get(h, j + 1), F.size(seq)) - i).alias("size"))
+        )
+
+    return let(heads, sized)
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 

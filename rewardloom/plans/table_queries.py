@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import question_id, sections
-from rewardloom.functions.text import sentences, words
+from rewardloom.functions.repetition import word_runs
+from rewardloom.functions.text import sentences
 from rewardloom.operators import datasets, metrics, pairing, reports, trends
 from rewardloom.operators.scoring import BUILT_IN, Rewards, score
 from rewardloom.plans import sql as q
@@ -486,23 +487,7 @@ group by doc_id, word, island having count(*) >= 3""", [("words", f"""
 select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
   select doc_id, {q.words('text')} as w from documents)""")])
 def w9(t: Tables) -> DataFrame:
-    """Runs of a word as rows: the run ends where the next word differs, and its length is found in the row's array."""
-    long_words = F.filter(words(F.col("text")), lambda w: F.length(w) >= V2.min_word_chars)
-    listed = t.documents.select("doc_id", long_words.alias("w")).where(F.size("w") >= V2.min_repeats)
-    breaks = F.filter(
-        F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))
-    )
-    runs = listed.select("doc_id", "w", breaks.alias("h")).select(
-        "doc_id",
-        F.inline(F.filter(
-            F.transform("h", lambda i, j: F.struct(
-                F.get("w", i).alias("word"),
-                (F.coalesce(F.get("h", j + 1), F.size("w")) - i).cast("bigint").alias("n"),
-            )),
-            lambda r: r["n"] >= V2.min_repeats,
-        )),
-    )
-    return runs
+    return t.documents.select("doc_id", F.inline(word_runs(F.col("text"))))
 
 
 @query("w10_every_n_steps", "select run, step, sample_id from generations where step % 5 = 0")
