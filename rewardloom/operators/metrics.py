@@ -230,10 +230,11 @@ def group_advantage(
 ) -> DataFrame:
     """Mean and deviation of each prompt's generations, and every generation's distance from them.
 
-    The group is aggregated and joined back instead of windowed, so a hot group is never held in one task.
+    The group is aggregated and joined back instead of windowed, so a hot group is never held in one task. Few groups
+    are broadcast; otherwise both sides of the null-safe join are shuffled for it, and only then can adaptive
+    execution split a hot group (it cannot where one side already lies by the keys).
     """
-    groups = group_rewards(df, keys, reward, text)
-    joined = join_on(df, groups, keys)
+    joined = join_on(df, group_rewards(df, keys, reward, text), keys, "left")
     return joined.withColumn("advantage", (F.col(reward) - F.col("reward_mean")) / (F.col("reward_std") + eps))
 
 

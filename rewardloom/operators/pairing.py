@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.relevance import similarity, term_vector, vector_similarity
 from rewardloom.functions.text import let, sentences
-from rewardloom.operators.keys import join_on
 from rewardloom.operators.scoring import to_wide
 from rewardloom.profiles import V2, Profile
 from rewardloom.schemas import REWARDS
@@ -21,8 +20,11 @@ def with_truth(generations: DataFrame, truths: DataFrame, key: str = "sample_id"
 def with_rewards(
     generations: DataFrame, long_rewards: DataFrame, names=REWARDS, keys=("run", "step", "sample_id")
 ) -> DataFrame:
-    """Generations with their rewards side by side; a generation without rewards keeps empty reward columns."""
-    return join_on(generations, to_wide(long_rewards, names, keys), keys, "left")
+    """Generations with their rewards side by side; a generation without rewards keeps empty reward columns.
+
+    The wide rewards already lie by the keys of the join, so only the generations are shuffled for it.
+    """
+    return generations.join(to_wide(long_rewards, names, keys), list(keys), "left")
 
 
 def by_question(questions: DataFrame, truths: DataFrame, outputs: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.operators.keys import join_on
-
 WINDOW = 100
 HISTORY = 1000
 WIDTH = 100_000
@@ -59,10 +57,11 @@ def _with_range_totals(df: DataFrame, keys: list[str], step: str, width: int, **
     ranged = df.withColumn("__range", F.floor(F.col(step) / width))
     totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__range", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums]
-    )
-    return join_on(ranged, offsets, [*keys, "__range"])
+    offsets = totals.select(*keys, "__range", *[F.sum(name).over(earlier).alias(name) for name in sums])
+    # The windows that follow run inside (group, range): where the offsets are too many to broadcast, the join's
+    # partitioning serves them too.
+    joined = ranged.join(offsets, [*keys, "__range"], "left")
+    return joined.withColumns({name: F.coalesce(name, F.lit(0)) for name in sums})
 
 
 def ranked(

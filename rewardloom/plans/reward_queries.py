@@ -95,11 +95,14 @@ select doc_id, segment from (select doc_id, unnest(regexp_extract_all(text, '[{L
 
 PHRASE_STEPS = [
     ("lists", f"select doc_id, text, {q.words('text')} as w from documents"),
-    ("grams", """
-select doc_id, size, array_to_string(w[i:i + size - 1], ' ') as phrase,
-  concat(right(w[i], 1), ' ', array_to_string(w[i + 1:i + size - 2], ' '), ' ', left(w[i + size - 1], 1)) as key
-from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i
-      from lists, (values (3), (4), (5)) s(size) where len(w) >= size)"""),
+    ("placed", "select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from lists"),
+    ("led", """
+select doc_id, word as w1, lead(word, 1) over o as w2, lead(word, 2) over o as w3, lead(word, 3) over o as w4,
+  lead(word, 4) over o as w5 from placed window o as (partition by doc_id order by i)"""),
+    ("grams", "\nunion all ".join(
+        f"select doc_id, {n} as size, concat_ws(' ', {', '.join(f'w{i}' for i in range(1, n + 1))}) as phrase, "
+        f"concat_ws(' ', right(w1, 1), {', '.join(f'w{i}' for i in range(2, n))}, left(w{n}, 1)) as key "
+        f"from led where w{n} is not null" for n in (3, 4, 5))),
     ("keys", "select doc_id, size, key from grams group by all having count(*) >= 3"),
     ("candidates", """
 select doc_id, phrase, count(*) as positions from grams join keys using (doc_id, size, key)

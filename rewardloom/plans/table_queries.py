@@ -9,7 +9,7 @@ from rewardloom.functions.extract import question_id, sections
 from rewardloom.functions.repetition import word_runs
 from rewardloom.functions.text import sentences
 from rewardloom.operators import datasets, metrics, pairing, reports, trends
-from rewardloom.operators.scoring import BUILT_IN, Rewards, score
+from rewardloom.operators.scoring import BUILT_IN, Rewards, score, to_long
 from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
@@ -38,20 +38,22 @@ select run, step, sample_id, group_id, model_output, cast({R1} as double) as cor
 # --- joins -----------------------------------------------------------------------------------------------------
 
 @query("j1_completion_with_truth", """
-select run, sample_id, model_output, truth from generations join turns using (sample_id) where b <> 4""")
+select run, sample_id, model_output, truth from generations join turns using (sample_id)
+where length(body) > length(turns.question)""")
 def j1(t: Tables) -> DataFrame:
-    truths = t.turns.where("b <> 4").select("sample_id", "truth")
+    truths = t.turns.where("length(body) > length(question)").select("sample_id", "truth")
     return pairing.with_truth(t.generations.select(*KEY, "model_output"), truths).select(*KEY, "model_output", "truth")
 
 
 @query("j2_generation_with_rewards", f"""
-select run, step, sample_id, question, case when sample_id % 7 <> 0 then correctness end as correctness,
-  case when sample_id % 7 <> 0 then integer end as integer,
-  case when sample_id % 7 <> 0 then round(tag_count, 6) end as tag_count
-from wide join (select run, sample_id, question from generations) using (run, sample_id)""", [("wide", WIDE)])
+select run, step, sample_id, question, case when tagged then correctness end as correctness,
+  case when tagged then integer end as integer, case when tagged then round(tag_count, 6) end as tag_count
+from wide join (select run, sample_id, question, contains(model_output, '<answer>') as tagged from generations)
+using (run, sample_id)""", [("wide", WIDE)])
 def j2(t: Tables) -> DataFrame:
-    """Some samples were never scored; they stay, with empty rewards."""
-    logged = long_rewards(t).where("sample_id % 7 <> 0")
+    """Outputs without an answer tag were never scored; they stay, with empty rewards."""
+    tagged = t.generations.where(output().contains("<answer>"))
+    logged = to_long(score(tagged, Rewards(PLAIN)), PLAIN)
     joined = pairing.with_rewards(t.generations, logged, PLAIN)
     return joined.select(
         "run", "step", "sample_id", "question", "correctness", "integer", F.round("tag_count", 6).alias("tag_count")
@@ -59,12 +61,13 @@ def j2(t: Tables) -> DataFrame:
 
 
 @query("j3_lists_by_index", """
-select t.sample_id, question, case when b = 4 then '' else truth end as true_answer, body as model_output
-from turns t where b <> 9""")
+select sample_id, question, case when length(body) > length(question) then truth else '' end as true_answer,
+  body as model_output from turns where contains(body, chr(10))""")
 def j3(t: Tables) -> DataFrame:
+    """Some questions have no truth, some have no output (here: no reply of several lines)."""
     questions = t.turns.select("sample_id", "question")
-    truths = t.turns.where("b <> 4").select("sample_id", F.col("truth").alias("true_answer"))
-    outputs = t.turns.where("b <> 9").select("sample_id", F.col("body").alias("model_output"))
+    truths = t.turns.where("length(body) > length(question)").select("sample_id", F.col("truth").alias("true_answer"))
+    outputs = t.turns.where(F.col("body").contains("\n")).select("sample_id", F.col("body").alias("model_output"))
     return pairing.by_question(questions, truths, outputs).select(
         "sample_id", "question", "true_answer", "model_output"
     )

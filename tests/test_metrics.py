@@ -78,6 +78,15 @@ def test_entropy_and_lengths_of_empty_and_full_groups(spark):
     assert metrics.token_entropy(empty, "t").first().token_entropy == 0.0
 
 
+def test_entropy_with_a_tokenizer_in_python(spark):
+    @F.pandas_udf("array<string>")
+    def letters(texts):
+        return texts.map(list)
+
+    df = spark.createDataFrame([("aab",), ("b",)], "t string")
+    assert tuple(metrics.token_entropy(df, "t", tokenizer=letters).first()) == (4, 1.0)
+
+
 def test_reasoning_answer_ratio(spark):
     df = spark.createDataFrame(
         [("<reasoning>a b c</reasoning><answer>1</answer>",), ("<reasoning>a</reasoning>",), ("none",), (None,)], "t string"
@@ -207,3 +216,27 @@ def test_metric_tags_by_type(spark):
         ("metrics/loss", "scalar"): (3, 1.5, None, None), ("text/output", "text"): (3, None, "text", None),
         ("distributions/values", "histogram"): (3, None, None, [1.0, 2.0]),
     }
+
+
+def test_a_hot_group_is_split_over_tasks(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        df = spark.range(300_000, numPartitions=8).select(
+            F.when(i % 3 == 0, 0).otherwise(i % 5000).alias("g"), F.sha1(i.cast("string")).alias("model_output"),
+            (i % 7).cast("double").alias("total_reward"),
+        )
+        judged = metrics.group_advantage(df, ["g"]).agg(F.sum("advantage"), F.max("model_output"), F.count("*"))
+        assert judged.collect()[0][2] == 300_000
+        assert "skew=true" in judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
