@@ -82,15 +82,11 @@ def as_fraction(c: Column) -> Column:
     )
 
 
-def _numbers(c: Column, kind: str) -> Column:
-    return F.from_json(c, kind)
-
-
 def same_list(a: Column, b: Column) -> Column:
     """Lists and matrices of numbers by value, anything else as normalised JSON."""
     ja, jb = (F.replace(strip(c), F.lit("'"), F.lit('"')) for c in (a, b))
-    flat_a, flat_b = _numbers(ja, "array<double>"), _numbers(jb, "array<double>")
-    grid_a, grid_b = _numbers(ja, "array<array<double>>"), _numbers(jb, "array<array<double>>")
+    flat_a, flat_b = (F.from_json(j, "array<double>") for j in (ja, jb))
+    grid_a, grid_b = (F.from_json(j, "array<array<double>>") for j in (ja, jb))
 
     def whole(flat: Column) -> Column:
         return flat.isNotNull() & ~F.exists(flat, lambda x: x.isNull())

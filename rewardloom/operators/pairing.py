@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.functions.relevance import similarity, term_vector, vector_similarity
+from rewardloom.functions.relevance import term_vector, vector_similarity
 from rewardloom.functions.text import let, sentences
 from rewardloom.operators.scoring import to_wide
 from rewardloom.profiles import V2, Profile
@@ -75,10 +75,6 @@ def with_single_prompt(df: DataFrame, prompts: DataFrame, prompt: str = "questio
     return df.withColumn(prompt, prompts.select(prompt).limit(SINGLE_PROMPT_ROWS).scalar())
 
 
-def text_similarity(df: DataFrame, a: str, b: str, p: Profile = V2) -> DataFrame:
-    return df.withColumn("similarity", similarity(F.col(a), F.col(b), p))
-
-
 def with_equations(problems: DataFrame, equations: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Problems with the cached equation of their source; of several the first by ``order`` is taken."""
     fields = [c for c in equations.columns if c != key]

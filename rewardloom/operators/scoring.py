@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import answers, extract, formats, relevance, repetition
-from rewardloom.functions.text import n_words
 from rewardloom.profiles import V2, Profile
 from rewardloom.schemas import REWARDS
 
@@ -111,6 +110,3 @@ def generation_log(df: DataFrame, day: Column, source: str = "training", profile
         *REWARDS,
     )
 
-
-def output_words(df: DataFrame, column: str = "model_output") -> DataFrame:
-    return df.withColumn("n_words", n_words(F.col(column)))

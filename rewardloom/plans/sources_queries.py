@@ -9,7 +9,7 @@ from rewardloom.functions.extract import question_id, reasoning_and_answer
 from rewardloom.functions.prompts import render_message
 from rewardloom.operators.datasets import first_rows, split_counts, value_counts
 from rewardloom.operators.reports import comparison_report, evaluated
-from rewardloom.operators.scoring import BUILT_IN
+from rewardloom.operators.scoring import BUILT_IN, generation_log
 from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
@@ -197,8 +197,9 @@ def s10_first(t: Tables) -> DataFrame:
 
 @query("k1_generation_log", LOG_SQL)
 def k1(t: Tables) -> DataFrame:
+    """The scored log: texts, ids, extractions, all rewards and their total."""
     path = t.work("log")
-    logs.write_log(log_table(t), path)
+    logs.write_log(generation_log(t.generations, F.lit(DAY).cast("date")), path)
     return logs.read_log(t.spark, path).select(*LOG_FIELDS)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.answers import correctness
 from rewardloom.functions.prompts import chat_prompt, render_messages
-from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
 from rewardloom.plans.reward_queries import R1, R2, R3, R4, R5

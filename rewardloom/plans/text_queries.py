@@ -17,7 +17,6 @@ from rewardloom.plans.sources_queries import PART, RENDERED
 from rewardloom.profiles import SOLUTION_TAGS, SYSTEM_PROMPT
 
 
-
 def output() -> Column:
     return F.col("model_output")
 

@@ -45,6 +45,15 @@ def test_held_out_documents(spark):
         (i, *pair) for i in (0, 1) for pair in [("q", ""), ("i", "o"), ("p", "t")]]
 
 
+def test_held_out_file_and_hash_answers(spark, tmp_path):
+    (tmp_path / "held.json").write_text(json.dumps({"data": [{"question": "q", "answer": "7"}]}, indent=2))
+    row = datasets.read_held_out(spark, str(tmp_path / "held.json")).first()
+    assert (row.input, row.expected) == ("q", "7")
+    qa = spark.createDataFrame([("q", "so #### 7 "), ("r", "none")], "question string, answer string")
+    got = datasets.hash_answer_set(qa).collect()
+    assert [(r.answer, r.prompt[1].content) for r in got] == [("7", "q"), (None, "r")]
+
+
 @pytest.mark.parametrize("value", ['{"other": []}', '"text"', "broken"])
 def test_unknown_held_out_documents_fail(spark, value):
     with pytest.raises(Exception, match="Invalid dataset format"):
@@ -107,3 +116,16 @@ def test_generation_hook(spark):
     got = generate.generate(df, generate.fixed_reply).first()
     assert got.model_output == "<reasoning>Thinking about why</reasoning>\n<answer>42</answer>"
     assert got.full_response == "prompt:" + got.model_output
+
+
+def test_work_folder_is_the_one_the_session_names(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        first, second = (work_dir(spark, "x") for _ in range(2))
+        assert first != second and first.startswith(f"{tmp_path}/rewardloom/x-")
+    finally:
+        if before:
+            spark.conf.set("spark.checkpoint.dir", before)
+        else:
+            spark.conf.unset("spark.checkpoint.dir")
