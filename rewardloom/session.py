@@ -37,12 +37,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's ``spark.checkpoint.dir``.
 
     The cluster names that shared folder. Only a local session (tests, a laptop) may leave it unset; a temporary
-    folder is then made and recorded in the session, so that a cluster never works in a folder of one machine.
+    folder is then made and set for the session, so that a cluster never works in a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="rewardloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rewardloom/{name}-{uuid.uuid4().hex}"
