@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from rewardloom.llm import rules
+from rewardloom.llm.decontaminate import op6_decontamination
+from rewardloom.llm.quality import op5_quality_classifier
+from rewardloom.llm.rules import op10_quality_rules
 from rewardloom.llm.simhash import op9_simhash
+from rewardloom.llm.substrings import op1_substring_dedup
 
 QUERIES: dict[str, Callable] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_decontamination": op6_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_quality_rules": rules.sql(),
+}

@@ -50,12 +50,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[places[0] : places[-1]], places - places[0]
 
 
-def words(column: pa.Array) -> Words:
-    data, places = text_bytes(column)
-    space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
+def split(data: np.ndarray, places: np.ndarray, separator: np.ndarray) -> Words:
+    """Words of the texts that begin at ``places``; ``separator`` says of each byte value whether it parts words."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~space[data]
+    inside[:-1] = ~separator[data]
     # A text's first byte begins a word even if the text before it ends with one.
     edge = np.zeros(len(data) + 1, bool)
     edge[places] = True
@@ -66,6 +64,22 @@ def words(column: pa.Array) -> Words:
     return Words(data, start, end, np.searchsorted(start, places))
 
 
+def words(column: pa.Array) -> Words:
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    return split(*text_bytes(column), space)
+
+
+def plain_words(column: pa.Array) -> Words:
+    """Words for comparing prose: A-Z in lower case, cut at all ASCII characters but letters and digits."""
+    data, places = text_bytes(column)
+    other = np.ones(256, bool)
+    other[128:] = False
+    for lo, hi in ("09", "az", "AZ"):
+        other[ord(lo) : ord(hi) + 1] = False
+    return split(lowered(data), places, other)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all other bytes as they are."""
     table = np.arange(256, dtype=np.uint8)
