@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from rewardloom.llm import rules
+from rewardloom.llm import rules, warc
 from rewardloom.llm.decontaminate import op6_decontamination
+from rewardloom.llm.packing import op3_best_fit_packing
 from rewardloom.llm.quality import op5_quality_classifier
 from rewardloom.llm.rules import op10_quality_rules
 from rewardloom.llm.simhash import op9_simhash
 from rewardloom.llm.substrings import op1_substring_dedup
+from rewardloom.llm.warc import op2_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op9_simhash": op9_simhash,
@@ -20,5 +24,6 @@ QUERIES: dict[str, Callable] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op10_quality_rules": rules.sql(),
 }

@@ -25,6 +25,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,11 @@ CAPACITY = 4096
 END = 1
 #: Large pieces take more than this share of a sequence.
 LARGE = 1 / 8
-GROUPS = (12, 32, 64)
+GROUPS = (12, 24, 48)
 #: Sizes in the linear program are multiples of this.
 UNIT = 8
 #: Words whose ids a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Run = tuple[int, tuple[int, ...]]
@@ -52,38 +53,49 @@ Run = tuple[int, tuple[int, ...]]
 
 
 class Encoder:
-    """Token ids of whole texts from the ids of their distinct words; no token crosses white space in this tokenizer."""
+    """Token ids of whole texts from the ids of their distinct words.
+
+    This tokenizer lower-cases texts and never joins characters across white space, so equal words have equal ids
+    wherever they stand. Words are known by 64-bit hashes.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))))
+        at = np.searchsorted(self.words, hashes)
+        self.words = np.insert(self.words, at, hashes)
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (one place more than there are texts)."""
         w = W.words(column)
+        w = w._replace(data=W.lowered(w.data))
         distinct, at, which = np.unique(W.Hasher().words(w), return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known, self.ids = {}, []
-        keys = distinct.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        data = w.data.tobytes()
-        texts = [data[w.start[at[i]] : w.end[at[i]]].decode() for i in new]
-        for i, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = len(self.ids)
-            self.ids.append(np.array(found.ids, np.uint32))
-        mine = [self.ids[self.known[key]] for key in keys]
-        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.concatenate([*mine, np.zeros(0, np.uint32)])
-        begins = np.cumsum(sizes) - sizes
-        for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-            chosen = which[a:b]
-            n = sizes[chosen]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield flat[np.repeat(begins[chosen] - (ends - n), n) + np.arange(total)]
+        if len(self.words) + len(distinct) > REMEMBERED:
+            self._forget()
+        near = np.searchsorted(self.words, distinct)
+        new = np.append(self.words, np.uint64(0))[near] != distinct
+        new |= near == len(self.words)
+        data, spans = w.data.tobytes(), zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)
+        self._learn(distinct[new], [data[a:b].decode() for a, b in spans])
+        known = np.searchsorted(self.words, distinct)
+        size = self.size[known][which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.begin[known][which] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[w.first]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -94,8 +106,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
         for batch in W.slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             held: list[np.ndarray] = []
-            for i, ids in enumerate(encoder.encode(batch.column("text"))):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
+            every, places = encoder.encode(batch.column("text"))
+            for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
+                ids = np.append(every[a:b], np.uint32(END)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
@@ -254,9 +267,7 @@ def planned(lengths: dict[int, int], capacity: int, groups: int) -> list[Run]:
         room = capacity // UNIT
         queues, sizes = [], []
         for group in _grouped(large, groups):
-            size = -(-group[0][0] // UNIT)
-            if size > room:
-                size = room
+            size = min(room, -(-group[0][0] // UNIT))
             if sizes and sizes[-1] == size:
                 queues[-1].extend(group)
             else:
@@ -268,7 +279,6 @@ def planned(lengths: dict[int, int], capacity: int, groups: int) -> list[Run]:
         for queue in queues:
             for length, count in queue:
                 rest[length] = rest.get(length, 0) + count
-    # Rounding to units may have put a full unit too much in a sequence whose capacity is no multiple of it.
     space = _Room(runs, capacity)
     for length in sorted(rest, reverse=True):
         space.put(length, rest[length])

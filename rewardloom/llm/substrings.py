@@ -144,7 +144,7 @@ def _marked_windows(texts: DataFrame, window: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, ...] = ()) -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by a blank), the removed
     ``spans`` of words as [from, to), ``kept_text`` (those words; null if nothing is removed, as the text then stays as it
-    is) and the ``carried`` columns."""
+    is) and, if asked for, ``carried``: a struct of these columns."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     extra = F.struct(*carried).alias("carried") if carried else F.lit(None).cast("string").alias("carried")
@@ -180,7 +180,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
     starts = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     cut = _cut(open_texts.join(starts, "doc_id", "left"), window, ["carried"])
     result = first.where("not open").select(*cut.columns).union(cut)
-    return result.select("*", "carried.*").drop("carried") if carried else result.drop("carried")
+    return result if carried else result.drop("carried")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

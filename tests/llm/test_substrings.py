@@ -64,8 +64,8 @@ def test_kept_text_spans_and_carried_columns(table):
     rows = [(1, " ".join(line), "en"), (2, "x  y " + " ".join(line[5:60]) + "\nz", "fr"), (3, "a  b\nc", None)]
     df = substrings.substring_dedup(table(rows), carried=("lang", "text"))
     found = {r.doc_id: r for r in df.collect()}
-    assert found[2].kept_text == "x y z" and found[2].spans == [[2, 57]] and found[2].lang == "fr"
-    assert found[1].kept_text is None and found[3].kept_text is None and found[3].text == "a  b\nc"
+    assert found[2].kept_text == "x y z" and found[2].spans == [[2, 57]] and found[2].carried.lang == "fr"
+    assert found[1].kept_text is None and found[3].kept_text is None and found[3].carried.text == "a  b\nc"
 
 
 def test_odd_rows(odd):
