@@ -9,6 +9,7 @@ from rewardloom.llm.decontaminate import op6_decontamination
 from rewardloom.llm.packing import op3_best_fit_packing
 from rewardloom.llm.quality import op5_quality_classifier
 from rewardloom.llm.rules import op10_quality_rules
+from rewardloom.llm.sharding import op7_sharding
 from rewardloom.llm.simhash import op9_simhash
 from rewardloom.llm.substrings import op1_substring_dedup
 from rewardloom.llm.warc import op2_warc
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
