@@ -152,7 +152,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
     known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
     repeated = _anchors(known, window, places=False).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    repeated = repeated.where("a < b").select("h")
+    # A stored side has its own exchange before the join, so that adaptive execution can split a hot key's rows.
+    repeated = stored(repeated.where("a < b").select("h"), "repeated")
     anchors = _anchors(known, window, places=True).join(repeated.hint("shuffle_hash"), "h")
     anchors = anchors.groupBy("doc_id").agg(F.collect_set("pos").alias("anchors"))
 
@@ -176,7 +177,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
     open_texts = first.where("open").select("doc_id", F.col("open_text").alias("text"), "carried", "anchors", F.lit(False).alias("copy"))
     windows = _marked_windows(open_texts, window)
     least = windows.groupBy("g", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    later = windows.join(least.select("g", "h", "a").hint("shuffle_hash"), ["g", "h"]).where("doc_id > a")
+    least = stored(least.select("g", "h", "a"), "least")
+    later = windows.join(least.hint("shuffle_hash"), ["g", "h"]).where("doc_id > a")
     starts = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     cut = _cut(open_texts.join(starts, "doc_id", "left"), window, ["carried"])
     result = first.where("not open").select(*cut.columns).union(cut)
