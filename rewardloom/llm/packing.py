@@ -40,8 +40,6 @@ END = 1
 #: Large pieces take more than this share of a sequence.
 LARGE = 1 / 8
 GROUPS = (12, 24, 48)
-#: Sizes in the linear program are multiples of this.
-UNIT = 8
 #: Words whose ids a task remembers at most.
 REMEMBERED = 2_000_000
 
@@ -131,23 +129,22 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The multiset of sizes within ``room`` of the greatest worth."""
-    value, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for r in range(1, room + 1):
-        value[r] = value[r - 1]
-        fits = sizes <= r
-        if fits.any():
-            gains = np.where(fits, value[r - np.minimum(sizes, r)] + worth, -1)
-            i = int(gains.argmax())
-            if gains[i] > value[r] + 1e-12:
-                value[r], choice[r] = gains[i], i
+    """The multiset of sizes within ``room`` of the greatest worth, by the number of its members."""
+    value, chosen = np.zeros(room + 1), []
+    for _ in range(room // int(sizes.min())):
+        with_one = np.full((len(sizes), room + 1), -1.0)
+        for i, size in enumerate(sizes.tolist()):
+            with_one[i, size:] = value[: room + 1 - size] + worth[i]
+        best = with_one.argmax(axis=0)
+        gained = with_one[best, np.arange(room + 1)]
+        better = gained > value + 1e-12
+        chosen.append(np.where(better, best, -1))
+        value = np.where(better, gained, value)
     column, r = np.zeros(len(sizes)), room
-    while r > 0:
-        if choice[r] < 0:
-            r -= 1
-        else:
-            column[choice[r]] += 1
-            r -= int(sizes[choice[r]])
+    for best in reversed(chosen):
+        if best[r] >= 0:
+            column[best[r]] += 1
+            r -= int(sizes[best[r]])
     return float(value[room]), column
 
 
@@ -174,7 +171,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
 
 
 def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]:
-    """``large`` (length, count; longest first) in groups of equal cardinality."""
+    """``large`` (length, count; longest first) in groups of equal cardinality; few lengths are a group each."""
+    if len(large) <= groups:
+        return [[[length, count]] for length, count in large]
     each = -(-sum(c for _, c in large) // groups)
     out: list[list[list[int]]] = [[]]
     room = each
@@ -264,17 +263,15 @@ def planned(lengths: dict[int, int], capacity: int, groups: int) -> list[Run]:
     rest = {length: count for length, count in ordered if length <= capacity * LARGE}
     runs: list[Run] = []
     if large:
-        room = capacity // UNIT
         queues, sizes = [], []
         for group in _grouped(large, groups):
-            size = min(room, -(-group[0][0] // UNIT))
-            if sizes and sizes[-1] == size:
+            if sizes and sizes[-1] == group[0][0]:
                 queues[-1].extend(group)
             else:
                 queues.append(deque(group))
-                sizes.append(size)
+                sizes.append(group[0][0])
         demand = np.array([sum(c for _, c in q) for q in queues], float)
-        for times, column in configurations(np.array(sizes), demand, room):
+        for times, column in configurations(np.array(sizes), demand, capacity):
             runs.extend(_substituted(times, column, queues))
         for queue in queues:
             for length, count in queue:

@@ -87,7 +87,7 @@ def test_equal_lengths_spread_over_tasks(spark):
 
     from rewardloom.llm.tables import numbered, stored
 
-    rows = stored(spark.range(5000).select((F.col("id") % 3 // 2).alias("k"), "id"), "rows")
+    rows = stored(spark.range(5000).select((F.col("id") % 3 % 2).alias("k"), "id"), "rows")
     found = numbered(rows, ["k"], ["id"], F.xxhash64("id")).collect()
     by = defaultdict(list)
     for r in found:
