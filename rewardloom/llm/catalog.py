@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from rewardloom.llm import rules, warc
 from rewardloom.llm.decontaminate import op6_decontamination
+from rewardloom.llm.extraction import op4_html_extraction
 from rewardloom.llm.packing import op3_best_fit_packing
 from rewardloom.llm.quality import op5_quality_classifier
 from rewardloom.llm.rules import op10_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,

@@ -34,10 +34,10 @@ from rewardloom.llm import words as W
 
 BLOCK = 20_000
 LEAST = 6
-STRIDE = 6
+STRIDE = 3
 #: Window sizes in words (steps that are sampled) and how many steps are sampled.
-CLASSES = ((6, 5), (12, 6), (24, 7), (48, 8))
-REPETITIONS = 6
+CLASSES = ((4, 3), (9, 5), (24, 7), (48, 8))
+REPETITIONS = 5
 SIMILARITY = 0.8
 LEAK = "doc_id long, item_id long, start int, n_words int, distance int"
 
