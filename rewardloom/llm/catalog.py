@@ -10,6 +10,7 @@ from rewardloom.llm.extraction import op4_html_extraction
 from rewardloom.llm.packing import op3_best_fit_packing
 from rewardloom.llm.quality import op5_quality_classifier
 from rewardloom.llm.rules import op10_quality_rules
+from rewardloom.llm.scoring import op8_lm_scoring
 from rewardloom.llm.sharding import op7_sharding
 from rewardloom.llm.simhash import op9_simhash
 from rewardloom.llm.substrings import op1_substring_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
