@@ -41,7 +41,7 @@ END = 1
 LARGE = 1 / 8
 GROUPS = (12, 24, 48)
 #: Words whose ids a task remembers at most.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Run = tuple[int, tuple[int, ...]]
