@@ -82,9 +82,38 @@ def as_fraction(c: Column) -> Column:
     )
 
 
+# A quoted text inside a literal (kept as it is), or one character outside of any.
+_LITERAL_PART = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[A-Za-z_]+|(?s:.)"""
+_WORDS = {"True": "true", "False": "false", "None": "null"}
+
+
+def literal_as_json(c: Column) -> Column:
+    """A Python list or tuple literal as JSON text: brackets for parentheses, a bare list of items in brackets, JSON's names
+    for the three constants, double quotes. Quoted texts stay as they are inside. Nothing is evaluated."""
+
+    def written(part: Column) -> Column:
+        quoted = F.substring(part, 1, 1).isin("'", '"') & (F.length(part) > 1)
+        inside = F.substring(part, F.lit(2), F.length(part) - 2)
+        text = F.concat(
+            F.lit('"'), F.replace(F.replace(inside, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"')
+        )
+        plain = part
+        for name, json in _WORDS.items():
+            plain = F.when(part == name, json).otherwise(plain)
+        return F.when(quoted & part.startswith("'"), text).when(quoted, part).otherwise(F.translate(plain, "()", "[]"))
+
+    parts = F.regexp_extract_all(strip(c), F.lit(_LITERAL_PART), F.lit(0))
+    json = F.array_join(F.transform(parts, written), "")
+    # A comma may stand behind the last item; items without brackets are a list.
+    json = F.regexp_replace(json, r",\s*(?=\])", "")
+    bare = ~json.rlike(r"^\s*[\[{]") | F.try_parse_json(json).isNull()
+    wrapped = F.concat(F.lit("["), F.regexp_replace(json, r",\s*$", ""), F.lit("]"))
+    return F.when(bare & json.contains(","), wrapped).otherwise(json)
+
+
 def same_list(a: Column, b: Column) -> Column:
-    """Lists and matrices of numbers by value, anything else as normalised JSON."""
-    ja, jb = (F.replace(strip(c), F.lit("'"), F.lit('"')) for c in (a, b))
+    """Lists, tuples and matrices of numbers by value, anything else as normalised JSON."""
+    ja, jb = literal_as_json(a), literal_as_json(b)
     flat_a, flat_b = (F.from_json(j, "array<double>") for j in (ja, jb))
     grid_a, grid_b = (F.from_json(j, "array<array<double>>") for j in (ja, jb))
 

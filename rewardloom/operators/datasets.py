@@ -35,7 +35,8 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def spot_check(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """One row that looks random and is the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(1)
+    hashed = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return df.orderBy(hashed, key).limit(1)
 
 
 def latest_run(df: DataFrame, model: str = "model", run: str = "run", started: str = "started_at") -> DataFrame:

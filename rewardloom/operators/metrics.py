@@ -262,13 +262,14 @@ def batch_accuracy(df: DataFrame, keys: list[str], reward: str = "correctness",
 
 
 def sampled_steps(df: DataFrame, column: str = "step", one_in: int = 10) -> DataFrame:
-    """The steps expensive metrics are computed for: a fixed share, the same on every run."""
-    return df.where(F.pmod(F.xxhash64(F.col(column)), F.lit(one_in)) == 0)
+    """The steps expensive metrics are computed for: a fixed share by their hash, the same on every run and engine."""
+    hashed = F.conv(F.substring(F.md5(F.col(column).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.where(F.pmod(hashed, F.lit(one_in)) == 0)
 
 
 # Text fields that are logged under ``text/``.
 TEXT_FIELDS = ("generation", "prediction", "output")
-NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+NUMERIC = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def metric_tags(df: DataFrame, step: str = "step") -> DataFrame:
@@ -294,7 +295,7 @@ def metric_tags(df: DataFrame, step: str = "step") -> DataFrame:
         for name, kind in df.dtypes:
             if name == step:
                 continue
-            if kind in NUMERIC:
+            if kind in NUMERIC or kind.startswith("decimal"):
                 entries.append(entry(F.lit(f"metrics/{name}"), "scalar", number=F.col(name)))
             elif kind.startswith("array<") and kind[6:-1] in NUMERIC:
                 entries.append(entry(F.lit(f"distributions/{name}"), "histogram", numbers=F.col(name)))

@@ -66,13 +66,18 @@ def pair_similarities(pairs: DataFrame, p: Profile = V2) -> DataFrame:
     )
 
 
-# A prompt that serves every completion is broadcast; this many rows at most are ever taken for that.
-SINGLE_PROMPT_ROWS = 1
+def with_single_prompt(df: DataFrame, prompts: DataFrame, prompt: str = "question") -> DataFrame:
+    """Pair every row with the only prompt there is, as a scalar; a second prompt is an error."""
+    return df.withColumn(prompt, prompts.select(prompt).scalar())
 
 
-def with_single_prompt(df: DataFrame, prompts: DataFrame, prompt: str = "question") -> DataFrame:
-    """Pair every row with the only prompt there is, as a scalar."""
-    return df.withColumn(prompt, prompts.select(prompt).limit(SINGLE_PROMPT_ROWS).scalar())
+def with_prompts(
+    df: DataFrame, prompts: DataFrame, at: str = "pos", prompt: str = "question"
+) -> DataFrame:
+    """Pair every row with the prompt at its position ``at``, or with the first prompt if there is none there."""
+    first = prompts.agg(F.min_by(prompt, at).alias(prompt)).scalar()
+    own = prompts.select(at, F.col(prompt).alias("__own"))
+    return df.join(own, at, "left").withColumn(prompt, F.coalesce("__own", first)).drop("__own")
 
 
 def with_equations(problems: DataFrame, equations: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -22,7 +22,10 @@ def _position(df: DataFrame, keys: list[str], newest_first: list[Column]) -> Dat
 def last_values(
     df: DataFrame, n: int = WINDOW, keys: list[str] = ("metric",), order: list[str] = ("step",)
 ) -> DataFrame:
-    """The ``n`` newest rows of every metric. Each task keeps at most ``n`` rows per metric before the shuffle."""
+    """The ``n`` newest rows of every metric. Each task keeps at most ``n`` rows per metric before the shuffle.
+
+    ``order`` should name every row of a metric once (step, then sequence); rows that tie may come in either order.
+    """
     newest = [F.col(c).desc() for c in order]
     return _position(df, list(keys), newest).where(F.col("__at") <= n).drop("__at")
 

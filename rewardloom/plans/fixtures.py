@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom import session
-from rewardloom.operators.layout import spread
+
+
+# A sample is named by its conversation and turn in one number; no conversation has that many turns.
+TURNS_MOST = 1_000_000_000
 
 
 class Tables:
@@ -18,18 +21,23 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return session.scan(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def work(self, name: str) -> str:
         return session.work_dir(self.spark, name)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.read("documents"), "doc_id")
+        return self.read("documents")
+
+    @cached_property
+    def scripted_documents(self) -> DataFrame:
+        """``doc_id, text``: the documents, some with words of other scripts, dots, quotes and glued repetitions."""
+        return self.spark.sql(SCRIPTED.replace("from documents", "from {documents}"), documents=self.documents)
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return spread(self.read("conversations"), "conv_id", "turn")
+        return self.read("conversations")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -44,7 +52,7 @@ class Tables:
             "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body")
         )
         return user.join(reply, ["conv_id", "turn"]).select(
-            (F.col("conv_id") * 100 + F.col("turn")).alias("sample_id"),
+            (F.col("conv_id") * TURNS_MOST + F.col("turn")).alias("sample_id"),
             "conv_id",
             "turn",
             "question",
@@ -87,7 +95,7 @@ class Tables:
     def typed_answers(self) -> DataFrame:
         """``sample_id, answer_type, category, target, model_answer``, one row per order."""
         return self.spark.sql(
-            TYPED_ANSWERS.replace("from orders", "from {orders}"), orders=spread(self.read("orders"), "o_orderkey")
+            TYPED_ANSWERS.replace("from orders", "from {orders}"), orders=self.read("orders")
         )
 
     @cached_property
@@ -96,8 +104,8 @@ class Tables:
         return self.spark.sql(METRIC_LOG.replace("from events", "from {events}"), events=self.events)
 
 
-TURNS = """
-select u.conv_id*100+u.turn as sample_id, u.conv_id, u.turn, u.text as question, a.text as body,
+TURNS = f"""
+select u.conv_id*{TURNS_MOST}+u.turn as sample_id, u.conv_id, u.turn, u.text as question, a.text as body,
   cast((u.conv_id*7+u.turn*13)%100 as varchar) as truth, (u.conv_id+u.turn)%10 as b
 from conversations u join conversations a on a.conv_id=u.conv_id and a.turn=u.turn+1
 where u.role='user' and a.role='assistant'
@@ -135,21 +143,36 @@ select o_orderkey as sample_id,
 from orders
 """
 
+SCRIPTED = """
+select doc_id, case doc_id % 10
+ when 0 then concat(text, ' ', repeat('漢', cast(9 + doc_id % 7 as int)))
+ when 1 then concat(text, ' ', repeat('привет', 3), ' ', repeat('привет', 3), ' ', repeat('привет', 3))
+ when 2 then concat(text, ' wait', repeat('.', cast(4 + doc_id % 4 as int)), ' ".', repeat('"', 4), ' ')
+ when 3 then concat('abcабвabcабвabcабвabcабв ', text, ' abcдеж')
+ when 4 then concat(text, ' مرحبامرحبا', repeat('漢字', 6))
+ when 5 then concat(repeat('да', 6), ' ', repeat('да', 6), ' ', repeat('да', 6))
+ when 6 then concat('go go go ', repeat('ha', cast(2 + doc_id % 5 as int)), ' abABabABabAB ', text)
+ else text end as text from documents
+"""
+
 METRIC_LOG = "select event_type as metric, event_id as step, value, ts, user_id as sample_group from events"
 
 _CTES = {
     "turns": TURNS, "generations": GENERATIONS, "typed_answers": TYPED_ANSWERS, "metric_log": METRIC_LOG,
+    "scripted_documents": SCRIPTED,
 }
 
 
 def with_tables(sql: str, *extra: tuple[str, str]) -> str:
     """Put the derived tables a statement names (and ``extra`` steps) in front of it as common table expressions."""
     needed, text = [], sql + " ".join(body for _, body in extra)
-    for name in ("generations", "turns", "typed_answers", "metric_log"):
+    for name in ("generations", "turns", "typed_answers", "metric_log", "scripted_documents"):
         if name in text:
             needed.insert(0, (name, _CTES[name]))
             text += _CTES[name]
     steps = [*needed, *extra]
     if not steps:
         return sql
-    return "with " + ", ".join(f"{name} as ({body})" for name, body in steps) + " " + sql
+    recursive = "recursive " if any(name.startswith("recursive ") for name, _ in steps) else ""
+    parts = [f"{name.removeprefix('recursive ')} as ({body})" for name, body in steps]
+    return f"with {recursive}" + ", ".join(parts) + " " + sql

@@ -48,16 +48,16 @@ query("r5_tag_count", reward_sql(R5))(reward("tag_count"))
 query("r6_anti_repetition")(reward("anti_repetition"))
 
 
-def detector(name: str):
+def detector(name: str, profile=V2):
     def run(t: Tables) -> DataFrame:
-        return t.documents.select("doc_id", repetition.detector(name, F.col("text")).alias("weight"))
+        return t.scripted_documents.select("doc_id", repetition.detector(name, F.col("text"), profile).alias("weight"))
 
     return run
 
 
 def lengths(pattern: str) -> str:
     found = f"list_transform(regexp_extract_all(text, '{pattern}'), lambda m: length(m))"
-    return f"select doc_id, cast(coalesce(list_sum({found}), 0) as bigint) as weight from documents"
+    return f"select doc_id, cast(coalesce(list_sum({found}), 0) as bigint) as weight from scripted_documents"
 
 
 query("r6_1_script_runs", lengths(r"\p{Han}{10,}|\p{Arabic}{10,}|\p{Tamil}{10,}|\p{Cyrillic}{10,}"))(
@@ -65,7 +65,7 @@ query("r6_1_script_runs", lengths(r"\p{Han}{10,}|\p{Arabic}{10,}|\p{Tamil}{10,}|
 query("r6_2_repeated_units")(detector("pattern"))
 query("r6_3_punctuation", lengths('[.]{5,}|["][.]["]{3,}|[.]["][.]["]{2,}'))(detector("punctuation"))
 query("r6_4_repeated_words", """
-select doc_id, cast(coalesce(w, 0) as bigint) as weight from documents left join (
+select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(length(word) * n) as w from (
     select doc_id, word, count(*) as n from (
       select doc_id, word, row_number() over (partition by doc_id order by i)
@@ -73,28 +73,45 @@ select doc_id, cast(coalesce(w, 0) as bigint) as weight from documents left join
       from words where length(word) >= 2) group by doc_id, word, island having count(*) >= 3) group by doc_id)
 using (doc_id)""", [("words", f"""
 select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
-  select doc_id, {q.words('text')} as w from documents)""")])(detector("word"))
-query("r6_5_glued_repetitions")(detector("no_space_word"))
+  select doc_id, {q.words('text')} as w from scripted_documents)""")])(detector("word"))
+# The longest unit that follows itself twice is taken at every letter, then the walk goes on behind its run.
+query("r6_5_glued_repetitions", """
+select doc_id, cast(sum(coalesce(w, 0)) as bigint) as weight from (
+  select doc_id, unnest(case when len(l) > 0 then l else [''] end) as word from (
+    select doc_id, """ + q.words("text") + """ as l from scripted_documents))
+left join (select word, max(w) as w from walk group by word) using (word) group by doc_id""", [
+    ("recursive units", f"""
+select distinct word from (select unnest({q.words('text')}) as word from scripted_documents) where length(word) >= 6"""),
+    ("walk(word, p, w)", """
+select word, cast(1 as bigint), cast(0 as bigint) from units
+union all
+select word, case when unit is null then p + 1 else p + unit * times end, w + coalesce(unit * times, 0) from (
+  select *, list_filter(range((length(word) - p + 1) // unit, 2, -1),
+    lambda k: substr(word, p, unit * k) = repeat(substr(word, p, unit), k))[1] as times
+  from (select *, list_filter(range((length(word) - p + 1) // 3, 1, -1),
+      lambda n: regexp_full_match(substr(word, p, n), '[a-zA-Z]+') and substr(word, p + n, 2 * n) = repeat(substr(word, p, n), 2))[1]
+      as unit from walk where p <= length(word) - 5))"""),
+])(detector("no_space_word"))
 LETTERS = "".join(f"\\p{{{s}}}" for s in SCRIPTS)
 FOREIGN = "".join(f"\\p{{{s}}}" for s in SCRIPTS if s != "Latin")
 CODES = "segment"
 for code, script in zip("0123456789:;<", SCRIPTS):
     CODES = f"regexp_replace({CODES}, '\\p{{{script}}}', '{code}', 'g')"
 query("r6_6_mixed_scripts", """
-select doc_id, cast(coalesce(w, 0) as bigint) as weight from documents left join (
+select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(length(segment) * len(c)) as w from changes
   where len(c) > 0 and not (len(c) <= 6 and len(c) / (len(c) + 1) >= 0.4
     and len([x for x in list_distinct(c) if len([y for y in c if y = x]) < 3]) = 0)
   group by doc_id) using (doc_id)""", [
     ("segments", f"""
 select doc_id, segment from (select doc_id, unnest(regexp_extract_all(text, '[{LETTERS}]{{2,}}')) as segment
-  from documents where regexp_matches(text, '[{FOREIGN}]')) where regexp_matches(segment, '[{FOREIGN}]')"""),
+  from scripted_documents where regexp_matches(text, '[{FOREIGN}]')) where regexp_matches(segment, '[{FOREIGN}]')"""),
     ("codes", f"select doc_id, segment, string_split({CODES}, '') as k from segments"),
     ("changes", "select doc_id, segment, [k[i] for i in range(2, len(k) + 1) if k[i] <> k[i - 1]] as c from codes"),
 ])(detector("mixed_script"))
 
 PHRASE_STEPS = [
-    ("lists", f"select doc_id, text, {q.words('text')} as w from documents"),
+    ("lists", f"select doc_id, text, {q.words('text')} as w from scripted_documents"),
     ("placed", "select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from lists"),
     ("led", """
 select doc_id, word as w1, lead(word, 1) over o as w2, lead(word, 2) over o as w3, lead(word, 3) over o as w4,
@@ -114,23 +131,28 @@ select doc_id, phrase, positions, {q.occurrences('text', 'phrase')} as n from ca
 WHITE = " or ".join(f"regexp_matches(phrase, {q.lit(p)})" for p in V2.whitelist)
 
 query("r6_7_repeated_phrases", f"""
-select doc_id, cast(coalesce(w, 0) as bigint) as weight from documents left join (
+select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(positions * length(phrase) * n) as w from repeated where not ({WHITE}) group by doc_id)
 using (doc_id)""", PHRASE_STEPS)(detector("phrase"))
-query("r6_8_non_latin_repeats", "select doc_id, cast(0 as bigint) as weight from documents")(detector("non_latin"))
+query("r6_8_non_latin_repeats", "select doc_id, cast(0 as bigint) as weight from scripted_documents")(detector("non_latin"))
+RUNS = "|".join(f"\\p{{{s}}}{{3,}}" for s in SCRIPTS if s != "Latin")
+query("r6_8_non_latin_runs", f"""
+select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '{RUNS}'),
+  lambda r: case when {q.occurrences('text', 'r')} >= 3 then {q.occurrences('text', 'r')} * length(r) else 0 end)), 0) as bigint) as weight
+from scripted_documents""")(detector("non_latin", replace(V2, non_latin_runs=True)))
 
 AUDIT = replace(V2, whitelist=(r"\b(and|the|und|et|de|die|la) ",))
 
 
 @query("k8_whitelist_audit", """
 select doc_id, concat(left(text, 500), case when length(text) > 500 then '...' else '' end) as excerpt, phrase, n, positions
-from repeated join documents using (doc_id) where regexp_matches(phrase, '\\b(and|the|und|et|de|die|la) ')""",
+from repeated join scripted_documents using (doc_id) where regexp_matches(phrase, '\\b(and|the|und|et|de|die|la) ')""",
        PHRASE_STEPS)
 def k8(t: Tables) -> DataFrame:
     """Repeated phrases that were let pass, with the start of their text, as a side table of the repetition reward."""
     found = F.filter(repetition.repeated_phrases(F.col("text"), AUDIT), lambda c: c["whitelisted"])
     excerpt = F.concat(F.substring("text", 1, 500), F.when(F.length("text") > 500, "...").otherwise(""))
-    rows = t.documents.select("doc_id", excerpt.alias("excerpt"), F.explode(found).alias("c"))
+    rows = t.scripted_documents.select("doc_id", excerpt.alias("excerpt"), F.explode(found).alias("c"))
     return rows.select("doc_id", "excerpt", "c.phrase", "c.n", "c.positions")
 
 

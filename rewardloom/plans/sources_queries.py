@@ -17,14 +17,12 @@ from rewardloom.profiles import SYSTEM_PROMPT, V2
 from rewardloom.sources import datasets, logs, questions
 
 DAY = "2024-01-01"
-# Turns of one conversation are gathered in parts of this many, so that no conversation is too long for a task.
-PART = 1000
 
 
 def user_documents(t: Tables) -> DataFrame:
-    """JSON question documents in the three accepted shapes, one per conversation (part)."""
-    turns = t.conversations.where("role = 'user'").withColumn("part", F.floor(F.col("turn") / PART))
-    listed = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    """JSON question documents in the three accepted shapes, one per conversation, as such a document is one value."""
+    turns = t.conversations.where("role = 'user'")
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
     texts = F.transform("m", lambda m: m["text"])
     objects = F.transform("m", lambda m: F.struct(m["text"].alias("question")))
     shape = F.pmod("conv_id", F.lit(3))
@@ -33,12 +31,11 @@ def user_documents(t: Tables) -> DataFrame:
         .when(shape == 1, F.to_json(objects))
         .otherwise(F.to_json(F.struct(texts.alias("questions"))))
     )
-    return listed.select("conv_id", "part", value.alias("value"))
+    return listed.select("conv_id", value.alias("value"))
 
 
-@query("s1_json_questions", f"""
-select conv_id, cast(turn // {PART} as bigint) as part,
-  row_number() over (partition by conv_id, turn // {PART} order by turn) - 1 as pos, text as question
+@query("s1_json_questions", """
+select conv_id, row_number() over (partition by conv_id order by turn) - 1 as pos, text as question
 from conversations where role = 'user'""")
 def s1(t: Tables) -> DataFrame:
     return questions.questions_from_json(user_documents(t))
@@ -87,14 +84,12 @@ def s5(t: Tables) -> DataFrame:
     )
 
 
-@query("s6_held_out", f"""
-select conv_id, part, pos, question as input, truth as expected from (
- select conv_id, cast(turn // {PART} as bigint) as part, question, truth,
-   row_number() over (partition by conv_id, turn // {PART} order by turn) - 1 as pos from turns)
+@query("s6_held_out", """
+select conv_id, pos, question as input, truth as expected from (
+ select conv_id, question, truth, row_number() over (partition by conv_id order by turn) - 1 as pos from turns)
 where pos < 100""")
 def s6(t: Tables) -> DataFrame:
-    keyed = t.turns.withColumn("part", F.floor(F.col("turn") / PART))
-    listed = keyed.groupBy("conv_id", "part").agg(
+    listed = t.turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "question", "truth"))).alias("m")
     )
 
@@ -111,7 +106,7 @@ def s6(t: Tables) -> DataFrame:
     value = F.lit(None).cast("string")
     for shape, form in enumerate(forms):
         value = F.when(F.pmod("conv_id", F.lit(len(forms))) == shape, form).otherwise(value)
-    return datasets.held_out(listed.select("conv_id", "part", value.alias("value")))
+    return datasets.held_out(listed.select("conv_id", value.alias("value")))
 
 
 RENDERED = (

@@ -98,6 +98,16 @@ def attempts(t: Tables) -> DataFrame:
     )
 
 
+@query("j5_prompt_or_first", """
+select t.sample_id, coalesce(b.text, (select text from benchmark order by item_id limit 1)) as question
+from turns t left join benchmark b on b.item_id = t.conv_id""")
+def j5_prompts(t: Tables) -> DataFrame:
+    """Samples beyond the last prompt get the first one."""
+    prompts = t.read("benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("question"))
+    rows = t.turns.select("sample_id", F.col("conv_id").alias("pos"))
+    return pairing.with_prompts(rows, prompts).select("sample_id", "question")
+
+
 @query("j6_equation_cache", """
 select c_custkey as problem_id, e.equation from customer left join (
   select problem_id, min_by(equation, attempt) as equation from attempts where is_valid group by problem_id) e
@@ -375,9 +385,14 @@ def a18(t: Tables) -> DataFrame:
     return rounded(datasets.success_rates(attempts(t)), "success_rate")
 
 
-@query("a19_sampled_metrics")
+@query("a19_sampled_metrics", """
+select run, step, cast(sum(n) as bigint) as n_tokens, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as token_entropy
+from (select run, step, token, count(*) as n from sampled group by all) group by run, step""", [("sampled", f"""
+select run, step, unnest({q.words('model_output')}) as token from generations
+where cast(concat('0x', substr(md5(cast(step as varchar)), 1, 8)) as bigint) % 10 = 0""")])
 def a19(t: Tables) -> DataFrame:
-    return metrics.token_entropy(metrics.sampled_steps(t.generations), "model_output", ["run", "step"])
+    sampled = metrics.sampled_steps(t.generations)
+    return rounded(metrics.token_entropy(sampled, "model_output", ["run", "step"]), "token_entropy")
 
 
 @query("a20_duplicate_questions", """
@@ -532,7 +547,7 @@ def o4(t: Tables) -> DataFrame:
     return datasets.latest_run(starts)
 
 
-@query("o5_spot_check")
+@query("o5_spot_check", "select doc_id, text from documents order by md5(concat(doc_id, '|7')), doc_id limit 1")
 def o5(t: Tables) -> DataFrame:
     return datasets.spot_check(t.documents.select("doc_id", "text"), "doc_id", seed=7)
 

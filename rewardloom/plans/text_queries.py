@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import extract as x
@@ -13,7 +13,7 @@ from rewardloom.operators.scoring import flags, score
 from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
-from rewardloom.plans.sources_queries import PART, RENDERED
+from rewardloom.plans.sources_queries import RENDERED
 from rewardloom.profiles import SOLUTION_TAGS, SYSTEM_PROMPT
 
 
@@ -35,25 +35,20 @@ def p1(t: Tables) -> DataFrame:
     )
 
 
-@query("p2_render_messages", f"""
-select conv_id, part, concat(body, case when part = max(part) over (partition by conv_id) then '<eos>' else '' end) as text
-from (select conv_id, cast(turn // {PART} as bigint) as part,
-  string_agg(concat('<start_of_turn>', role, chr(10), text, '<end_of_turn>', chr(10)), '' order by turn) as body
-  from conversations group by all)""")
+@query("p2_render_messages", """
+select conv_id, concat(string_agg(concat('<start_of_turn>', role, chr(10), text, '<end_of_turn>', chr(10)), '' order by turn),
+  '<eos>') as text from conversations group by conv_id""")
 def p2(t: Tables) -> DataFrame:
-    """Conversations as texts. A long one comes in parts of bounded size; the last carries the end marker."""
+    """Conversations as texts: one text each, however long, as the text is the result."""
     pieces = t.conversations.select(
-        "conv_id", F.floor(F.col("turn") / PART).alias("part"), "turn",
+        "conv_id", "turn",
         p.render_message(F.col("role"), F.col("text")).alias("piece"),
     )
-    bodies = pieces.groupBy("conv_id", "part").agg(
+    bodies = pieces.groupBy("conv_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "piece"))), lambda m: m["piece"]), "")
         .alias("body")
     )
-    last = F.col("part") == F.max("part").over(Window.partitionBy("conv_id"))
-    return bodies.select(
-        "conv_id", "part", F.concat("body", F.when(last, p.END_MARKER).otherwise("")).alias("text")
-    )
+    return bodies.select("conv_id", F.concat("body", F.lit(p.END_MARKER)).alias("text"))
 
 
 @query("p3_reasoning_cue", "select sample_id, concat(question, '<reasoning>') as prompt from turns")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,17 +32,25 @@ def local_session(app: str, cpus: int | str = "*", **extra: str) -> SparkSession
     return builder.getOrCreate()
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, in the partitions Spark cuts it into.
+
+    Scans are cut by bytes and at most into row groups, which suits large tables. Where small files have to keep many
+    cores busy, the setting ``spark.rewardloom.scanPartitions`` spreads their rows over so many partitions.
+    """
+    table = spark.read.parquet(path)
+    wanted = spark.conf.get("spark.rewardloom.scanPartitions", None)
+    return table.repartition(int(wanted)) if wanted else table
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's ``spark.checkpoint.dir``.
+    """A fresh folder below the session's ``spark.checkpoint.dir``, or below its warehouse where that is unset.
 
-    The cluster names that shared folder. Only a local session (tests, a laptop) may leave it unset; a temporary
-    folder is then made and set for the session, so that a cluster never works in a folder of one machine.
+    Both are folders that all executors share. The folder is deleted when the driver ends.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rewardloom-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rewardloom/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/rewardloom/{name}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

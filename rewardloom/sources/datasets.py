@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from rewardloom.functions.extract import fenced_payload, hash_answer
 from rewardloom.functions.prompts import (
@@ -72,11 +71,10 @@ def cached_prompts(
     spark: SparkSession, qa: DataFrame, path: str, force_rebuild: bool = False, max_tokens: int = MAX_TOKENS
 ) -> DataFrame:
     """Prompts and cut token lists, built once and read back from ``path`` afterwards."""
-    if not force_rebuild:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    # A folder without the mark of a finished job is not a cache; any other trouble with it is an error.
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not force_rebuild and mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.parquet(path)
     rendered = with_prompts(qa).withColumn("text", render_messages(F.col("prompt")))
     built = rendered.withColumn("tokens", truncated_tokens(F.col("text"), max_tokens)).drop("text")
     built.write.mode("overwrite").parquet(path)

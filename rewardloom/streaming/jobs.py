@@ -97,14 +97,18 @@ def _newest(rows: pd.DataFrame, n: int) -> pd.DataFrame:
 def running_trends(metrics: DataFrame, window: int = WINDOW, history: int = HISTORY) -> DataFrame:
     """Trend of each metric over its newest values, updated by every micro-batch.
 
-    The state of a metric is its newest ``history`` values. They are found batch by batch before the shuffle, so a
-    metric with a large part of all rows sends no more than ``history`` rows per Arrow batch to its task.
+    The state of a metric is its newest ``history`` values. They are found before the shuffle, so a metric with a large
+    part of all rows sends no more than ``history`` rows per task to the one that holds its state.
     """
     wanted = metrics.select("metric", F.col("step").cast("bigint"), F.col("value").cast("double"))
 
     def newest_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
         for rows in batches:
-            yield rows.sort_values("step").groupby("metric", sort=False).tail(history)
+            both = rows if kept is None else pd.concat([kept, rows])
+            kept = both.sort_values("step").groupby("metric", sort=False).tail(history)
+        if kept is not None:
+            yield kept
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, values = state.get if state.exists else ([], [])

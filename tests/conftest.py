@@ -9,8 +9,8 @@ from rewardloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 4)
+def spark(tmp_path_factory):
+    session = local_session("tests", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("work"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -49,12 +49,27 @@ def test_entry(spark):
 
 
 def test_detectors_without_sql_over_whole_documents(spark):
-    texts = {r.doc_id: r.text for r in Tables(spark, SF).documents.select("doc_id", "text").collect()}
+    texts = {r.doc_id: r.text for r in Tables(spark, SF).scripted_documents.collect()}
     for name, weight in (("r6_2_repeated_units", brute.unit_weight), ("r6_5_glued_repetitions", brute.glued_weight)):
         got = {r.doc_id: r.weight for r in QUERIES[name](spark, SF).collect()}
         assert got == {i: weight(t) for i, t in texts.items()}, name
 
 
+@pytest.mark.parametrize("name", ["r6_1_script_runs", "r6_3_punctuation", "r6_6_mixed_scripts", "r6_8_non_latin_runs"])
+def test_detectors_find_something(spark, name):
+    weights = [r.weight for r in QUERIES[name](spark, SF).collect()]
+    assert sum(w > 0 for w in weights) > 0.05 * len(weights)
+
+
+def test_long_conversations_stay_one_document(spark, tmp_path):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(2500)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["s1_json_questions"](spark, str(tmp_path)).count() == 1250
+    assert QUERIES["s6_held_out"](spark, str(tmp_path)).count() == 100
+    assert QUERIES["p2_render_messages"](spark, str(tmp_path)).count() == 1
+    assert Tables(spark, str(tmp_path)).turns.select("sample_id").distinct().count() == 1250
+
+
 def test_rewards_without_sql_over_all_generations(spark):
     def key(r):
         return r.run, r.sample_id

@@ -253,3 +253,14 @@ def test_custom_rewards_long_and_wide(spark):
 def test_scoring_needs_no_shuffle(spark):
     plan = score(generations(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_literals_of_lists_and_tuples(evaluate):
+    pairs = [
+        ("1, 2", "1,2"), ("(1, 2)", "(1,2)"), ("((1,2),(3,4))", "((1, 2), (3, 4))"), ("[True, None]", "[True,None]"),
+        ("['a', \"b\"]", '["a","b"]'), ("(1, 2,)", "(1, 2)"), ("['True', 1]", "['True',1]"), ("['it\\'s']", '["it\'s"]'),
+    ]
+    different = [("(1, 2)", "(2, 1)"), ("['True']", "[True]"), ("[1, 2", "[1, 2]x"), ("['(a)']", "['[a]']"), ("", "[]")]
+    found = evaluate(pairs + different, answers.same_list(F.col("a"), F.col("b")), names=("a", "b"))
+    assert found[: len(pairs)] == [True] * len(pairs)
+    assert not any(found[len(pairs) :])
