@@ -1,3 +1,4 @@
+from types import SimpleNamespace
 import json
 
 import pytest
@@ -118,29 +119,13 @@ def test_generation_hook(spark):
     assert got.full_response == "prompt:" + got.model_output
 
 
-class Session:
-    """What work_dir looks at."""
-
-    def __init__(self, configured, master):
-        self.configured, self.master, self.made = configured, master, None
-        self.conf = self.sparkContext = self
-
-    def get(self, key, default):
-        assert key == "spark.checkpoint.dir"
-        return self.configured or default
-
-    def getCheckpointDir(self):
-        return self.made
-
-    def setCheckpointDir(self, folder):
-        self.made = folder
-
-
-def test_work_folder_is_the_one_the_session_names():
-    named = Session("hdfs://shared/folder/", "spark://cluster")
-    first, second = (work_dir(named, "x") for _ in range(2))
-    assert first != second and first.startswith("hdfs://shared/folder/rewardloom/x-")
-    local = Session(None, "local[2]")
-    assert work_dir(local, "x").startswith(local.made) and work_dir(local, "x").startswith(local.made)
-    with pytest.raises(ValueError, match="share"):
-        work_dir(Session(None, "spark://cluster"), "x")
+def test_work_folder_is_the_one_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    first, second = (work_dir(spark, "x") for _ in range(2))
+    assert first != second and first.startswith(f"{named}/rewardloom/x-")
+    context = spark.sparkContext
+    unset = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, *_: None if key == "spark.checkpoint.dir" else spark.conf.get(key)),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, _jvm=context._jvm, _jsc=context._jsc),
+    )
+    assert work_dir(unset, "x").startswith(spark.conf.get("spark.sql.warehouse.dir"))
