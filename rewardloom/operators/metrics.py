@@ -19,6 +19,8 @@ from rewardloom.profiles import V2, Profile
 
 # Bins of the median search per doubling of the magnitude.
 BINS_PER_DOUBLING = 256
+# Cells into which a bin that holds a middle rank is cut between its smallest and largest value.
+CELLS = 4096
 NAN_BIN = 1 << 62
 
 
@@ -36,8 +38,8 @@ def statistics(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
     """Count, mean, exact median, min, max and population deviation per group, in one pass over the input.
 
     Values are counted first: ties collapse before the shuffle, and a hot group is spread over its values. The
-    moments come from narrow bins of the counted values. The median is looked up through the bins too: only the one
-    or two bins that hold the middle ranks are put in order.
+    moments come from narrow bins of the counted values. The median is looked up through the bins too: the one or two
+    bins that hold the middle ranks are cut into cells, and only the cells that hold them are put in order.
     """
     keys = list(keys)
     counts = (
@@ -66,7 +68,7 @@ def statistics(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
     before = F.col("upto") - F.col("k")
 
     def holder(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") >= rank) & (before < rank), F.struct("bin", before.alias("before"))))
+        return F.max(F.when((F.col("upto") >= rank) & (before < rank), F.struct("bin", before.alias("before"), F.col("lo").alias("low"), F.col("hi").alias("high"))))
 
     groups = bins.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"),
@@ -75,8 +77,16 @@ def statistics(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
     )
     stats = ("n", "mean", "min", "max", "std")
     middle = groups.select(*keys, *stats, F.inline("middle"))
-    covered = join_on(counts, middle, [*keys, "bin"]).withColumn(
-        "at", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
+    share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1).cast("bigint")))
+    held = join_on(counts, middle, [*keys, "bin"]).withColumn("cell", F.coalesce(cell, F.lit(0).cast("bigint")))
+    cells = held.groupBy(*keys, "bin", "cell").agg(F.sum("c").alias("k"), F.first("before").alias("b"), F.first("n").alias("n"))
+    last = F.col("b") + F.sum("k").over(Window.partitionBy(*keys, "bin").orderBy("cell"))
+    cells = cells.withColumn("last", last).withColumn("first", F.col("last") - F.col("k"))
+    holds = [(F.col("last") >= rank) & (F.col("first") < rank) for rank in ranks.values()]
+    cells = cells.where(holds[0] | holds[1]).select(*keys, "bin", "cell", "first")
+    covered = join_on(held, cells, [*keys, "bin", "cell"]).withColumn(
+        "at", F.col("first") + F.sum("c").over(Window.partitionBy(*keys, "bin", "cell").orderBy("v"))
     )
 
     def covers(rank: Column) -> Column:

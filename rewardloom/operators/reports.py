@@ -118,7 +118,9 @@ def comparison_report(
     df: DataFrame, base: str, tuned: str, timestamp: Column, key: str = "sample_id", examples: int = EXAMPLES
 ) -> DataFrame:
     """One row with the comparison and the first examples side by side."""
-    first = side_by_side(df, base, tuned, key).orderBy(key).limit(examples)
+    # The first keys are found alone, so that no model output is shuffled to be compared and thrown away.
+    keys = df.where(F.col("run").isin(base, tuned)).select(key).distinct().orderBy(key).limit(examples)
+    first = side_by_side(df.join(F.broadcast(keys), key, "left_semi"), base, tuned, key)
     listed = first.agg(F.sort_array(F.collect_list(F.struct(*first.columns))))
     return run_comparison(df, base, tuned).select(
         timestamp.alias("timestamp"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import question_id, sections
 from rewardloom.functions.repetition import word_runs
-from rewardloom.functions.text import sentences
 from rewardloom.operators import datasets, metrics, pairing, reports, trends
 from rewardloom.operators.scoring import BUILT_IN, Rewards, score, to_long
 from rewardloom.plans import sql as q
@@ -491,10 +490,9 @@ from (select run, sample_id, unnest(l) as sentence, generate_subscripts(l, 1) as
   select run, sample_id, {q.sentences(q.section('model_output', '<reasoning>', '</reasoning>'))} as l from generations))""")
 def w8(t: Tables) -> DataFrame:
     reasoning, _, _ = sections(output())
-    rows = t.generations.select(*KEY, F.posexplode(sentences(reasoning, V2.sentence_pattern)).alias("pos", "sentence"))
-    keyed = rows.withColumn("sample", F.struct(*KEY))
-    paired = pairing.previous_sentence(keyed, "sample", "pos")
-    return paired.select(*KEY, F.col("pos").cast("bigint").alias("pos"), "sentence", "previous")
+    rows = t.generations.select(F.struct(*KEY).alias("sample"), "question", reasoning.alias("reasoning"))
+    paired = pairing.question_sentence_pairs(rows, "question", "reasoning", "sample")
+    return paired.select("sample.*", "pos", "sentence", "previous")
 
 
 @query("w9_run_detection", """

@@ -240,3 +240,12 @@ def test_a_hot_group_is_split_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_hovering_metric_is_not_sorted_in_one_task(spark):
+    """A million distinct values that differ little are cut into cells before any are put in order."""
+    values = spark.range(200_000).select(F.lit("m").alias("metric"), (1000 + F.col("id") / 400_000).alias("value"))
+    found = metrics.statistics(values, ["metric"])
+    assert found.first().median == pytest.approx(1000 + 99_999.5 / 400_000, abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "cell" in plan
