@@ -11,6 +11,8 @@ from rewardloom.llm.tables import stored
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # A number with very many links has them in one partition; a stored side lets adaptive execution split it.
+    least = stored(least, "least")
     return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
