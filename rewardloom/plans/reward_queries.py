@@ -156,6 +156,19 @@ def k8(t: Tables) -> DataFrame:
     return rows.select("doc_id", "excerpt", "c.phrase", "c.n", "c.positions")
 
 
+@query("k8_whitelist_records", """
+select doc_id, concat(left(any_value(text), 500), case when length(any_value(text)) > 500 then '...' else '' end) as excerpt,
+  string_agg(phrase, '|' order by phrase) as phrases
+from repeated join scripted_documents using (doc_id) where regexp_matches(phrase, '\\b(and|the|und|et|de|die|la) ') group by doc_id""",
+       PHRASE_STEPS)
+def k8_records(t: Tables) -> DataFrame:
+    """One record per text: its start and all phrases that were let pass."""
+    found = F.filter(repetition.repeated_phrases(F.col("text"), AUDIT), lambda c: c["whitelisted"])
+    excerpt = F.concat(F.substring("text", 1, 500), F.when(F.length("text") > 500, "...").otherwise(""))
+    rows = t.scripted_documents.select("doc_id", excerpt.alias("excerpt"), F.sort_array(F.transform(found, lambda c: c["phrase"])).alias("l"))
+    return rows.where(F.size("l") > 0).select("doc_id", "excerpt", F.array_join("l", "|").alias("phrases"))
+
+
 @query("r6_detector_counts")
 def r6_counts(t: Tables) -> DataFrame:
     counted = t.generations.select(*KEY, repetition.detector_counts(output()).alias("c"))

@@ -271,19 +271,22 @@ def k6(t: Tables) -> DataFrame:
 
 
 @query("k7_dataset_export", """
-select form, answer_type, count(*) as n from typed_answers, (values ('table'), ('csv'), ('json')) f(form)
-group by form, answer_type""")
+select form, answer_type, category, target, model_answer, count(*) as n
+from typed_answers, (values ('table'), ('csv'), ('json')) f(form) group by all""")
 def k7(t: Tables) -> DataFrame:
     path = t.work("export")
     table = t.typed_answers.select("answer_type", "category", F.array("target", "model_answer").alias("answers"))
     datasets_read = {}
     logs.export_dataset(table, path)
     datasets_read["table"] = t.spark.read.parquet(f"{path}/table")
-    datasets_read["csv"] = questions.read_csv(t.spark, f"{path}/csv")
+    csv = questions.read_csv(t.spark, f"{path}/csv")
+    datasets_read["csv"] = csv.withColumn("answers", F.from_json("answers", "array<string>"))
     datasets_read["json"] = t.spark.read.schema(table.schema).json(f"{path}/json")
     result = None
     for form, df in datasets_read.items():
-        counts = df.groupBy("answer_type").agg(F.count("*").alias("n")).select(F.lit(form).alias("form"), "answer_type", "n")
+        fields = (F.get("answers", F.lit(0)).alias("target"), F.get("answers", F.lit(1)).alias("model_answer"))
+        rows = df.select(F.lit(form).alias("form"), "answer_type", "category", *fields)
+        counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
         result = counts if result is None else result.unionByName(counts)
     return result
 

@@ -269,14 +269,17 @@ def validation_input(t: Tables) -> DataFrame:
 
 
 @query("a10_validation_report", f"""
-select count(*) filter (is_correct) as correct, count(*) as total, round(avg(is_correct::int), 6) as accuracy,
+select run, count(*) filter (is_correct) as correct, count(*) as total, round(avg(is_correct::int), 6) as accuracy,
   0.5::double as avg_generation_time, round(avg(len({q.words('output')})), 6) as avg_output_length, {ISSUES},
-  (select string_agg(concat(sample_id, ':', model_answer), '|' order by sample_id) from (
-    select sample_id, model_answer from v where run = 'base' and not is_correct order by sample_id limit 10)) as errors
-from v where run = 'base'""", [("v", VALIDATION)])
+  (select string_agg(concat(sample_id, ':', model_answer), '|' order by sample_id) from wrong w
+    where w.run = v.run and w.place <= 10) as errors
+from v group by run""", [("v", VALIDATION), ("wrong", """
+select run, sample_id, model_answer, row_number() over (partition by run order by sample_id) as place from v where not is_correct""")])
 def a10(t: Tables) -> DataFrame:
-    samples = validation_input(t).where("run = 'base'").withColumn("generation_time", F.lit(0.5))
-    report = reports.validation_report(samples, "sample_id")
+    """A report per run."""
+    samples = validation_input(t).withColumn("generation_time", F.lit(0.5))
+    runs = [reports.validation_report(samples.where(F.col("run") == r), "sample_id").withColumn("run", F.lit(r)) for r in ("base", "tuned")]
+    report = runs[0].unionByName(runs[1])
     listed = F.transform("errors", lambda e: F.concat(e["sample_id"].cast("string"), F.lit(":"), e["answer"]))
     return rounded(report, "accuracy", "avg_output_length").withColumn("errors", F.array_join(listed, "|"))
 
