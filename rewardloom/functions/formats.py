@@ -14,17 +14,20 @@ def _scored(condition: Column, weight: float) -> Column:
     return F.when(condition, F.lit(weight)).otherwise(F.lit(0.0))
 
 
+# The anchored layouts, with the profile's tags in the places of the braces.
+STRICT_LAYOUT = "(?d)^{}\\n.*?\\n{}\\n{}\\n.*?\\n{}\\n$"
+SOFT_LAYOUT = "(?d)^{}.*?{}[" + BLANK_CLASS + "]*{}.*?{}"
+
+
 def strict_format(text: Column, p: Profile = V2) -> Column:
     if p.anchored_formats:
-        ro, rc, ao, ac = map(literal_pattern, p.tags)
-        return _scored(text.rlike(f"(?d)^{ro}\\n.*?\\n{rc}\\n{ao}\\n.*?\\n{ac}\\n$"), p.strict_format)
+        return _scored(text.rlike(STRICT_LAYOUT.format(*map(literal_pattern, p.tags))), p.strict_format)
     return _scored(has_all(text, *p.tags), p.strict_format)
 
 
 def soft_format(text: Column, p: Profile = V2) -> Column:
     if p.anchored_formats:
-        ro, rc, ao, ac = map(literal_pattern, p.tags)
-        return _scored(text.rlike(f"(?d)^{ro}.*?{rc}[{BLANK_CLASS}]*{ao}.*?{ac}"), p.soft_format)
+        return _scored(text.rlike(SOFT_LAYOUT.format(*map(literal_pattern, p.tags))), p.soft_format)
     return _scored(has_all(text, p.reasoning_open, p.reasoning_close), p.soft_format)
 
 
@@ -63,6 +66,7 @@ def approximate_format(text: Column, p: Profile) -> Column:
     return total
 
 
+# Fixed value: the layout that counts as followed.
 ADHERENCE = r"<reasoning>.*?</reasoning>.*?<answer>.*?</answer>"
 
 
