@@ -3,7 +3,7 @@
 Two fingerprints that differ in at most ``distance`` bits are equal in all but ``distance`` of ``blocks`` blocks. Each
 fingerprint is therefore dealt out once for every choice of ``blocks - distance`` blocks, under the bits of these; close
 pairs meet under at least one choice, and their true distance decides. Equal fingerprints are one row before that, and
-of those that meet only the links of a spanning forest leave the task, so neither copies nor a dense group of near
+of those that meet only a link of each to the first of its chain leaves the task, so neither copies nor a dense group of near
 copies make pairs. Links become components; every document carries the smallest doc_id it reaches.
 
 Rules: words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case; shingles are ``width`` words (the whole text if it
@@ -77,11 +77,11 @@ def block_masks(blocks: int, distance: int) -> list[int]:
 
 
 def forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect those of the distinct ``values`` which chains of close pairs connect, one for each but the first
-    of a chain. Each value met is compared with all that are not yet met, so a dense group costs little more than a pass."""
+    """For every one of the sorted, distinct ``values`` but the first of its chain, itself and that first: what chains of close
+    pairs connect. Each value met is compared with all that are not yet met, so a dense group costs little more than a pass."""
     rest, a, b = values, [], []
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        root, queue, rest = rest[0], [rest[0]], rest[1:]
         for value in queue:
             close = np.bitwise_count(rest ^ value) <= distance
             if close.any():
@@ -89,14 +89,14 @@ def forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 rest = rest[~close]
                 queue.extend(found)
                 a.append(found)
-                b.append(np.full(len(found), value))
+                b.append(np.full(len(found), root))
     none = np.zeros(0, values.dtype)
     return np.concatenate(a or [none]), np.concatenate(b or [none])
 
 
 def links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, enough to connect all that differ in ``distance`` bits or
-    fewer, and none between others."""
+    fewer, and none that chains of such pairs don't connect."""
     masks = block_masks(blocks, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
