@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from rewardloom.llm import rules, warc
+from rewardloom.llm import rules, substrings, warc
 from rewardloom.llm.decontaminate import op6_decontamination
 from rewardloom.llm.extraction import op4_html_extraction
 from rewardloom.llm.packing import op3_best_fit_packing
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": substrings.SQL,
     "op2_warc": warc.SQL,
     "op10_quality_rules": rules.sql(),
 }

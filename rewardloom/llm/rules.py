@@ -52,7 +52,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 15.0),
     Rule("symbols", "n_symbols", "word_chars", 0.0, 0.05),
     Rule("stop_words", "n_stop_words", "n_words", 0.03, 0.8),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 0.0, 0.45),
 )
 
 

@@ -187,4 +187,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as k
+  from (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from d)),
+repeated as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as least from windows) where least < doc_id),
+gone as (select distinct doc_id, i + j as p from repeated, range({WINDOW}) r(j)),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)"""
