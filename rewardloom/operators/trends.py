@@ -1,8 +1,8 @@
 """Time series of metrics by step: last values, trends, moving averages, running totals.
 
 A metric may hold a large part of all rows, so no window runs over a whole metric. Last-N windows are cut down by
-Spark before the shuffle; all others run inside step ranges (``width`` steps each) and are stitched together from
-the totals of the ranges, of which there are few.
+Spark before the shuffle; all others run inside step ranges (``width`` steps each, those with many rows cut again) and
+are stitched together from the totals of the ranges, of which there are few.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WINDOW = 100
 HISTORY = 1000
 WIDTH = 100_000
+# A range with more rows than its width is cut into as many cells.
+CELLS = 4096
 
 
 def _position(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -67,15 +69,53 @@ def _with_range_totals(df: DataFrame, keys: list[str], step: str, width: int, **
     return joined.withColumns({name: F.coalesce(name, F.lit(0)) for name in sums})
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """A number that orders rows as the column does, or a constant where its type is no number and no time."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(name).cast("double")
+    return F.lit(0.0)
+
+
+def _dense_cells(df: DataFrame, keys: list[str], order: list[str], width: int) -> DataFrame:
+    """Add ``__cell``: ranges with more than ``width`` rows are cut in order, by the first column of ``order``, or by the
+    second where the first has one value there; other ranges are one cell."""
+    first, second = _number(df, order[0]), _number(df, order[min(1, len(order) - 1)])
+    ends = [f(c).alias(n) for n, f, c in (
+        ("__lo1", F.min, first), ("__hi1", F.max, first), ("__lo2", F.min, second), ("__hi2", F.max, second))]
+    spans = df.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), *ends)
+    joined = df.join(spans, [*keys, "__range"], "left")
+
+    def cell(value: Column, lo: str, hi: str) -> Column:
+        share = (value - F.col(lo)) / (F.col(hi) - F.col(lo))
+        return F.least(F.floor(share * CELLS), F.lit(CELLS - 1).cast("bigint"))
+
+    dense = F.col("__n") > width
+    chosen = (
+        F.when(dense & (F.col("__hi1") > F.col("__lo1")), cell(first, "__lo1", "__hi1"))
+        .when(dense & (F.col("__hi2") > F.col("__lo2")), cell(second, "__lo2", "__hi2"))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+    return joined.withColumn("__cell", chosen).drop("__n", "__lo1", "__hi1", "__lo2", "__hi2")
+
+
 def ranked(
     df: DataFrame, keys: list[str], order: list[str], step: str = "step", width: int = WIDTH, name: str = "rank"
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group."""
-    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
-    numbered = _with_range_totals(df, keys, step, width, __before=F.lit(1))
-    return numbered.withColumn(
-        name, (F.col("__before") + F.row_number().over(inside) - 1).cast("bigint")
-    ).drop("__before", "__range")
+    """Add the 0-based position of each row in its group. Rows are put in order inside cells of step ranges only."""
+    keys, order = list(keys), list(order)
+    cells = _dense_cells(df.withColumn("__range", F.floor(F.col(step) / width)), keys, order, width)
+    totals = cells.groupBy(*keys, "__range", "__cell").agg(F.count("*").alias("__k"))
+    earlier = Window.partitionBy(*keys).orderBy("__range", "__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__range", "__cell", F.sum("__k").over(earlier).alias("__before"))
+    inside = Window.partitionBy(*keys, "__range", "__cell").orderBy(*order)
+    return (
+        cells.join(offsets, [*keys, "__range", "__cell"], "left")
+        .withColumn(name, (F.coalesce("__before", F.lit(0)) + F.row_number().over(inside) - 1).cast("bigint"))
+        .drop("__before", "__range", "__cell")
+    )
 
 
 def moving_average(

@@ -249,3 +249,14 @@ def test_a_hovering_metric_is_not_sorted_in_one_task(spark):
     assert found.first().median == pytest.approx(1000 + 99_999.5 / 400_000, abs=1e-9)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "cell" in plan
+
+
+def test_positions_inside_one_crowded_step(spark):
+    """All rows of a step share its range; they are put in order in cells of the second column."""
+    rows = spark.range(300_000).select(F.lit("m").alias("metric"), F.lit(7).alias("step"), (F.col("id") * 7 % 300_007).alias("i"))
+    found = trends.ranked(rows, ["metric"], ["step", "i"], width=1000)
+    wanted = rows.selectExpr("i", "row_number() over (order by i) - 1 as want")
+    assert found.join(wanted, "i").where("rank <> want").isEmpty() and found.count() == 300_000
+    cells = trends._dense_cells(rows.withColumn("__range", F.lit(0)), ["metric"], ["step", "i"], 1000)
+    sizes = [r["count"] for r in cells.groupBy("__cell").count().collect()]
+    assert len(sizes) == trends.CELLS and max(sizes) < 100
