@@ -55,6 +55,9 @@ TOKENS = {t: 1 << i for i, group in enumerate(TOKEN_GROUPS) for t in group.split
 #: Elements that tell their descendants something, in the order of the bits of ``above``.
 TELLING = ("nav", "aside", "footer", "header", "form", "article", "main", "li", "table")
 
+#: Elements nested deeper than this are taken for their ancestor's, as browsers do.
+DEEPEST = 500
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -179,12 +182,14 @@ def parse(html: str, known: dict[str, int]) -> Page:
             continue
         if name in BLOCK:
             flush()
+            if len(stack) >= DEEPEST:
+                continue
             page.tag.append(name)
             page.parent.append(block)
             page.tokens.append(token_mask(m[3] or m[6] or "", known) if (m[3] or m[6]) else 0)
             block = len(page.tag) - 1
             stack.append((name, block))
-        elif len(stack) < 500:
+        elif len(stack) < DEEPEST:
             stack.append((name, -1))
             links += name == "a"
     flush()
@@ -259,13 +264,11 @@ def forest(pages: list[Page]) -> Forest:
     place = np.empty(n)
     place[order] = np.arange(n) - first[np.maximum(parent[order], 0)]
     place = np.where(parent >= 0, place, 0)
-    alike_keys = up * 64 + tag
-    distinct, which, alike = np.unique(alike_keys, return_inverse=True, return_counts=True)
+    _, which, alike = np.unique(up * 64 + tag, return_inverse=True, return_counts=True)
     of_siblings = np.bincount(parent[parent >= 0], np.log1p(below[parent >= 0]), n)
-    total = below[base][page] if n else below
-    before = np.zeros(n)
-    running = np.cumsum(own) - own
-    before = running - running[base][page] if n else running
+    # Every page has a root, so ``base`` points at it.
+    total, running = below[base][page], np.cumsum(own) - own
+    before = running - running[base][page]
     columns = [
         np.log1p(own), np.log1p(below), _ratio(own_links, own), _ratio(below_links, below), below / tags, tags, depth,
         _ratio(place, siblings), siblings, _ratio(alike[which], siblings), of_siblings[up] / np.maximum(siblings, 1),
