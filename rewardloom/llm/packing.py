@@ -40,8 +40,8 @@ END = 1
 #: Large pieces take more than this share of a sequence.
 LARGE = 1 / 8
 GROUPS = (12, 24, 48)
-#: Words whose ids a task remembers at most.
-REMEMBERED = 500_000
+#: Pieces of text whose ids a worker remembers at most.
+REMEMBERED = 1_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Run = tuple[int, tuple[int, ...]]
@@ -51,10 +51,11 @@ Run = tuple[int, tuple[int, ...]]
 
 
 class Encoder:
-    """Token ids of whole texts from the ids of their distinct words.
+    """Token ids of whole texts from the ids of their distinct pieces.
 
-    This tokenizer lower-cases texts and never joins characters across white space, so equal words have equal ids
-    wherever they stand. Words are known by 64-bit hashes.
+    This tokenizer lower-cases texts and never joins characters across white space, nor a letter or digit with a
+    punctuation mark behind it, so texts are cut there, and equal pieces have equal ids wherever they stand. Pieces are
+    known by 64-bit hashes.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -79,8 +80,15 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one place more than there are texts)."""
-        w = W.words(column)
-        w = w._replace(data=W.lowered(w.data))
+        data, places = W.text_bytes(column)
+        data = W.lowered(data)
+        kind = np.zeros(256, np.uint8)
+        kind[33:127] = 2
+        kind[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+        kinds = kind[data]
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = (kinds[:-1] == 1) & (kinds[1:] == 2)
+        w = W.split(data, places, W.spaces(), cuts)
         distinct, at, which = np.unique(W.Hasher().words(w), return_index=True, return_inverse=True)
         if len(self.words) + len(distinct) > REMEMBERED:
             self._forget()
@@ -99,8 +107,11 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every piece, and its ``ids`` if asked for."""
 
+    # A worker process unpickles a broadcast once: what it puts in there serves all its tasks.
+    kept = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
+        encoder = kept.value.get("encoder") or kept.value.setdefault("encoder", Encoder(tokenizer_file))
         for batch in W.slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             held: list[np.ndarray] = []

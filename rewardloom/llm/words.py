@@ -50,13 +50,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[places[0] : places[-1]], places - places[0]
 
 
-def split(data: np.ndarray, places: np.ndarray, separator: np.ndarray) -> Words:
-    """Words of the texts that begin at ``places``; ``separator`` says of each byte value whether it parts words."""
+def split(data: np.ndarray, places: np.ndarray, separator: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """Words of the texts that begin at ``places``; ``separator`` says of each byte value whether it parts words, ``cuts`` of
+    each byte whether a word begins there even behind another."""
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = ~separator[data]
     # A text's first byte begins a word even if the text before it ends with one.
     edge = np.zeros(len(data) + 1, bool)
     edge[places] = True
+    if cuts is not None:
+        edge[:-1] |= cuts
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:]
     ends = inside[:-1] & (~inside[1:] | edge[1:])
@@ -64,10 +67,15 @@ def split(data: np.ndarray, places: np.ndarray, separator: np.ndarray) -> Words:
     return Words(data, start, end, np.searchsorted(start, places))
 
 
-def words(column: pa.Array) -> Words:
+def spaces() -> np.ndarray:
+    """For each byte value whether it is white space."""
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    return split(*text_bytes(column), space)
+    return space
+
+
+def words(column: pa.Array) -> Words:
+    return split(*text_bytes(column), spaces())
 
 
 def plain_words(column: pa.Array) -> Words:

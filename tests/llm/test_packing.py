@@ -93,3 +93,15 @@ def test_equal_lengths_spread_over_tasks(spark):
     for r in found:
         by[r.k].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_ids_of_pieces_are_those_of_whole_texts(plain):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    parts = ["a", "B", "z9", "7", "'", "'s", "'LL", ".", ",", "!!", "<", "=", "-", "é", "é", "́", "̸", "—", "ß", "İ", "Σ", "😀", "漢字",
+             "\xa0", " ", " ", "\n", "\x00", "<|endoftext|>", "_", "ﬁ", "²", "½", "‍", "K"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(3000)]
+    ids, places = packing.Encoder(FILE).encode(pa.array(texts))
+    for text, a, b in zip(texts, places[:-1], places[1:], strict=True):
+        assert ids[a:b].tolist() == plain(text)[:-1], repr(text)
