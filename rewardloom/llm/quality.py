@@ -5,8 +5,8 @@ not the text's own history decides, however long the text is. The difference of
 with the text's plain compression ratio and length, goes through a logistic calibration: the score is the probability of
 label 1. Language, source, labels and numbers are no inputs.
 
-Fitting uses at most ``sample`` labelled documents of either label, those with the smallest hashes of doc_id, none longer than
-``LONGEST`` characters and none of the held-out fifth (crc32 of doc_id as text divisible by 5). Half of them make the
+Fitting uses about ``sample`` labelled documents of either label, a share by the hash of doc_id, none longer than ``LONGEST``
+characters and none of the held-out fifth (crc32 of doc_id as text divisible by 5). Half of them make the
 dictionaries, the other half the calibration. This bounded sample is all that reaches the driver; scoring is a map over all
 documents and whole texts.
 
@@ -122,9 +122,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
-    parts = [known.where(F.col("label") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    # At most 2 * sample rows of two numbers.
-    chosen = F.broadcast(parts[0].union(parts[1]))
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    one_in = F.when(F.col("label") == 0, max(1, counts.get(0, 0) // sample)).otherwise(max(1, counts.get(1, 0) // sample))
+    # Each doc_id is there once, so of either label about ``sample`` rows of two numbers come, and never many over twice that.
+    chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), one_in) == 0))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST)
     # Of rows that share a doc_id one text is enough, so that the bound holds.
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()

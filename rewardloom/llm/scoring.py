@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood of documents under a window network trained on the corpus itself.
 
 Every token is predicted from the ``SIDE`` tokens to its left and right, with itself masked; the log-probabilities summed over a
-text are its pseudo-log-likelihood. Tokens are words with A-Z in lower case: the ``KNOWN`` most frequent of the corpus have
-numbers of their own, all others share ``OTHER`` numbers by their hashes. A number is predicted in two steps of 64, its row
+text are its pseudo-log-likelihood. Tokens are words with A-Z in lower case: the ``KNOWN`` most frequent of the corpus, if
+they are one in ``RARE`` of all words or more, have numbers of their own, all others share ``OTHER`` numbers by their hashes. A number is predicted in two steps of 64, its row
 from the hidden layer and its column from the hidden layer and the row, so a token costs two small softmaxes.
 
 1. Words are counted over all texts, summed inside each slice of texts before they are shuffled.
@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm import words as W
+from rewardloom.llm.tables import stored
 
 KNOWN, OTHER = 3072, 1024
+RARE = 20_000
 GRID = 64
 SIDE = 2
 WIDTH, HIDDEN = 16, 32
@@ -169,8 +171,10 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
             found, counts = np.unique(_hashed(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()
+    counts = stored(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # No more than RARE words can be as frequent as this, however many there are.
+    rows = counts.where(F.col("n") * RARE >= total).orderBy(F.desc("n"), "h").limit(KNOWN).collect()
     return np.array([r.h for r in rows], np.int64).view(np.uint64)
 
 
