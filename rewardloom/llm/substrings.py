@@ -36,12 +36,18 @@ from rewardloom.llm.tables import stored
 WINDOW = 50
 #: A difference cover modulo 31: every difference occurs.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Seeds of the two halves of a window's hash.
-SEEDS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Seeds of the word hashes and window hashes of the two halves of a window's hash.
+SEEDS = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-def _windows(w: W.Words, hashes: np.ndarray, width: int, hasher: W.Hasher, at: np.ndarray) -> np.ndarray:
-    return hasher.ranges(hashes, at, at + width)
+class Half:
+    """One 64-bit half of the hash of word ranges."""
+
+    def __init__(self, word_seed: int, range_seed: int):
+        self.of_words, self.of_ranges = W.Hasher(word_seed), W.Hasher(range_seed)
+
+    def hashes(self, w: W.Words, at: np.ndarray, width: int) -> pa.Array:
+        return pa.array(self.of_ranges.ranges(self.of_words.words(w), at, at + width).view(np.int64))
 
 
 def anchor_places(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +62,11 @@ def anchor_places(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
 
 def _anchors(docs: DataFrame, window: int, places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, hasher = W.Hasher(), W.Hasher(SEEDS[1])
+        half = Half(*SEEDS[0])
         for batch in W.slices(batches):
             w = W.words(batch.column("text"))
             at, text = anchor_places(w.first, window)
-            key = _windows(w, word_hash.words(w), window - PERIOD + 1, hasher, at)
-            doc = batch.column("doc_id").to_numpy()[text]
-            arrays = [pa.array(key.view(np.int64)), pa.array(doc)]
+            arrays = [half.hashes(w, at, window - PERIOD + 1), pa.array(batch.column("doc_id").to_numpy()[text])]
             if places:
                 arrays.append(pa.array((at - w.first[text]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "pos"][: len(arrays)])
@@ -121,10 +125,9 @@ def _cut(texts: DataFrame, window: int, carried: list[str]) -> DataFrame:
 
 def _marked_windows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, hashers = W.Hasher(), [W.Hasher(s) for s in SEEDS]
+        halves = [Half(*seeds) for seeds in SEEDS]
         for batch in W.slices(batches):
             w = W.words(batch.column("text"))
-            hashes = word_hash.words(w)
             lists = batch.column("anchors")
             at, text = [], []
             for i, anchors in enumerate(lists):
@@ -133,7 +136,7 @@ def _marked_windows(texts: DataFrame, window: int) -> DataFrame:
                 at.append(starts + w.first[i])
                 text.append(np.full(len(starts), i))
             at, text = np.concatenate(at), np.concatenate(text)
-            keys = [pa.array(_windows(w, hashes, window, h, at).view(np.int64)) for h in hashers]
+            keys = [half.hashes(w, at, window) for half in halves]
             doc = batch.column("doc_id").to_numpy()[text]
             pos = (at - w.first[text]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*keys, pa.array(doc), pa.array(pos)], ["g", "h", "doc_id", "pos"])
