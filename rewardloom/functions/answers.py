@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import custom_answer, first_number_after, model_answer
-from rewardloom.functions.text import normalised, py_float, strip
+from rewardloom.functions.text import let, normalised, py_float, strip
 from rewardloom.profiles import V2, Profile
 
 # Digits that are not decimal digits (superscripts, circled numbers, ...) but count as digits in Python.
@@ -102,18 +102,22 @@ def literal_as_json(c: Column) -> Column:
             plain = F.when(part == name, json).otherwise(plain)
         return F.when(quoted & part.startswith("'"), text).when(quoted, part).otherwise(F.translate(plain, "()", "[]"))
 
+    def closed(json: Column) -> Column:
+        bare = ~json.rlike(r"^\s*[\[{]") | F.try_parse_json(json).isNull()
+        wrapped = F.concat(F.lit("["), F.regexp_replace(json, r",\s*$", ""), F.lit("]"))
+        return F.when(bare & json.contains(","), wrapped).otherwise(json)
+
     parts = F.regexp_extract_all(strip(c), F.lit(_LITERAL_PART), F.lit(0))
-    json = F.array_join(F.transform(parts, written), "")
     # A comma may stand behind the last item; items without brackets are a list.
-    json = F.regexp_replace(json, r",\s*(?=\])", "")
-    bare = ~json.rlike(r"^\s*[\[{]") | F.try_parse_json(json).isNull()
-    wrapped = F.concat(F.lit("["), F.regexp_replace(json, r",\s*$", ""), F.lit("]"))
-    return F.when(bare & json.contains(","), wrapped).otherwise(json)
+    return let(F.regexp_replace(F.array_join(F.transform(parts, written), ""), r",\s*(?=\])", ""), closed)
 
 
 def same_list(a: Column, b: Column) -> Column:
     """Lists, tuples and matrices of numbers by value, anything else as normalised JSON."""
-    ja, jb = literal_as_json(a), literal_as_json(b)
+    return let(literal_as_json(a), lambda ja: let(literal_as_json(b), lambda jb: _same_json_list(ja, jb)))
+
+
+def _same_json_list(ja: Column, jb: Column) -> Column:
     flat_a, flat_b = (F.from_json(j, "array<double>") for j in (ja, jb))
     grid_a, grid_b = (F.from_json(j, "array<array<double>>") for j in (ja, jb))
 
