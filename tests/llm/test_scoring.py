@@ -96,3 +96,17 @@ def test_odd_rows(odd, empty):
     found = scoring.scored(odd, frequent, flat).collect()
     assert len(found) == odd.count() and all(r.log_likelihood <= 0 for r in found)
     assert scoring.scored(empty, *scoring.train(empty)).collect() == []
+
+
+def test_every_place_is_learnt_from(table):
+    rng = random.Random(4)
+    texts = [prose(rng, 20), prose(rng, 20) + " rare", "one", "", "the cat " * 40]
+    hashes, first = scoring._hashed(pa.array(texts))
+    rounds = scoring.rounds_of(hashes, first, scoring.SHARE)
+    # As the query trains: each place has its round among those that are run.
+    assert scoring.ROUNDS >= scoring.SHARE and set(rounds.tolist()) == set(range(scoring.SHARE))
+    # The same word at the same place may have another round in another text.
+    same = pa.array([f"the cat {i}" for i in range(40)])
+    assert len(set(scoring.rounds_of(*scoring._hashed(same), scoring.SHARE)[::3].tolist())) == scoring.SHARE
+    with pytest.raises(ValueError):
+        scoring.train(table([(1, "a b c")]), rounds=1, share=2)
