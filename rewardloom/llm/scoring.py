@@ -1,16 +1,21 @@
 """Masked pseudo-likelihood of documents under a window network trained on the corpus itself.
 
 Every token is predicted from the ``SIDE`` tokens to its left and right, with itself masked; the log-probabilities summed over a
-text are its pseudo-log-likelihood. Tokens are words with A-Z in lower case: the ``KNOWN`` most frequent of the corpus, if
-they are one in ``RARE`` of all words or more, have numbers of their own, all others share ``OTHER`` numbers by their hashes. A number is predicted in two steps of 64, its row
-from the hidden layer and its column from the hidden layer and the row, so a token costs two small softmaxes.
+text are its pseudo-log-likelihood. Tokens are words with A-Z in lower case. The most frequent have numbers of their own, all
+others share numbers by their hashes: three and one in four of ``grid * grid`` numbers, where ``grid`` is the fourth root of a
+fourth of all words, but ``GRID`` (64) at least, so that the known words grow as the square root of the corpus. A number is
+predicted in two steps of ``grid``, its row from the hidden layer and its column from the hidden layer and the row, so a token
+costs two small softmaxes. The probability of a word that shares its number is that of the number times the word's exact share
+of the number's count in the corpus, so no two words of different counts are scored alike.
 
 1. Words are counted over all texts, summed inside each slice of texts before they are shuffled.
 2. Training: all word places of the corpus are dealt to ``SHARE`` rounds, by a hash of text, word and place, so every place
    is learnt from in ``ROUNDS / SHARE`` rounds. In each round every task runs Adam over its texts from the current weights;
    the weights of all tasks are averaged, by the number of places they saw, in blocks that are shuffled and summed apart.
    The driver gets one set of weights.
-3. Scoring is a map over all documents and whole texts.
+3. Scoring is a map over all documents and whole texts. Words that share numbers are stored with their documents, once per
+   document and word, meet their counts in a join, and are summed by document again. Such a word is none of the known, so no
+   key of the join is hot.
 
 Null, empty and blank texts have no tokens: their sum is 0 and their mean null. Places beyond a text's ends are a number of
 their own. Rows are scored one by one, repeated rows alike; only ``doc_id`` and ``text`` are read. An empty table gives an empty
@@ -19,6 +24,7 @@ result. A task holds a slice of texts, or one longer text and about ten times it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +37,6 @@ from rewardloom.llm import words as W
 from rewardloom.llm.tables import stored
 
 KNOWN, OTHER = 3072, 1024
-RARE = 20_000
 GRID = 64
 SIDE = 2
 WIDTH, HIDDEN = 16, 32
@@ -61,33 +66,49 @@ class Weights(NamedTuple):
         return np.concatenate([x.ravel() for x in self])
 
 
-SHAPES = ((KNOWN + OTHER + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, GRID), (GRID,), (GRID, HIDDEN), (HIDDEN, GRID), (GRID,))
+def shapes(grid: int) -> tuple[tuple[int, ...], ...]:
+    return ((grid * grid + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, grid), (grid,), (grid, HIDDEN), (HIDDEN, grid), (grid,))
+
+
+SHAPES = shapes(GRID)
+
+
+def grid_of(total: int) -> int:
+    """The side of the square of numbers for a corpus of so many words."""
+    return max(GRID, math.isqrt(math.isqrt(total // 4)))
+
+
+def known_of(grid: int) -> int:
+    """How many numbers belong to one word each."""
+    return grid * grid * KNOWN // (KNOWN + OTHER)
 
 
 def weights(flat: np.ndarray) -> Weights:
-    out, at = [], 0
-    for shape in SHAPES:
+    out, at, grid = [], 0, GRID
+    while sum(math.prod(shape) for shape in shapes(grid)) < len(flat):
+        grid += 1
+    for shape in shapes(grid):
         size = int(np.prod(shape))
         out.append(flat[at : at + size].reshape(shape).astype(np.float32))
         at += size
     return Weights(*out)
 
 
-def first_weights(seed: int = 3) -> Weights:
+def first_weights(seed: int = 3, grid: int = GRID) -> Weights:
     rng = np.random.default_rng(seed)
     scales = (0.1, (2 * SIDE * WIDTH) ** -0.5, 0, HIDDEN**-0.5, 0, 0.1, HIDDEN**-0.5, 0)
-    return Weights(*[(rng.normal(size=shape) * scale).astype(np.float32) for shape, scale in zip(SHAPES, scales, strict=True)])
+    return Weights(*[(rng.normal(size=shape) * scale).astype(np.float32) for shape, scale in zip(shapes(grid), scales, strict=True)])
 
 
 class Vocabulary:
     """Numbers of words by their hashes; ``frequent`` are the hashes of the known ones, most frequent first."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, grid: int = GRID):
         order = np.argsort(frequent)
-        self.hashes, self.numbers = frequent[order], order
+        self.hashes, self.numbers, self.known, self.none = frequent[order], order, known_of(grid), grid * grid
 
     def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
-        other = KNOWN + (hashes % np.uint64(OTHER)).astype(np.int64)
+        other = self.known + (hashes % np.uint64(self.none - self.known)).astype(np.int64)
         if not len(self.hashes):
             return other
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -99,9 +120,8 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.Hasher().words(w, W.lowered(w.data)), w.first
 
 
-def contexts(numbers: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The numbers around the words at ``at``, the number for no word beyond a text's ends."""
-    none = KNOWN + OTHER
+def contexts(numbers: np.ndarray, first: np.ndarray, at: np.ndarray, none: int = KNOWN + OTHER) -> np.ndarray:
+    """The numbers around the words at ``at``, the number ``none`` for no word beyond a text's ends."""
     text = np.searchsorted(first, at, side="right") - 1
     columns = []
     for step in (*range(-SIDE, 0), *range(1, SIDE + 1)):
@@ -122,7 +142,7 @@ def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def forward(w: Weights, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log-probabilities of the targets between their contexts, and what ``gradients`` needs."""
-    row, column = target // GRID, target % GRID
+    row, column = np.divmod(target, len(w.row_bias))
     x = w.embed[around].reshape(len(around), -1)
     h = np.tanh(x @ w.hidden + w.hidden_bias)
     log_row, p_row = _softmax(h @ w.row + w.row_bias, row)
@@ -169,19 +189,57 @@ class Adam:
             x -= self.rate * (m / down1) / (np.sqrt(v / down2) + 1e-8)
 
 
-def frequent_words(texts: DataFrame) -> np.ndarray:
-    """The hashes of the most frequent words of all texts."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Hash ``h`` and count ``n`` of every word of all texts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
             found, counts = np.unique(_hashed(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "n"])
 
-    counts = stored(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # No more than RARE words can be as frequent as this, however many there are.
-    rows = counts.where(F.col("n") * RARE >= total).orderBy(F.desc("n"), "h").limit(KNOWN).collect()
-    return np.array([r.h for r in rows], np.int64).view(np.uint64)
+    return stored(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """The hashes of the words that are known, and the side of the square of numbers."""
+    grid = grid_of(counts.agg(F.sum("n")).first()[0] or 0)
+    rows = counts.orderBy(F.desc("n"), "h").limit(known_of(grid)).collect()
+    return np.array([r.h for r in rows], np.int64).view(np.uint64), grid
+
+
+def frequent_words(texts: DataFrame) -> np.ndarray:
+    """The hashes of the most frequent words of all texts."""
+    return _frequent(word_counts(texts))[0]
+
+
+def shares(counts: DataFrame, frequent: np.ndarray, grid: int) -> DataFrame:
+    """For every word that shares a number: its hash ``h`` and ``share``, the log of its part of the number's count."""
+
+    def unknown(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, n = batch.column("h").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+        number = words.numbers_of(hashes)
+        mine = number >= words.known
+        return hashes[mine].view(np.int64), n[mine], number[mine]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Vocabulary(frequent, grid), np.zeros(grid * grid, np.int64)
+        for batch in batches:
+            _, n, number = unknown(batch, words)
+            np.add.at(total, number, n)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["number", "n"])
+
+    total = np.zeros(grid * grid, np.int64)
+    for r in counts.mapInArrow(add, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
+        total[r.number] = r.n
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(frequent, grid)
+        for batch in batches:
+            h, n, number = unknown(batch, words)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.log(n / total[number]))], ["h", "share"])
+
+    return counts.mapInArrow(divide, "h long, share double")
 
 
 def rounds_of(hashes: np.ndarray, first: np.ndarray, share: int) -> np.ndarray:
@@ -197,7 +255,9 @@ def _trained_round(texts: DataFrame, frequent: np.ndarray, flat: np.ndarray, tur
     size = -(-len(flat) // BLOCKS)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, adam, seen = Vocabulary(frequent), Adam(weights(flat), 0.01 / (1 + turn)), 0
+        adam, seen = Adam(weights(flat), 0.01 / (1 + turn)), 0
+        grid = len(adam.w.row_bias)
+        words, step = Vocabulary(frequent, grid), STEP * grid // GRID
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
         for batch in W.slices(batches):
@@ -206,13 +266,13 @@ def _trained_round(texts: DataFrame, frequent: np.ndarray, flat: np.ndarray, tur
             at = np.flatnonzero(rounds_of(hashes, first, share) == turn % share)
             if not len(at):
                 continue
-            held.append((contexts(numbers, first, at), numbers[at]))
+            held.append((contexts(numbers, first, at, words.none), numbers[at]))
             waiting += len(at)
-            if waiting >= STEP:
+            if waiting >= step:
                 around, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                upto = waiting - waiting % STEP
-                for a in range(0, upto, STEP):
-                    adam.learn(around[a : a + STEP], target[a : a + STEP])
+                upto = waiting - waiting % step
+                for a in range(0, upto, step):
+                    adam.learn(around[a : a + step], target[a : a + step])
                 held, waiting, seen = [(around[upto:], target[upto:])], waiting - upto, seen + upto
         if waiting:
             around, target = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -240,39 +300,71 @@ def _trained_round(texts: DataFrame, frequent: np.ndarray, flat: np.ndarray, tur
     return np.concatenate([np.frombuffer(bytes(r["values"])) / r["seen"] for r in rows]).astype(np.float32)
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """The known words' hashes and the flat weights learnt from the texts."""
+def train(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The known words' hashes and the flat weights learnt from the texts, whose ``word_counts`` may be given."""
     if rounds < share:
         raise ValueError("with fewer rounds than shares some places would never be learnt from")
     texts = docs.select("text").where("text is not null")
-    frequent, flat = frequent_words(texts), first_weights().flat()
+    frequent, grid = _frequent(word_counts(texts) if counts is None else counts)
+    flat = first_weights(grid=grid).flat()
     for turn in range(rounds):
         flat = _trained_round(texts, frequent, flat, turn, share)
     return frequent, flat
 
 
-def scored(docs: DataFrame, frequent: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``log_likelihood`` (the sum) and ``mean_log_likelihood``."""
+SCORES = "doc_id long, n_tokens long, log_likelihood double"
+
+
+def _rare(hashes: np.ndarray, mine: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """For each of ``n`` texts its words of those at ``mine`` with how often it holds them."""
+    h, text = hashes[mine], owner[mine]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    begins = np.flatnonzero(new)
+    pairs = pa.StructArray.from_arrays([pa.array(h[begins].view(np.int64)), pa.array(np.diff(np.append(begins, len(h))), pa.int32())], ["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begins], np.arange(n + 1)), pa.int32()), pairs)
+
+
+def scored(docs: DataFrame, frequent: np.ndarray, flat: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``log_likelihood`` (the sum) and ``mean_log_likelihood``. With the ``counts`` of a corpus that
+    holds these texts, words that share a number are told apart by them; without, a word's probability is its number's."""
+    grid, exact = len(weights(flat).row_bias), counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, w = Vocabulary(frequent), weights(flat)
+        words, w = Vocabulary(frequent, grid), weights(flat)
         for batch in W.slices(batches):
             hashes, first = _hashed(batch.column("text"))
             numbers = words.numbers_of(hashes)
             found = np.zeros(len(numbers))
             for a in range(0, len(numbers), BATCH):
                 at = np.arange(a, min(a + BATCH, len(numbers)))
-                found[at] = forward(w, contexts(numbers, first, at), numbers[at])[0]
-            n = np.diff(first)
-            total = np.bincount(W.owners(first), found, len(n))
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                found[at] = forward(w, contexts(numbers, first, at, words.none), numbers[at])[0]
+            n, owner = np.diff(first), W.owners(first)
+            total = np.bincount(owner, found, len(n))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64())]
+            names = ["doc_id", "n_tokens", "log_likelihood"]
+            if exact:
+                columns.append(_rare(hashes, numbers >= words.known, owner, len(n)))
+                names.append("rare")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    if not exact:
+        out = texts.mapInArrow(run, SCORES)
+    else:
+        # Rows may share a doc_id, so they are numbered; stored, they keep their numbers.
+        rows = texts.mapInArrow(run, f"{SCORES}, rare array<struct<h: bigint, n: int>>")
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+        rare = rows.select("row", F.inline("rare")).join(shares(counts, frequent, grid).hint("shuffle_hash"), "h")
+        rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), (F.col("n") * F.col("share")).alias("log_likelihood"))
+        parts = rows.select("row", "doc_id", "n_tokens", "log_likelihood").union(rare).groupBy("row")
+        out = parts.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood")).drop("row")
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scored(docs, *train(docs))
+    counts = word_counts(docs.select("text").where("text is not null"))
+    return scored(docs, *train(docs, counts=counts), counts)

@@ -110,3 +110,48 @@ def test_every_place_is_learnt_from(table):
     assert len(set(scoring.rounds_of(*scoring._hashed(same), scoring.SHARE)[::3].tolist())) == scoring.SHARE
     with pytest.raises(ValueError):
         scoring.train(table([(1, "a b c")]), rounds=1, share=2)
+
+
+def test_words_that_share_a_number_are_told_apart(table):
+    rng = random.Random(9)
+    # More words than numbers, once or more often each; repeated rows, rows that share a doc_id, and rows without words.
+    words = [f"w{i}" for i in range(6000)]
+    lines = [" ".join(words[i] for i in rng.sample(range(6000), 40)) + " " + prose(rng, 4) for _ in range(400)]
+    rows = [(i // 2, x) for i, x in enumerate(lines)] + [(0, lines[0]), (0, lines[0]), (None, lines[1]), (7, ""), (8, None)]
+    docs = table(rows).repartition(3).cache()
+    counts = scoring.word_counts(docs.select("text").where("text is not null"))
+    frequent, flat = scoring.train(docs, counts=counts)
+    assert len(frequent) == scoring.KNOWN
+    known = set(frequent.tolist())
+    held, total = {}, {}
+    for _, text in rows:
+        for h in scoring._hashed(pa.array([text]))[0].tolist():
+            held[h] = held.get(h, 0) + 1
+    for h, n in held.items():
+        total[h % scoring.OTHER] = total.get(h % scoring.OTHER, 0) + (0 if h in known else n)
+    want = []
+    for (doc, text), r in zip(rows, scoring.scored(table(rows).coalesce(1), frequent, flat).collect()):
+        assert r.doc_id == doc
+        of_words = [math.log(held[h] / total[h % scoring.OTHER]) for h in scoring._hashed(pa.array([text]))[0].tolist() if h not in known]
+        want.append((doc is None, doc or 0, r.n_tokens, r.log_likelihood + sum(of_words)))
+    found = [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.log_likelihood) for r in scoring.scored(docs, frequent, flat, counts).collect()]
+    assert len(found) == len(want)
+    for a, b in zip(sorted(found), sorted(want)):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-2)
+    # The shares of the words under one number are a whole.
+    parts = {}
+    for r in scoring.shares(counts, frequent, scoring.GRID).collect():
+        parts.setdefault((r.h % 2**64) % scoring.OTHER, []).append(math.exp(r.share))
+    assert parts and all(sum(x) == pytest.approx(1) for x in parts.values())
+
+
+def test_known_words_grow_with_the_corpus(table, monkeypatch):
+    assert scoring.grid_of(0) == scoring.GRID and scoring.known_of(scoring.GRID) == scoring.KNOWN
+    assert scoring.grid_of(4 * 200**4) == 200 and scoring.known_of(200) == 30_000
+    monkeypatch.setattr(scoring, "grid_of", lambda total: 70)
+    docs = table([(1, " ".join(f"w{i}" for i in range(5000)))])
+    counts = scoring.word_counts(docs.select("text"))
+    frequent, flat = scoring.train(docs, counts=counts)
+    assert len(frequent) == 3675 and scoring.weights(flat).row.shape == (scoring.HIDDEN, 70)
+    r = scoring.scored(docs, frequent, flat, counts).first()
+    assert r.n_tokens == 5000 and -20 < r.mean_log_likelihood < 0
