@@ -8,7 +8,8 @@ samples raise it to the target (0.95 for copies with one word in ten edited, mea
 
 A walk is the same for all windows that begin at a word, and the steps are sampled below the size of an item's class, so
 one walk serves windows of all item sizes. Walks begin at every ``STRIDE``-th word of a text; items are walked from
-``STRIDE`` neighbouring words instead, and long items from further words, so that no alignment is lost. Keys that hit an
+``STRIDE`` neighbouring words instead, items of fewer than ``DENSE`` words from every word, and long items from further
+words, so that no alignment is lost, at a text's end neither. Keys that hit an
 item are verified: the edit distance of the whole item to the best place near the hit (Myers' bit-parallel search). An item
 is found where at most ``1 - similarity`` of its words are edited.
 
@@ -37,6 +38,8 @@ LEAST = 6
 STRIDE = 3
 #: Window sizes in words (steps that are sampled) and how many steps are sampled.
 CLASSES = ((4, 3), (9, 5), (24, 7), (48, 8))
+#: Items of fewer words have windows of all classes at every word.
+DENSE = CLASSES[2][0] + 2 * STRIDE
 REPETITIONS = 5
 SIMILARITY = 0.8
 LEAK = "doc_id long, item_id long, start int, n_words int, distance int"
@@ -111,10 +114,11 @@ def items_of(ids: list[int], texts: list[str], repetitions: int) -> Items:
             if n < LEAST:
                 continue
             for c, (size, _) in enumerate(CLASSES):
-                # The smallest class is for items that have no other; a class also begins at each of its sizes.
-                if c == 0 and n >= CLASSES[1][0] + STRIDE:
+                # The small classes are for items that have few windows of others, and begin at each of their words; in
+                # longer items a class begins at each of its sizes.
+                if c == 0 and n >= DENSE:
                     continue
-                starts = np.array([o for o in range(n - size + 1) if o % size < STRIDE], np.int64)
+                starts = np.array([o for o in range(n - size + 1) if n < DENSE or o % size < STRIDE], np.int64)
                 if len(starts):
                     parts.append((keys_of(walk, padded, first + starts)[c], np.full(len(starts), i), starts))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.uint64, int, int)]
@@ -148,7 +152,7 @@ def best_place(pattern: list[int], text: list[int]) -> tuple[int, int]:
 def _hits(items: Items, hashes: np.ndarray, first: np.ndarray, near: list[np.ndarray]) -> set[tuple[int, int, int]]:
     """(text, item, word at which the item would begin, in steps of ``STRIDE``) for every key that meets an item's."""
     n = np.diff(first)
-    count = np.where(n >= LEAST, (n - LEAST) // STRIDE + 1, 0)
+    count = np.where(n >= LEAST, -(-n // STRIDE), 0)
     text = np.repeat(np.arange(len(n)), count)
     place = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     at = first[text] + place

@@ -102,3 +102,22 @@ def test_items_in_blocks(spark, table, monkeypatch):
     rows, items = corpus(random.Random(8), 0.0)
     found, _ = searched(spark, table, rows, items)
     assert len({(r.doc_id, r.item_id) for r in found.collect()}) >= 180
+
+
+def found_of(items, texts):
+    held = decontaminate.items_of(list(range(len(items))), items, decontaminate.REPETITIONS)
+    return {(i, k) for i, k, *_ in decontaminate._search(held, decontaminate.SIMILARITY)(pa.array(texts))}
+
+
+def test_recall_per_length_and_at_text_ends():
+    rng = random.Random(3)
+    for n in (6, 7, 9, 12, 15, 17, 23, 33):
+        items = [[rng.choice(VOCABULARY) for _ in range(n)] for _ in range(40)]
+        for edits, least in ((0, 1.0), (n // 10, 0.95), (n // 5, 0.85 if n < 9 else 0.9)):
+            for behind in (0, 1, 2, 30):
+                around = [[[rng.choice(VOCABULARY) for _ in range(k)] for k in (rng.randrange(40), behind)] for _ in items]
+                texts = [" ".join(a + edited(x, edits, rng) + b) for (a, b), x in zip(around, items)]
+                found = found_of([" ".join(x) for x in items], texts)
+                # Deletions may leave a text of fewer than LEAST words, which holds no item.
+                want = {(i, i) for i, x in enumerate(texts) if len(x.split()) >= decontaminate.LEAST}
+                assert len(found & want) >= least * len(want), (n, edits, behind)
