@@ -1,6 +1,7 @@
 """Benchmark decontamination by the CGK embedding, bit sampling and exact edit distance.
 
-Texts and items are cut into plain words (lower case, cut at ASCII characters other than letters and digits). The CGK walk
+Texts and items are cut into plain words (lower case, cut at ASCII characters other than letters and digits; each letter of a
+script without spaces, such as Chinese, is a word). The CGK walk
 reads a word, emits it, and moves on to the next word or stays, as a random function of the step and the word decides. Two
 sequences at a small edit distance walk together again soon after each edit, so their walks differ in few places. Sampling
 some steps of the walk gives a key that similar sequences share with fair probability; ``repetitions`` independent walks and
@@ -15,7 +16,8 @@ is found where at most ``1 - similarity`` of its words are edited.
 
 Items are taken in blocks of at most ``BLOCK`` and held by every task as sorted keys, which bounds what is broadcast; each
 block is one pass over all texts, which are neither shuffled nor copied. Items with fewer than ``LEAST`` words (null and empty
-ones too) are no evidence and are never found. Null and empty texts hold nothing. Repeated rows are judged one by one,
+ones too) are no evidence and are never found. Items without a number are searched like
+others and found with a null ``item_id``. Null and empty texts, and those of fewer than ``LEAST`` words, hold nothing. Repeated rows are judged one by one,
 repeated items are found each. Only ``item_id`` and ``text`` of the benchmark and ``text`` of the documents are read, other
 columns pass unchanged. An empty table on either side gives no leaks.
 """
@@ -87,7 +89,7 @@ def keys_of(walk: Walk, hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 class Items(NamedTuple):
     """A block of items: ids, word hashes, and for each walk the sorted keys with the item and the word they begin at."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: list[np.ndarray]
     sets: list[frozenset[int]]
     walks: list[Walk]
@@ -100,7 +102,7 @@ def _padded(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate((hashes, np.zeros(max(size for size, _ in CLASSES) + 1, np.uint64)))
 
 
-def items_of(ids: list[int], texts: list[str], repetitions: int) -> Items:
+def items_of(ids: list[int | None], texts: list[str], repetitions: int) -> Items:
     w = W.plain_words(pa.array(texts, pa.string()))
     hashes = W.Hasher().words(w)
     each = [hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
@@ -125,7 +127,7 @@ def items_of(ids: list[int], texts: list[str], repetitions: int) -> Items:
         order = np.argsort(columns[0], kind="stable")
         for held, column in zip((keys, owner, offset), columns, strict=True):
             held.append(column[order])
-    return Items(np.array(ids, np.int64), each, [frozenset(x.tolist()) for x in each], every, keys, owner, offset)
+    return Items(list(ids), each, [frozenset(x.tolist()) for x in each], every, keys, owner, offset)
 
 
 def best_place(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -176,7 +178,7 @@ def _hits(items: Items, hashes: np.ndarray, first: np.ndarray, near: list[np.nda
     return found
 
 
-def leaks_of(items: Items, near: list[np.ndarray], column: pa.Array, similarity: float) -> list[tuple[int, int, int, int, int]]:
+def leaks_of(items: Items, near: list[np.ndarray], column: pa.Array, similarity: float) -> list[tuple[int, int | None, int, int, int]]:
     """(text, item_id, start, n_words, distance) of every item found in the texts, at the closest place, the first of several."""
     w = W.plain_words(column)
     hashes = W.Hasher().words(w)
@@ -200,12 +202,12 @@ def leaks_of(items: Items, near: list[np.ndarray], column: pa.Array, similarity:
             _, length = best_place(pattern[::-1].tolist(), line[:end][::-1])
             leak = (distance, low - lo + end - length, length)
             best[text, item] = min(known, leak) if known else leak
-    return [(text, int(items.ids[item]), s, n, d) for (text, item), (d, s, n) in sorted(best.items())]
+    return [(text, items.ids[item], s, n, d) for (text, item), (d, s, n) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame, repetitions: int) -> Iterator[Items]:
     """The items in blocks of at most about ``BLOCK``; Spark ships a block to the tasks with their function."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, math.ceil(items.count() / (BLOCK // 2)))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()

@@ -78,14 +78,41 @@ def words(column: pa.Array) -> Words:
     return split(*text_bytes(column), spaces())
 
 
+#: Ranges of code points. Letters of scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Chinese
+#: characters), and the punctuation used with Chinese ones.
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3105, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+            (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+WIDE_MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _among(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.logical_or.reduce([(code >= lo) & (code <= hi) for lo, hi in ranges])
+
+
 def plain_words(column: pa.Array) -> Words:
-    """Words for comparing prose: A-Z in lower case, cut at all ASCII characters but letters and digits."""
+    """Words for comparing prose: A-Z in lower case, cut at all ASCII characters but letters and digits and at wide punctuation;
+    every letter of a script written without spaces is a word."""
     data, places = text_bytes(column)
     other = np.ones(256, bool)
     other[128:] = False
     for lo, hi in ("09", "az", "AZ"):
         other[ord(lo) : ord(hi) + 1] = False
-    return split(lowered(data), places, other)
+    data, cuts = lowered(data), None
+    lead = np.flatnonzero(data >= 0xE0)
+    if len(lead):
+        # Arrow's strings are valid UTF-8, so the bytes of a character are there.
+        four = data[lead] >= 0xF0
+        byte = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        three = (data[lead].astype(np.int64) & 0x0F) << 12 | byte[0] << 6 | byte[1]
+        code = np.where(four, (data[lead].astype(np.int64) & 0x07) << 18 | byte[0] << 12 | byte[1] << 6 | byte[2], three)
+        alone, mark = _among(code, UNSPACED), _among(code, WIDE_MARKS)
+        for k in range(3):
+            data[lead[mark] + k] = 0x20
+        cuts = np.zeros(len(data) + 4, bool)
+        cuts[lead[alone]] = True
+        cuts[lead[alone] + 3 + four[alone]] = True
+        cuts = cuts[: len(data)]
+    return split(data, places, other, cuts)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -121,3 +121,21 @@ def test_recall_per_length_and_at_text_ends():
                 # Deletions may leave a text of fewer than LEAST words, which holds no item.
                 want = {(i, i) for i, x in enumerate(texts) if len(x.split()) >= decontaminate.LEAST}
                 assert len(found & want) >= least * len(want), (n, edits, behind)
+
+
+def test_scripts_without_spaces():
+    items = ["今天天气很好我们去公园散步吧", "日本語の文章はこのように書きます", "ภาษาไทยเขียนโดยไม่เว้นวรรค", "plain words that are all cut at blanks"]
+    texts = [f"before 前言{x}后记 after" for x in items[:3]] + ["前言，" + items[0].replace("天气", "天气，").replace("公园", "公院") + "。", "今天", items[3]]
+    assert found_of(items, texts) == {(0, 0), (1, 1), (2, 2), (3, 0), (5, 3)}
+    assert plain("Ab中文cd，é𠀀𠀁x ไท") == ["ab", "中", "文", "cd", "é", "𠀀", "𠀁", "x", "ไ", "ท"]
+    # Words with letters of other scripts stay whole, also at a batch's end.
+    assert plain("été привет 한국어 €") == ["été", "привет", "한국어", "€"]
+    assert plain("中") == ["中"] and plain("") == []
+
+
+def test_items_without_a_number(spark, table):
+    text = "the quick brown fox jumps over the lazy dog and runs off"
+    benchmark = spark.createDataFrame([(None, text), (5, "some other words that nobody has ever copied anywhere")], "item_id long, text string")
+    docs = table([(1, "it says " + text + " today"), (2, "nothing of the kind is said in this text")])
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaked(docs, benchmark).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()] == [2]
