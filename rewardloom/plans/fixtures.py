@@ -150,7 +150,7 @@ select doc_id, case doc_id % 10
  when 2 then concat(text, ' wait', repeat('.', cast(4 + doc_id % 4 as int)), ' ".', repeat('"', 4), ' ')
  when 3 then concat('abcабвabcабвabcабвabcабв ', text, ' abcдеж')
  when 4 then concat(text, ' مرحبامرحبا', repeat('漢字', 6))
- when 5 then concat(repeat('да', 6), ' ', repeat('да', 6), ' ', repeat('да', 6))
+ when 5 then concat(repeat('да', 6), ' ', repeat('да', 6), ' ', repeat('да', 6), ' ', text)
  when 6 then concat('go go go ', repeat('ha', cast(2 + doc_id % 5 as int)), ' abABabABabAB ', text)
  else text end as text from documents
 """

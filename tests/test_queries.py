@@ -55,6 +55,12 @@ def test_detectors_without_sql_over_whole_documents(spark):
         assert got == {i: weight(t) for i, t in texts.items()}, name
 
 
+def test_scripted_documents_hold_their_whole_texts(spark):
+    t = Tables(spark, SF)
+    texts = {r.doc_id: r.text for r in t.scripted_documents.collect()}
+    assert all(r.text in texts[r.doc_id] for r in t.documents.collect())
+
+
 @pytest.mark.parametrize("name", ["r6_1_script_runs", "r6_3_punctuation", "r6_6_mixed_scripts", "r6_8_non_latin_runs"])
 def test_detectors_find_something(spark, name):
     weights = [r.weight for r in QUERIES[name](spark, SF).collect()]
