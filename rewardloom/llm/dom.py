@@ -1,7 +1,8 @@
 """A small reader of HTML into block elements, and their features as numpy arrays.
 
-It follows what browsers do where it matters for text: scripts, styles and other raw text are skipped, paragraphs, list items
-and cells end where the next begins, end tags that match nothing are ignored, quoted ``>`` do not end a tag.
+It follows what browsers do where it matters for text: scripts, drawings, styles and other raw text are skipped, paragraphs, list items
+and cells end where the next begins, end tags that match nothing are ignored, quoted ``>`` do not end a tag. Formulas and objects are read like other elements, a self-closing drawing or formula is
+empty. A form that holds blocks like an article's, as where a whole page stands in one, is taken for a ``div``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math object".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre section select summary table"
@@ -67,6 +68,13 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: The end of attributes that closes an element of these, if the slash is no unquoted value's.
+FOREIGN = frozenset(("svg", "math"))
+CLOSED = re.compile(r"(?<!\S)/\Z|[\"']/\Z|\A/\Z|(?:^|\s)[^\s=]+/\Z")
+#: A form with an element of these, or with so many other blocks of so many unlinked characters, is no mere form.
+MARKS = frozenset(("article", "main", "h1"))
+CONTROLS = frozenset("form fieldset button select label option legend optgroup".split())
+LONG_BLOCKS, LONG = 2, 80
 END_OF_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
@@ -174,9 +182,12 @@ def parse(html: str, known: dict[str, int]) -> Page:
             if name == "hr":
                 flush()
             continue
+        if name in FOREIGN and CLOSED.search(m[3] or m[6] or ""):
+            continue
         if name in RAW:
             end = END_OF_RAW[name].search(html, at)
-            at = end.end() if end else n
+            # A drawing that never ends is read on behind its tag, as the page's blocks would end it.
+            at = end.end() if end else at if name in FOREIGN else n
             continue
         if name in ("html", "body", "head"):
             continue
@@ -193,9 +204,27 @@ def parse(html: str, known: dict[str, int]) -> Page:
             stack.append((name, -1))
             links += name == "a"
     flush()
+    if "form" in page.tag:
+        _open_forms(page)
     return page
 
 
+def _open_forms(page: Page) -> None:
+    """Make a ``div`` of every form that holds blocks like an article's."""
+    unlinked = [0] * len(page.tag)
+    for i, text, linked in zip(page.text_of, page.text, page.linked, strict=True):
+        unlinked[i] += len(text) - linked
+    found = [LONG_BLOCKS if t in MARKS else int(t not in CONTROLS and u >= LONG) for t, u in zip(page.tag, unlinked, strict=True)]
+    for i in range(len(found) - 1, 0, -1):
+        # Text that stands in the form itself counts like a block's.
+        if page.tag[i] == "form":
+            found[i] += unlinked[i] >= LONG
+            if found[i] >= LONG_BLOCKS:
+                page.tag[i] = "div"
+                page.tokens[i] &= ~TOKENS["form"]
+        found[page.parent[i]] += found[i]
+
+
 class Forest(NamedTuple):
     """The elements of many pages: numbers of page, parent (-1: none) and depth, features, and which texts are theirs."""
 

@@ -105,3 +105,25 @@ def test_odd_pages(spark, model):
 def test_empty(spark, model):
     assert extraction.extracted(spark.createDataFrame([], KINDS), model).collect() == []
     assert extraction.fit(spark.createDataFrame([], KINDS)) is not None
+
+
+def test_nothing_is_lost_behind_drawings_formulas_and_objects():
+    for tag in ("<svg/>", '<svg class="a" />', "<svg viewBox='0 0 1 1'/>", "<svg hidden/>", "<math/>", '<math display="block"/>', "<object>", "<svg>"):
+        texts = [text for _, text in blocks(f"<p>before</p>{tag}<p>behind</p><div>end</div>")]
+        assert texts == ["before", "behind", "end"], tag
+    assert [text for _, text in blocks("<p>a <svg><text>x</text></svg>b</p><p>c</p>")] == ["a b", "c"]
+    # A slash in an unquoted value closes nothing.
+    assert [text for _, text in blocks("<p>a</p><svg class=x/><text>y</text></svg><p>c</p>")] == ["a", "c"]
+    assert [text for _, text in blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>")] == ["so x=1 holds"]
+    assert [text for _, text in blocks("<object data=a><p>instead</p></object><p>c</p>")] == ["instead", "c"]
+
+
+def test_a_page_inside_one_form(model):
+    line = "The quick brown fox jumps over the lazy dog, and then it runs back to the old house by the river. "
+    article = f"<h1>A fox and a dog</h1><p>{line * 3}</p><p>{line * 4}</p><p>{line * 2}</p>"
+    inside = f'<form id="aspnetForm" action="/"><input type=hidden><div class="content">{article}</div></form>'
+    found = text_of(model, f"<html><body>{inside}</body></html>")
+    assert (line * 4).strip() in found and (line * 2).strip() in found
+    # A form that is one stays out.
+    form = "<form><label>Your name</label><p>All fields are needed</p><button>Send</button></form>"
+    assert "fields" not in text_of(model, f"<html><body><article>{article}{form}</article></body></html>")
