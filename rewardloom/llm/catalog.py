@@ -8,6 +8,7 @@ from rewardloom.llm import rules, substrings, warc
 from rewardloom.llm.decontaminate import op6_decontamination
 from rewardloom.llm.extraction import op4_html_extraction
 from rewardloom.llm.packing import op3_best_fit_packing
+from rewardloom.llm.pieces import op11_sentencepiece
 from rewardloom.llm.quality import op5_quality_classifier
 from rewardloom.llm.rules import op10_quality_rules
 from rewardloom.llm.scoring import op8_lm_scoring
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 SQL: dict[str, str] = {
