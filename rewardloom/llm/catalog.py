@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from rewardloom.llm import rules, substrings, warc
+from rewardloom.llm import manifest, rules, substrings, warc
 from rewardloom.llm.decontaminate import op6_decontamination
 from rewardloom.llm.extraction import op4_html_extraction
+from rewardloom.llm.manifest import op12_manifest
 from rewardloom.llm.packing import op3_best_fit_packing
 from rewardloom.llm.pieces import op11_sentencepiece
 from rewardloom.llm.quality import op5_quality_classifier
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable] = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_manifest": op12_manifest,
 }
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.SQL,
     "op2_warc": warc.SQL,
     "op10_quality_rules": rules.sql(),
+    "op12_manifest": manifest.sql(),
 }
