@@ -17,6 +17,7 @@ from rewardloom.llm.sharding import op7_sharding
 from rewardloom.llm.simhash import op9_simhash
 from rewardloom.llm.substrings import op1_substring_dedup
 from rewardloom.llm.warc import op2_warc
+from rewardloom.llm.whitening import op13_whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_manifest": op12_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
