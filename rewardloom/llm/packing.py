@@ -15,16 +15,18 @@ with equal lengths inside. Every piece is numbered among the pieces of its lengt
 and its number says which sequence and offset are its own.
 
 Null and empty texts are the end id alone. Repeated rows are packed each; a null doc_id is packed like others. Only ``doc_id``
-and ``text`` are read. An empty table gives an empty result. Special tokens' strings in a text are ordinary text. A task holds
-one document's ids, and the distinct words of a slice of texts.
+and ``text`` are read. An empty table gives an empty result. Special tokens' strings, as they are written, have
+the special tokens' ids. A task holds one document's ids, and the distinct words of a slice of texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -54,15 +56,16 @@ class Encoder:
     """Token ids of whole texts from the ids of their distinct pieces.
 
     This tokenizer lower-cases texts and never joins characters across white space, nor a letter or digit with a
-    punctuation mark behind it, so texts are cut there, and equal pieces have equal ids wherever they stand. Pieces are
-    known by 64-bit hashes.
+    punctuation mark behind it, so texts are cut there, and equal pieces have equal ids wherever they stand. The strings of
+    its special tokens, as they are written, are pieces of their own. Pieces are known by 64-bit hashes.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        special = sorted((str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in special)) if special else None
         self._forget()
 
     def _forget(self) -> None:
@@ -78,9 +81,20 @@ class Encoder:
         self.words = np.insert(self.words, at, hashes)
         self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
+    def special_places(self, data: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
+        """Where the strings of special tokens lie in the texts."""
+        if self.special is None:
+            return []
+        whole = data.tobytes()
+        if not self.special.search(whole):
+            return []
+        edges = zip(places[:-1].tolist(), places[1:].tolist(), strict=True)
+        return [m.span() for a, b in edges for m in self.special.finditer(whole, a, b)]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one place more than there are texts)."""
         data, places = W.text_bytes(column)
+        found = self.special_places(data, places)
         data = W.lowered(data)
         kind = np.zeros(256, np.uint8)
         kind[33:127] = 2
@@ -88,6 +102,10 @@ class Encoder:
         kinds = kind[data]
         cuts = np.zeros(len(data), bool)
         cuts[1:] = (kinds[:-1] == 1) & (kinds[1:] == 2)
+        for a, b in found:
+            cuts[a + 1 : b] = False
+            cuts[a] = True
+            cuts[b : b + 1] = True
         w = W.split(data, places, W.spaces(), cuts)
         distinct, at, which = np.unique(W.Hasher().words(w), return_index=True, return_inverse=True)
         if len(self.words) + len(distinct) > REMEMBERED:
@@ -104,14 +122,17 @@ class Encoder:
         return ids, ends[w.first]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(tokenizer_file)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every piece, and its ``ids`` if asked for."""
 
-    # A worker process unpickles a broadcast once: what it puts in there serves all its tasks.
-    kept = docs.sparkSession.sparkContext.broadcast({})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept.value.get("encoder") or kept.value.setdefault("encoder", Encoder(tokenizer_file))
+        encoder = encoder_of(tokenizer_file)
         for batch in W.slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             held: list[np.ndarray] = []

@@ -16,10 +16,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], salt: Column, out: str = "slot", salts: int = 64) -> DataFrame:
+#: Rows of one key and salt that are sorted in one task, if all rows have one key.
+SORTED_ROWS = 500_000
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], salt: Column, out: str = "slot", salts: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without giving a key to one task: rows are numbered inside (key, salt) and
-    moved by the sizes of the salts before. ``df`` is evaluated twice, so it should be a stored table; ``order`` must
-    be unique inside a key."""
+    moved by the sizes of the salts before. There are 64 salts, or more where the rows are so many that one key could have over
+    ``SORTED_ROWS`` in each. ``df`` is evaluated three times, so it should be a stored table; ``order`` must be unique inside a key."""
+    salts = salts or max(64, -(-df.count() // SORTED_ROWS))
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (

@@ -14,7 +14,6 @@ FILE = packing.word_bpe()
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
@@ -95,6 +94,14 @@ def test_equal_lengths_spread_over_tasks(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_special_tokens_have_their_own_ids(table, plain):
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "a", "9", "é", " ", "'", "\n"]
+    rng = random.Random(12)
+    rows = [(1, "hello <|endoftext|> world"), *[(i, "".join(rng.choice(marks) for _ in range(30))) for i in range(2, 200)]]
+    check(rows, packing.pack(table(rows), FILE).collect(), plain, packing.CAPACITY)
+    assert plain("hello <|endoftext|> world") == [3306, 49407, 1002, packing.END]
+
+
 def test_ids_of_pieces_are_those_of_whole_texts(plain):
     import pyarrow as pa
 

@@ -102,7 +102,6 @@ def test_leaking_documents_go(spark, sf_dir, stages):
 def test_packing_holds_all_that_is_left(stages):
     before, after = stages["packing"]
     tokenizer = Tokenizer.from_file(packing.word_bpe())
-    tokenizer.encode_special_tokens = True
     plain = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END]
     used, least = test_packing.check(texts(before), after.collect(), plain, packing.CAPACITY)
     assert used <= least + 1
