@@ -6,7 +6,12 @@ Measures of a whole text (null and empty: all 0):
 * ``n_symbols``: characters of ``[#*$%&|<>]``;
 * ``n_lines``, ``n_dup_lines``: lines (cut at ``\\n``) that hold a word, and those equal to an earlier one;
 * ``n_repeat_words``: words in windows of ``WINDOW`` words that occur twice or more in the text, the first included;
-* ``n_stop_words``: words that are a stop word of any of the known languages when in lower case.
+* ``n_stop_words``: words that are a stop word of any of the known languages when in lower case;
+* ``n_foreign``: letters that none of the known languages is written with.
+
+The stop words of a text are judged where its letters may be those of a known language, and the length of its words where it is
+written mostly with such letters: the words of other languages are not known, and some don't part them by blanks. A few repeated
+lines are no fault in a short text.
 
 Windows are compared by 64-bit hashes inside one text. ``base_failed`` and ``kept`` are never null. Rows are judged one
 by one: repeated rows get the same verdict, an empty table gives an empty result, and only ``doc_id`` and ``text`` are
@@ -28,31 +33,41 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 
-#: Frequent function words of English, German, French and Spanish.
+#: Letters outside the alphabets of the known languages, by ranges of scripts: Latin letters of other languages, and other scripts.
+FOREIGN = r"[ÃãÅåÕõØøÐðÞþÝý\x{100}-\x{151}\x{154}-\x{177}\x{179}-\x{24F}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}\x{10000}-\x{1BFFF}\x{20000}-\x{3FFFF}]"
+
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese, Dutch and Indonesian.
 STOP_WORDS = (
     "the of and to a in is that for it as was with be by on not he are this at from or have an they which one you had"
     " der die und das von zu mit den ist des dem im nicht ein eine auf für sich auch es"
     " le la les de du et que qui dans un une est pour pas sur au par avec ce"
     " el los las en y se su con para una por es al lo como del"
+    " il che di non della dei nel sono più gli anche alla ma"
+    " o os as um uma não no na do da dos das em ao mais mas"
+    " het een van niet zijn dat op te voor met aan ook er maar"
+    " yang dan dengan untuk tidak ini itu dari pada adalah akan oleh"
 ).split()
 
 
 class Rule(NamedTuple):
-    """A text passes if ``low <= numerator / denominator <= high``."""
+    """A text passes if ``low <= numerator / denominator <= high``, or the numerator is at most ``few``, or ``foreign`` of its
+    characters or more are letters of no known language."""
 
     name: str
     numerator: str
     denominator: str
     low: float
     high: float
+    few: int = -1
+    foreign: float = 2.0
 
 
 #: The method's own rules; the base rules stand in ``judged``.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 2.0, 15.0),
+    Rule("word_length", "word_chars", "n_words", 2.0, 15.0, foreign=0.5),
     Rule("symbols", "n_symbols", "word_chars", 0.0, 0.05),
-    Rule("stop_words", "n_stop_words", "n_words", 0.03, 0.8),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 0.0, 0.45),
+    Rule("stop_words", "n_stop_words", "n_words", 0.03, 0.8, foreign=0.02),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 0.0, 0.3, few=2),
 )
 
 
@@ -106,8 +121,10 @@ def measured(docs: DataFrame) -> DataFrame:
         bound(full, _of_lines).alias("l"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).alias("n_symbols"),
+        # ASCII texts, the usual case, are told by comparing two lengths.
+        F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(FOREIGN))).alias("n_foreign"),
     )
-    names = ("w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words")
+    names = ("w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "w.n_stop_words", "n_foreign")
     return once.select("doc_id", *[F.col(n).cast("long").alias(n.split(".")[-1]) for n in names])
 
 
@@ -115,10 +132,11 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The measures, ``base_failed``, one boolean per rule and ``kept``."""
     table = measured(docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    verdicts = [
-        F.coalesce(F.try_divide(r.numerator, r.denominator).between(r.low, r.high), F.lit(False)).alias(f"ok_{r.name}")
-        for r in rules
-    ]
+    def verdict(r: Rule) -> Column:
+        ratio = F.coalesce(F.try_divide(r.numerator, r.denominator).between(r.low, r.high), F.lit(False))
+        return ratio | (F.col(r.numerator) <= r.few) | (F.col("n_foreign") >= r.foreign * F.greatest("word_chars", F.lit(1)))
+
+    verdicts = [verdict(r).alias(f"ok_{r.name}") for r in rules]
     table = table.select("*", failed.alias("base_failed"), *verdicts)
     kept = ~F.col("base_failed")
     for r in rules:
@@ -129,14 +147,16 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judged(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "n_foreign"
     )
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     passes = " and ".join(
-        f"coalesce({r.numerator}::double / nullif({r.denominator}, 0) between {r.low} and {r.high}, false)" for r in rules
+        f"(coalesce({r.numerator}::double / nullif({r.denominator}, 0) between {r.low} and {r.high}, false) "
+        f"or {r.numerator} <= {r.few} or n_foreign >= {r.foreign} * greatest(coalesce(word_chars, 0), 1))"
+        for r in rules
     )
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -148,9 +168,10 @@ covered as (select doc_id, count(distinct i + j) as n from again, range({WINDOW}
 m as (select w.doc_id, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as word_chars,
   len(regexp_extract_all(t, '{SYMBOL}'))::bigint as n_symbols,
   (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
-  len(l)::bigint as n_lines, len(list_filter(w, lambda x: lower(x) in ({stop})))::bigint as n_stop_words
+  len(l)::bigint as n_lines, len(list_filter(w, lambda x: lower(x) in ({stop})))::bigint as n_stop_words,
+  len(regexp_extract_all(t, '{FOREIGN}'))::bigint as n_foreign
   from words w left join covered c on c.doc_id = w.doc_id)
-select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words,
+select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_foreign,
  (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {passes} as kept
 from m"""

@@ -5,7 +5,7 @@ import pytest
 
 from rewardloom.llm import rules
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words", "n_foreign")
 
 
 def test_odd_rows_equal_sql(odd):
@@ -48,3 +48,29 @@ def test_clean_documents_stay(spark):
     good = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
     assert all(good) and sum(bad) <= len(bad) / 2
+
+
+#: Clean texts of twenty words or more.
+RUSSIAN = "Утром мы вышли из дома и пошли к реке, где уже собрались рыбаки. Вода была спокойной, и над ней медленно поднимался туман, который скоро исчез под солнцем."
+POLISH = "Rano wyszliśmy z domu i poszliśmy nad rzekę, gdzie już zebrali się rybacy. Woda była spokojna, a nad nią powoli unosiła się mgła, która wkrótce zniknęła w słońcu."
+CHINESE = " ".join(f"早上我们离开家，第{c}次走到河边，那里已经有很多渔夫聚集在一起。" for c in "一二三四五六七八九十百千万东西南北春夏秋冬山")
+ITALIAN = "La mattina siamo usciti di casa e siamo andati al fiume, dove i pescatori si erano già riuniti. L'acqua era calma e la nebbia saliva piano sopra di essa."
+
+
+def test_clean_texts_of_other_languages_stay(table):
+    rows = [RUSSIAN, POLISH, CHINESE, ITALIAN]
+    assert all(r.kept for r in rules.judged(table(list(enumerate(rows)))).collect())
+
+
+def test_words_of_no_language_go(table):
+    junk = " ".join(["hehend rendblean antionhare thedhely inthedstsh ofwhblest anderbleinea oreres anbleinnd"[i % 40 :] + f"q{i}x" for i in range(40)])
+    assert [r.kept for r in rules.judged(table([(1, junk)])).collect()] == [False]
+
+
+def test_repeated_lines_by_count_and_by_share(table):
+    line = "the {} of the lines that are in this text is not like any of them".format
+    few = "\n".join([line("first"), line("first"), line("first"), line("second"), line("third")])
+    many = "\n".join([*[line(i) for i in range(60)], *[f"line {i} and so on" for i in range(40)], *[f"line {i} and so on" for i in range(40)]])
+    rows = [(1, few), (2, many), (3, many + "\nline 0 and so on" * 30)]
+    got = {r.doc_id: (r.n_dup_lines, r.n_lines, r.ok_dup_lines) for r in rules.judged(table(rows)).collect()}
+    assert got == {1: (2, 5, True), 2: (40, 140, True), 3: (70, 170, False)}
