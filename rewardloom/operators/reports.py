@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.functions.answers import matches_expected, near
 from rewardloom.functions.extract import last_number, validation_answer
 from rewardloom.functions.formats import malformed
 from rewardloom.functions.text import has_all, n_words, py_float
+from rewardloom.operators.keys import join_on
 from rewardloom.profiles import V2, Profile
 
 MAX_ERRORS = 10
@@ -59,12 +60,17 @@ def _issues(p: Profile, wrong: Column | None = None) -> list[Column]:
     ]
 
 
-def validation_report(df: DataFrame, order: str, max_errors: int = MAX_ERRORS, p: Profile = V2) -> DataFrame:
-    """One row: accuracy, counts, the first errors, mean time and length, format problems."""
-    rows = validated(df, p)
+def validation_report(
+    df: DataFrame, order: str, max_errors: int = MAX_ERRORS, p: Profile = V2, keys: list[str] = ()
+) -> DataFrame:
+    """Per group (or in one row): accuracy, counts, the first errors, mean time and length, format problems.
+
+    Every task keeps the first errors of a group only, so a group of any size sends few of them.
+    """
+    rows, keys = validated(df, p), list(keys)
     wrong = ~F.coalesce("is_correct", F.lit(False))
     seconds = F.avg("generation_time") if "generation_time" in df.columns else F.lit(None).cast("double")
-    report = rows.agg(
+    report = rows.groupBy(*keys).agg(
         F.count_if(F.col("is_correct")).alias("correct"),
         F.count("is_correct").alias("total"),
         F.coalesce(F.avg(F.col("is_correct").cast("int")), F.lit(0.0)).alias("accuracy"),
@@ -75,9 +81,30 @@ def validation_report(df: DataFrame, order: str, max_errors: int = MAX_ERRORS, p
         *_issues(p, wrong),
     )
     error = F.struct(order, "input", "expected", "output", F.col("model_answer").alias("answer"))
-    first = rows.where(wrong).orderBy(order).limit(max_errors)
-    errors = first.agg(F.sort_array(F.collect_list(error)).alias("errors"))
-    return report.withColumn("errors", errors.scalar())
+    if not keys:
+        first = rows.where(wrong).orderBy(order).limit(max_errors)
+        return report.withColumn("errors", first.agg(F.sort_array(F.collect_list(error)).alias("errors")).scalar())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    first = rows.where(wrong).withColumn("__at", place).where(F.col("__at") <= max_errors)
+    errors = first.groupBy(*keys).agg(F.sort_array(F.collect_list(error)).alias("errors"))
+    joined = join_on(report, errors, keys, "left")
+    return joined.withColumn("errors", F.coalesce("errors", F.array().cast(errors.schema["errors"].dataType)))
+
+
+def sample_flags(df: DataFrame, order: str, p: Profile = V2) -> DataFrame:
+    """What each validation sample adds to a report: ``is_correct``, its time, words and format problems, and, if it is wrong, the
+    ``error`` with its texts. Other columns stay but ``input``, ``expected`` and ``output``."""
+    rows = validated(df, p)
+    wrong, out = ~F.coalesce("is_correct", F.lit(False)), F.coalesce(F.col("output"), F.lit(""))
+    seconds = F.col("generation_time").cast("double") if "generation_time" in df.columns else F.lit(None).cast("double")
+    error = F.struct(order, "input", "expected", "output", F.col("model_answer").alias("answer"))
+    return rows.select(
+        *[c for c in df.columns if c not in ("input", "expected", "output", "generation_time")], "is_correct",
+        seconds.alias("seconds"), F.when(F.col("output").isNotNull(), n_words(F.col("output"))).alias("words"),
+        (wrong & ~has_all(out, p.reasoning_open, p.reasoning_close)).alias("missing_reasoning_tag"),
+        (wrong & ~has_all(out, p.answer_open, p.answer_close)).alias("missing_answer_tag"),
+        (wrong & malformed(out)).alias("malformed_tags"), F.when(wrong, F.to_json(error, {"ignoreNullFields": "false"})).alias("error"),
+    )
 
 
 def run_comparison(df: DataFrame, base: str, tuned: str, run: str = "run") -> DataFrame:
