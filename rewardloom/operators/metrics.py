@@ -15,6 +15,7 @@ from rewardloom.functions.extract import first_between
 from rewardloom.functions.formats import ADHERENCE, adheres
 from rewardloom.functions.text import n_words, words
 from rewardloom.operators.keys import join_on
+from rewardloom.operators.trends import ranked
 from rewardloom.profiles import V2, Profile
 
 # Bins of the median search per doubling of the magnitude.
@@ -100,6 +101,53 @@ def statistics(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
     )
 
 
+def ranked_values(df: DataFrame, keys: list[str], shares: tuple[float, ...], value: str = "value") -> DataFrame:
+    """Per group ``n``, ``lo``, ``hi`` and exact quantiles ``q0``, ``q1``, ... at ``shares``, between two values in proportion.
+
+    As in :func:`statistics`, values are counted first and found through bins and cells, so no group is put in order whole.
+    """
+    keys = list(keys)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("v"))
+        .agg(F.count("*").alias("c"))
+        .withColumn("bin", _bin(F.col("v")))
+    )
+    group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin")
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("c").alias("_k"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bins = bins.withColumns({
+        "n": F.sum("_k").over(group), "lo": F.min("low").over(group), "hi": F.max("high").over(group),
+        "before": F.sum("_k").over(ordered) - F.col("_k"),
+    })
+    lower = [F.floor(F.lit(p) * (F.col("n") - 1)) + 1 for p in shares]
+    ranks = F.array_distinct(F.array(*[r for low in lower for r in (low, F.least(low + 1, F.col("n")))]))
+    inside = F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("_k")))
+    wanted = bins.select(*keys, "bin", "n", "lo", "hi", "before", "low", "high", F.explode(inside).alias("rank"))
+
+    spans = wanted.select(*keys, "bin", "before", "low", "high").distinct()
+    share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1).cast("bigint")))
+    held = join_on(counts, spans, [*keys, "bin"]).withColumn("cell", F.coalesce(cell, F.lit(0).cast("bigint")))
+    cells = held.groupBy(*keys, "bin", "cell").agg(F.sum("c").alias("_k"), F.first("before").alias("before"))
+    last = F.col("before") + F.sum("_k").over(Window.partitionBy(*keys, "bin").orderBy("cell"))
+    cells = cells.select(*keys, "bin", "cell", last.alias("last"), (last - F.col("_k")).alias("first"))
+    met = join_on(cells, wanted, [*keys, "bin"]).where("rank > first and rank <= last")
+    places = met.groupBy(*keys, "bin", "cell", "first").agg(F.collect_set("rank").alias("ranks"))
+    covered = join_on(held, places, [*keys, "bin", "cell"]).withColumn(
+        "at", F.col("first") + F.sum("c").over(Window.partitionBy(*keys, "bin", "cell").orderBy("v"))
+    )
+    mine = F.filter("ranks", lambda r: (r <= F.col("at")) & (r > F.col("at") - F.col("c")))
+    found = covered.select(*keys, F.explode(mine).alias("rank"), "v")
+    values = join_on(wanted.select(*keys, "n", "lo", "hi", "rank"), found, [*keys, "rank"]).groupBy(*keys, "n", "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")
+    )
+    out = []
+    for i, (p, low) in enumerate(zip(shares, lower, strict=True)):
+        a, b = F.col("at")[low], F.col("at")[F.least(low + 1, F.col("n"))]
+        out.append((a + (b - a) * (F.lit(p) * (F.col("n") - 1) - (low - 1))).alias(f"q{i}"))
+    return values.select(*keys, "n", "lo", "hi", *out)
+
+
 def length_statistics(df: DataFrame, text: str = "model_output", keys: list[str] = ()) -> DataFrame:
     n = n_words(F.coalesce(F.col(text), F.lit("")))
     return df.groupBy(*keys).agg(
@@ -148,10 +196,11 @@ def reasoning_answer_ratio(df: DataFrame, text: str, keys: list[str] = (), p: Pr
     )
 
 
-def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+def bin_index(v: Column, lo: Column, hi: Column, bins: int | Column) -> Column:
     """Index of the equal-width bin, the last one closed; values are checked against the exact bin edges."""
+    bins = F.lit(bins) if isinstance(bins, int) else bins
     step = (hi - lo) / bins
-    raw = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("bigint"))
+    raw = F.least(F.floor((v - lo) / (hi - lo) * bins), (bins - 1).cast("bigint"))
     down = F.when(v < lo + raw * step, 1).otherwise(0)
     up = F.when((v >= lo + (raw + 1) * step) & (raw != bins - 1), 1).otherwise(0)
     return (raw - down + up).cast("bigint")
@@ -182,6 +231,28 @@ def histogram(df: DataFrame, keys: list[str] = (), value: str = "value", bins: i
     )
 
 
+def automatic_histogram(df: DataFrame, keys: list[str] = (), value: str = "value") -> DataFrame:
+    """Counts per equal-width bin, the width from each group's own values: the finer of two rules, one of the number of values,
+    one of their quartiles (but at most twice as fine as the root of the number). Bins without values are not listed."""
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull())
+    spans = ranked_values(rows, keys, (0.25, 0.75), value)
+    width, n = F.col("hi") - F.col("lo"), F.col("n").cast("double")
+    quartiles = 2.0 * (F.col("q1") - F.col("q0")) * F.pow(n, F.lit(-1.0 / 3.0))
+    finest = F.least(F.greatest(quartiles, width / F.sqrt(n) / 2), width / (F.log2(n) + 1.0))
+    flat = F.col("lo") == F.col("hi")
+    spans = spans.select(
+        *keys,
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        F.when(flat, F.lit(1).cast("bigint")).otherwise(F.ceil(F.try_divide(width, finest))).alias("bins"),
+    )
+    binned = join_on(rows, spans, keys) if keys else rows.withColumns({c: spans.select(c).scalar() for c in ("lo", "hi", "bins")})
+    index = bin_index(F.col(value), F.col("lo"), F.col("hi"), F.col("bins"))
+    counts = binned.groupBy(*keys, "lo", "hi", "bins", index.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select(*keys, "bins", "bin", (F.col("lo") + F.col("bin") * ((F.col("hi") - F.col("lo")) / F.col("bins"))).alias("edge"), "n")
+
+
 def kl_divergence(
     df: DataFrame, is_first: Column, keys: list[str] = (), value: str = "value", bins: int = 20, eps: float = 1e-10
 ) -> DataFrame:
@@ -282,8 +353,12 @@ TEXT_FIELDS = ("generation", "prediction", "output")
 NUMERIC = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def metric_tags(df: DataFrame, step: str = "step") -> DataFrame:
-    """Route the columns of a log table to tags: ``(tag, kind, step, number, text, numbers)``."""
+def metric_tags(df: DataFrame, step: str | None = "step", left_out: tuple[str, ...] = (), order: list[str] = ()) -> DataFrame:
+    """Route the columns of a log table to tags: ``(tag, kind, step, number, text, numbers)``.
+
+    A column that no tag fits is an error unless it is ``left_out``. Without ``step`` every tag counts its own steps from 0, in the
+    order of the columns ``order``, which are then needed.
+    """
 
     def entry(tag: Column, kind: str, number=None, text=None, numbers=None) -> Column:
         return F.struct(
@@ -302,8 +377,9 @@ def metric_tags(df: DataFrame, step: str = "step") -> DataFrame:
         entries = [entry(F.concat(F.lit("rewards/"), F.col("reward_name")), "scalar", number=F.col("value"))]
     else:
         entries = []
+        unknown = []
         for name, kind in df.dtypes:
-            if name == step:
+            if name == step or name in left_out or (step is None and name in order):
                 continue
             if kind in NUMERIC or kind.startswith("decimal"):
                 entries.append(entry(F.lit(f"metrics/{name}"), "scalar", number=F.col(name)))
@@ -311,4 +387,15 @@ def metric_tags(df: DataFrame, step: str = "step") -> DataFrame:
                 entries.append(entry(F.lit(f"distributions/{name}"), "histogram", numbers=F.col(name)))
             elif kind == "string" and name in TEXT_FIELDS:
                 entries.append(entry(F.lit(f"text/{name}"), "text", text=F.col(name)))
+            else:
+                unknown.append(f"{name} ({kind})")
+        if unknown:
+            raise ValueError(f"no tag fits {', '.join(unknown)}")
+    if step is None:
+        if not order:
+            raise ValueError("without steps an order is needed")
+        tagged = df.select(*order, F.inline(F.array(*entries)))
+        # Tags of few names hold all rows each, so steps are counted inside ranges of the first column.
+        counted = ranked(tagged, ["tag"], list(order), order[0], name="step")
+        return counted.select("step", "tag", "kind", "number", "text", "numbers")
     return df.select(F.col(step).alias("step"), F.inline(F.array(*entries)))

@@ -40,12 +40,19 @@ class Rewards:
 
     def __init__(self, names: tuple[str, ...] = REWARDS):
         self.functions: dict[str, Reward] = {n: BUILT_IN[n] for n in names}
+        self.tables: list[tuple[tuple[str, ...], Callable[..., object], tuple[str, ...]]] = []
 
     def register(self, name: str, reward: Reward) -> "Rewards":
         """``reward(df, profile)`` returns a DOUBLE column; other columns of the table are its extra inputs."""
         self.functions[name] = reward
         return self
 
+    def register_table(self, names: tuple[str, ...], function: Callable[..., object], inputs: tuple[str, ...]) -> "Rewards":
+        """``function`` is a table function that gives one row with the rewards ``names`` for the columns ``inputs`` of each row: for
+        rewards that share work no expression can do, in one pass of Python over Arrow batches."""
+        self.tables.append((names, function, inputs))
+        return self
+
     def columns(self, df: DataFrame, profile: Profile) -> dict[str, Column]:
         return {name: f(df, profile).cast("double") for name, f in self.functions.items()}
 
@@ -59,9 +66,14 @@ def total_reward(names) -> Column:
 
 def score(df: DataFrame, rewards: Rewards | None = None, profile: Profile = V2) -> DataFrame:
     """Add one column per reward and ``total_reward``. A narrow job: no shuffle, one pass over the text."""
-    columns = (rewards or Rewards()).columns(df, profile)
-    scored = df.withColumns(columns)
-    return scored.withColumn("total_reward", total_reward(columns))
+    rewards = rewards or Rewards()
+    columns = rewards.columns(df, profile)
+    scored, names = df.withColumns(columns), list(columns)
+    for given, function, inputs in rewards.tables:
+        scored = scored.lateralJoin(function(*[F.col(c).outer() for c in inputs]))
+        scored = scored.withColumns({name: F.col(name).cast("double") for name in given})
+        names += given
+    return scored.withColumn("total_reward", total_reward(names))
 
 
 def to_long(df: DataFrame, names=REWARDS, keys=("run", "step", "sample_id")) -> DataFrame:

@@ -377,17 +377,32 @@ def r19(t: Tables) -> DataFrame:
 select run, sample_id, round(cast({R1} as double) + length(question) * cast(0.001 as double), 6) as total_reward
 from generations""")
 def e1(t: Tables) -> DataFrame:
-    """A reward of the user's own, in the slow form: an Arrow UDF over the columns it names."""
-
-    @F.pandas_udf("double")
-    def length_bonus(question):
-        return question.str.len() * 0.001
-
-    rewards = Rewards(("correctness",)).register("length_bonus", lambda df, p: length_bonus(df["question"]))
+    """A reward of the user's own, as an expression of the columns it names."""
+    rewards = Rewards(("correctness",)).register("length_bonus", lambda df, p: F.length("question") * 0.001)
     scored = score(t.generations, rewards)
     return scored.select(*KEY, F.round("total_reward", 6).alias("total_reward"))
 
 
+@query("e1_reward_table", f"""
+select run, sample_id, round(length(question) * cast(0.001 as double), 6) as length_bonus,
+  round(length(translate(lower(question), 'bcdfghjklmnpqrstvwxyz', '')) / greatest(length(question), 1), 6) as open_letters,
+  round(cast({R1} as double) + length(question) * cast(0.001 as double)
+    + length(translate(lower(question), 'bcdfghjklmnpqrstvwxyz', '')) / greatest(length(question), 1), 6) as total_reward
+from generations""")
+def e1_table(t: Tables) -> DataFrame:
+    """Two rewards of the user's own from one pass of a table function over the questions."""
+
+    @F.udtf(returnType="length_bonus double, open_letters double")
+    class Letters:
+        def eval(self, question: str):
+            other = sum(c not in "bcdfghjklmnpqrstvwxyz" for c in question.lower())
+            yield len(question) * 0.001, other / max(len(question), 1)
+
+    names = ("length_bonus", "open_letters")
+    rewards = Rewards(("correctness",)).register_table(names, Letters, ("question",))
+    return score(t.generations, rewards).select(*KEY, *[F.round(n, 6).alias(n) for n in (*names, "total_reward")])
+
+
 LONG = f"""
 select run, step, sample_id, 'correctness' as reward_name, cast({R1} as double) as value from generations
 union all select run, step, sample_id, 'integer', cast({R2} as double) from generations

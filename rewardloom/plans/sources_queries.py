@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import question_id, reasoning_and_answer
 from rewardloom.functions.prompts import render_message
-from rewardloom.operators.datasets import first_rows, split_counts, value_counts
+from rewardloom.operators.datasets import first_rows, schema_rows, split_counts, value_counts
 from rewardloom.operators.reports import comparison_report, evaluated
 from rewardloom.operators.scoring import BUILT_IN, generation_log
 from rewardloom.plans import sql as q
@@ -184,6 +184,15 @@ def s10(t: Tables) -> DataFrame:
     return split_counts(t.typed_answers.withColumn("split", F.expr(SPLIT)))
 
 
+@query("s10_columns", """
+select column_name, case column_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'INTEGER' then 'int'
+  when 'DOUBLE' then 'double' else lower(column_type) end as column_type
+from (describe select doc_id, text, lang, source from documents)""")
+def s10_columns(t: Tables) -> DataFrame:
+    """Columns and types of a data set."""
+    return schema_rows(t.documents.select("doc_id", "text", "lang", "source"))
+
+
 @query("s10_first_examples", """
 select sample_id, answer_type, category, target from typed_answers order by sample_id limit 3""")
 def s10_first(t: Tables) -> DataFrame:
@@ -192,9 +201,11 @@ def s10_first(t: Tables) -> DataFrame:
 
 @query("k1_generation_log", LOG_SQL)
 def k1(t: Tables) -> DataFrame:
-    """The scored log: texts, ids, extractions, all rewards and their total."""
+    """The scored log: texts, ids, extractions, all rewards and their total. An attempt that is made again leaves one copy."""
     path = t.work("log")
-    logs.write_log(generation_log(t.generations, F.lit(DAY).cast("date")), path)
+    log = generation_log(t.generations, F.lit(DAY).cast("date"))
+    logs.write_log(log.where("run = 'tuned'"), path)
+    logs.write_log(log, path)
     return logs.read_log(t.spark, path).select(*LOG_FIELDS)
 
 
@@ -291,6 +302,16 @@ def k7(t: Tables) -> DataFrame:
     return result
 
 
+@query("k7_export_statistics", """
+select 'target' as field, null as value, count(target) as n, round(avg(length(target)), 6) as mean_chars, max(length(target)) as max_chars from typed_answers
+union all select 'model_answer', null, count(model_answer), round(avg(length(model_answer)), 6), max(length(model_answer)) from typed_answers
+union all select 'category', coalesce(category, ''), count(*), null, null from typed_answers group by category""")
+def k7_statistics(t: Tables) -> DataFrame:
+    path = t.work("export")
+    logs.export_dataset(t.typed_answers.select("target", "model_answer", "category"), path, ("target", "model_answer"), ("category",))
+    return t.spark.read.parquet(f"{path}/statistics").withColumn("mean_chars", F.round("mean_chars", 6))
+
+
 @query("a1_value_counts", """
 select field, value, count(*) as n from (
   select 'answer_type' as field, answer_type as value from typed_answers

@@ -137,10 +137,11 @@ def statistics(value: str) -> str:
     )
 
 
-def bin_index(v: str, lo: str, hi: str, bins: int) -> str:
-    raw = f"least(cast(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}) as bigint), {bins - 1})"
+def bin_index(v: str, lo: str, hi: str, bins: int | str) -> str:
+    last = f"({bins} - 1)"
+    raw = f"least(cast(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}) as bigint), {last})"
     step = f"(({hi} - {lo}) / {bins})"
     return (
         f"({raw} - case when {v} < {lo} + {raw} * {step} then 1 else 0 end"
-        f" + case when {v} >= {lo} + ({raw} + 1) * {step} and {raw} <> {bins - 1} then 1 else 0 end)"
+        f" + case when {v} >= {lo} + ({raw} + 1) * {step} and {raw} <> {last} then 1 else 0 end)"
     )

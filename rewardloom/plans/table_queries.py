@@ -269,21 +269,32 @@ def validation_input(t: Tables) -> DataFrame:
 
 
 @query("a10_validation_report", f"""
-select run, count(*) filter (is_correct) as correct, count(*) as total, round(avg(is_correct::int), 6) as accuracy,
+select run, step, count(*) filter (is_correct) as correct, count(*) as total, round(avg(is_correct::int), 6) as accuracy,
   0.5::double as avg_generation_time, round(avg(len({q.words('output')})), 6) as avg_output_length, {ISSUES},
-  (select string_agg(concat(sample_id, ':', model_answer), '|' order by sample_id) from wrong w
-    where w.run = v.run and w.place <= 10) as errors
-from v group by run""", [("v", VALIDATION), ("wrong", """
-select run, sample_id, model_answer, row_number() over (partition by run order by sample_id) as place from v where not is_correct""")])
+  coalesce((select string_agg(concat(sample_id, ':', model_answer), '|' order by sample_id) from wrong w
+    where w.run = v.run and w.step = v.step and w.place <= 10), '') as errors
+from v group by run, step""", [("v", VALIDATION), ("wrong", """
+select run, step, sample_id, model_answer, row_number() over (partition by run, step order by sample_id) as place
+from v where not is_correct""")])
 def a10(t: Tables) -> DataFrame:
-    """A report per run."""
+    """A report per run and step."""
     samples = validation_input(t).withColumn("generation_time", F.lit(0.5))
-    runs = [reports.validation_report(samples.where(F.col("run") == r), "sample_id").withColumn("run", F.lit(r)) for r in ("base", "tuned")]
-    report = runs[0].unionByName(runs[1])
+    report = reports.validation_report(samples, "sample_id", keys=["run", "step"])
     listed = F.transform("errors", lambda e: F.concat(e["sample_id"].cast("string"), F.lit(":"), e["answer"]))
     return rounded(report, "accuracy", "avg_output_length").withColumn("errors", F.array_join(listed, "|"))
 
 
+@query("a10_whole_report", f"""
+select count(*) filter (is_correct) as correct, count(*) as total, round(avg(is_correct::int), 6) as accuracy,
+  (select string_agg(sample_id, ',' order by sample_id) from (select sample_id from v where not is_correct and run = 'tuned'
+    order by sample_id limit 10)) as errors from v where run = 'tuned'""", [("v", VALIDATION)])
+def a10_whole(t: Tables) -> DataFrame:
+    """The report of one validation, in one row."""
+    report = reports.validation_report(validation_input(t).where("run = 'tuned'"), "sample_id")
+    ids = F.array_join(F.transform("errors", lambda e: e["sample_id"].cast("string")), ",")
+    return rounded(report, "accuracy").select("correct", "total", "accuracy", ids.alias("errors"))
+
+
 @query("a11_format_issues", f"""
 select run, {ISSUES} from v group by run having count(*) filter (not is_correct) > 0""", [("v", VALIDATION)])
 def a11(t: Tables) -> DataFrame:
@@ -317,7 +328,7 @@ def a13(t: Tables) -> DataFrame:
     parts = [
         metrics.metric_tags(t.generations.select("step", "question", "model_output")),
         metrics.metric_tags(long_rewards(t).select("step", "reward_name", "value")),
-        metrics.metric_tags(logged),
+        metrics.metric_tags(logged, left_out=("props",)),
     ]
     tags = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return tags.withColumns({
@@ -326,6 +337,16 @@ def a13(t: Tables) -> DataFrame:
     })
 
 
+@query("a13_own_steps", """
+select row_number() over (order by event_id) - 1 as step, 'metrics/value' as tag, 'scalar' as kind, round(value, 6) as number, null as text
+from events union all select row_number() over (order by event_id) - 1, 'text/output', 'text', null, event_type from events""")
+def a13_own_steps(t: Tables) -> DataFrame:
+    """Rows without steps: every tag counts its own."""
+    logged = t.events.select("event_id", "value", F.col("event_type").alias("output"))
+    tags = metrics.metric_tags(logged, step=None, order=["event_id"])
+    return rounded(tags, "number").select("step", "tag", "kind", "number", "text")
+
+
 @query("k5_reward_tags", """
 select step, concat('rewards/', reward_name) as tag, 'scalar' as kind, round(value, 6) as number from long""",
        [("long", LONG)])
@@ -341,6 +362,22 @@ def a14(t: Tables) -> DataFrame:
     return rounded(metrics.histogram(t.metric_log, ["metric"]), "edge")
 
 
+AUTOMATIC = f"""
+select m.metric, value, lo, hi, bins, {q.bin_index('value', 'lo', 'hi', 'bins')} as bin from metric_log m join (
+  select metric, case when lo = hi then lo - 0.5 else lo end as lo, case when lo = hi then hi + 0.5 else hi end as hi,
+    case when lo = hi then 1 else ceil((hi - lo) / least(greatest(2 * iqr * pow(n, -1.0 / 3.0), (hi - lo) / sqrt(n) / 2), (hi - lo) / (log2(n) + 1)))
+    end::bigint as bins
+  from (select metric, min(value) as lo, max(value) as hi, count(value) as n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr
+    from metric_log group by metric)) s on s.metric = m.metric"""
+
+
+@query("a14_automatic_histogram", """
+select metric, bins, bin, round(lo + bin * ((hi - lo) / bins), 6) as edge, count(*) as n from automatic group by metric, bins, bin, lo, hi""",
+       [("automatic", AUTOMATIC)])
+def a14_automatic(t: Tables) -> DataFrame:
+    return rounded(metrics.automatic_histogram(t.metric_log, ["metric"]), "edge")
+
+
 @query("a15_reward_correlation", "\nunion all ".join(
     f"select run, '{a}' as reward_a, '{b}' as reward_b, case when stddev_pop({a}) * stddev_pop({b}) > 0 then round(corr({a}, {b}), 6) end as correlation from wide group by run"
     for i, a in enumerate(PLAIN) for b in PLAIN[i + 1:]), [("wide", WIDE)])

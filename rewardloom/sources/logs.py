@@ -26,9 +26,11 @@ def log_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
     return df.select(*keep, *fields)
 
 
-def write_log(df: DataFrame, path: str, now: Column | None = None) -> None:
-    """Append to the log table, one partition folder per run."""
-    log_rows(df, now).write.mode("append").partitionBy("run").parquet(path)
+def write_log(df: DataFrame, path: str, now: Column | None = None, attempt: str = "0") -> None:
+    """Add to the log table, one folder per run and ``attempt``. An attempt that is written again replaces what it wrote of the
+    same runs before; other attempts and runs stay."""
+    rows = log_rows(df, now).withColumn("attempt", F.lit(attempt))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "attempt").parquet(path)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -96,8 +98,26 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def export_dataset(df: DataFrame, path: str) -> None:
-    """A data set as a columnar table, CSV (nested columns as JSON) and JSON lines."""
+def dataset_statistics(df: DataFrame, texts: tuple[str, ...], groups: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``field, value, n, mean_chars, max_chars``: of each text column its filled rows and lengths, of each of ``groups``
+    the rows per value."""
+
+    def entry(field: str, value: Column, chars: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), chars.cast("int").alias("chars"))
+
+    lengths = [entry(c, F.lit(None), F.length(c)) for c in texts]
+    values = [entry(c, F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(None)) for c in groups]
+    rows = df.select(F.inline(F.array(*lengths, *values)))
+    filled = F.col("chars").isNotNull() | F.col("value").isNotNull()
+    return rows.groupBy("field", "value").agg(
+        F.count_if(filled).alias("n"), F.avg("chars").alias("mean_chars"), F.max("chars").cast("bigint").alias("max_chars")
+    )
+
+
+def export_dataset(df: DataFrame, path: str, texts: tuple[str, ...] = (), groups: tuple[str, ...] = ()) -> None:
+    """A data set as a columnar table, CSV (nested columns as JSON) and JSON lines, and its statistics beside it."""
+    if texts or groups:
+        dataset_statistics(df, texts, groups).write.mode("overwrite").parquet(f"{path}/statistics")
     df.write.mode("overwrite").parquet(f"{path}/table")
     flat = [
         F.to_json(name).alias(name) if kind.startswith(("array", "struct", "map")) else F.col(name)

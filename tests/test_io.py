@@ -99,8 +99,12 @@ def test_logs_round_trip_texts_as_they_are(spark):
         1.5, "", None, "2024-01-02 03:04:05")
     table = work_dir(spark, "table")
     logs.write_log(rows, table)
-    logs.write_log(rows, table)
-    assert logs.read_log(spark, table).where("run = 'r 1/x+y'").count() == 2
+    logs.write_log(rows.withColumn("run", F.lit("other")), table)
+    logs.write_log(rows, table, attempt="second")
+    # An attempt that is made again replaces itself and nothing else.
+    logs.write_log(rows.unionByName(rows), table)
+    count = logs.read_log(spark, table).groupBy("run", "attempt").count()
+    assert {tuple(r) for r in count.collect()} == {("r 1/x+y", "0", 2), ("other", "0", 1), ("r 1/x+y", "second", 1)}
 
 
 def test_prompts(evaluate, spark):

@@ -211,7 +211,9 @@ def test_counts_and_sets(spark):
 def test_metric_tags_by_type(spark):
     df = spark.createDataFrame([(3, 1.5, [1.0, 2.0], "text", "other")],
                                "step bigint, loss double, values array<double>, output string, note string")
-    got = {(r.tag, r.kind): (r.step, r.number, r.text, r.numbers) for r in metrics.metric_tags(df).collect()}
+    with pytest.raises(ValueError, match="note"):
+        metrics.metric_tags(df)
+    got = {(r.tag, r.kind): (r.step, r.number, r.text, r.numbers) for r in metrics.metric_tags(df, left_out=("note",)).collect()}
     assert got == {
         ("metrics/loss", "scalar"): (3, 1.5, None, None), ("text/output", "text"): (3, None, "text", None),
         ("distributions/values", "histogram"): (3, None, None, [1.0, 2.0]),
@@ -260,3 +262,31 @@ def test_positions_inside_one_crowded_step(spark):
     cells = trends._dense_cells(rows.withColumn("__range", F.lit(0)), ["metric"], ["step", "i"], 1000)
     sizes = [r["count"] for r in cells.groupBy("__cell").count().collect()]
     assert len(sizes) == trends.CELLS and max(sizes) < 100
+
+
+def test_automatic_bins_are_those_of_numpy(spark):
+    rng = np.random.default_rng(3)
+    groups = {
+        "normal": rng.normal(size=3000), "skewed": rng.exponential(size=700) ** 3, "ties": rng.integers(0, 4, 500).astype(float),
+        "flat": np.full(20, 2.5), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "spike": np.append(np.zeros(400), [1.0, 9.0]), "wide": rng.normal(size=50) * 1e9,
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("normal", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(3)
+    got = {}
+    for r in metrics.automatic_histogram(df, ["k"]).collect():
+        got.setdefault(r.k, {})[r.bin] = (r.bins, r.edge, r.n)
+    for k, values in groups.items():
+        n, edges = np.histogram(values, bins="auto")
+        assert {b: x[2] for b, x in got[k].items()} == {i: c for i, c in enumerate(n.tolist()) if c}, k
+        assert all(x[0] == len(n) and x[1] == pytest.approx(edges[b]) for b, x in got[k].items())
+    whole = metrics.automatic_histogram(df.where("k = 'normal'")).collect()
+    assert sum(r.n for r in whole) == 3000 and whole[0].bins == len(np.histogram(groups["normal"], bins="auto")[0])
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=999), "b": rng.integers(0, 3, 100).astype(float), "c": np.array([4.0]), "d": np.array([-1.0, 5.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "k string, value double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for r in metrics.ranked_values(df, ["k"], shares).collect():
+        assert [r[f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(groups[r.k], shares).tolist())
