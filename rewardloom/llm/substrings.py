@@ -10,14 +10,16 @@ also starts in a document with a smaller doc_id.
 3. *Extension.* The marked windows are compared whole, by 128-bit hashes: the smallest doc_id of each decides. So the
    result is that of comparing all windows, up to a chance of 2**-128 per pair of windows.
 
-A document whose text equals that of a smaller doc_id is removed whole if it has a window, and its windows need no
-extension. Anchors and windows move as rows of numbers; a passage that a third of all documents share is pre-aggregated
-before each shuffle, and its occurrences are joined with one row, which adaptive execution splits. The texts are shuffled
-once, and those with marked windows once more.
+Anchors count by distinct texts, so exact copies repeat nothing: a document whose text equals that of a smaller doc_id is removed whole
+if it has a window, and its windows need no extension. Anchors and windows move as rows of numbers: once to find what
+repeats, pre-aggregated in every task, and then only those that a Bloom filter of the repeated ones lets through, to meet these. A
+passage that a third of all documents share is joined with one row, which adaptive execution splits. Only texts with
+marked windows or copies are shuffled; all others are judged where they are read.
 
 Null texts have no words; blank and short texts are returned with nothing removed. Rows with the same doc_id are one
-document each and do not make each other repeated; rows without doc_id never remove words elsewhere and lose none. Only
-``doc_id`` and ``text`` are read. An empty table gives an empty result. A task holds one text and about ten times its bytes.
+document each, whether their texts are equal or not, and do not make each other repeated; rows without doc_id never remove words elsewhere and lose none. Only
+``doc_id`` and ``text`` are read. An empty table gives an empty result. A task holds one text and about ten times its bytes, and
+filters of 32 MB at most. Texts are known by 64-bit hashes when anchors are counted, and by md5 as copies.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm import words as W
+from rewardloom.llm.bloom import Bloom, bloom
 from rewardloom.llm.tables import stored
 
 WINDOW = 50
@@ -60,18 +63,25 @@ def anchor_places(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return (first[text] + inner)[chosen], text[chosen]
 
 
-def _anchors(docs: DataFrame, window: int, places: bool) -> DataFrame:
+def _anchors(docs: DataFrame, window: int, repeated: Bloom | None = None) -> DataFrame:
+    """The anchors of texts ``t``; of those that may be ``repeated`` their places too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = Half(*SEEDS[0])
         for batch in W.slices(batches):
             w = W.words(batch.column("text"))
             at, text = anchor_places(w.first, window)
-            arrays = [half.hashes(w, at, window - PERIOD + 1), pa.array(batch.column("doc_id").to_numpy()[text])]
-            if places:
-                arrays.append(pa.array((at - w.first[text]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "pos"][: len(arrays)])
+            h = half.hashes(w, at, window - PERIOD + 1)
+            if repeated is not None:
+                maybe = repeated.holds(h.to_numpy())
+                h, at, text = h.filter(pa.array(maybe)), at[maybe], text[maybe]
+            arrays, names = [h, batch.column("t").take(pa.array(text))], ["h", "t"]
+            if repeated is not None:
+                arrays += [batch.column("doc_id").take(pa.array(text)), pa.array((at - w.first[text]).astype(np.int32))]
+                names += ["doc_id", "pos"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.mapInArrow(run, "h long, doc_id long, pos int" if places else "h long, doc_id long")
+    return docs.mapInArrow(run, "h long, t long" if repeated is None else "h long, t long, doc_id long, pos int")
 
 
 def marked_starts(anchors: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -123,7 +133,9 @@ def _cut(texts: DataFrame, window: int, carried: list[str]) -> DataFrame:
     return texts.select("doc_id", "text", "copy", "starts", *carried).mapInArrow(run, f"{RESULT}, {kinds}" if kinds else RESULT)
 
 
-def _marked_windows(texts: DataFrame, window: int) -> DataFrame:
+def _marked_windows(texts: DataFrame, window: int, repeated: Bloom | None = None) -> DataFrame:
+    """The marked windows of texts; of those that may be ``repeated`` their texts and places too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = [Half(*seeds) for seeds in SEEDS]
         for batch in W.slices(batches):
@@ -136,12 +148,30 @@ def _marked_windows(texts: DataFrame, window: int) -> DataFrame:
                 at.append(starts + w.first[i])
                 text.append(np.full(len(starts), i))
             at, text = np.concatenate(at), np.concatenate(text)
-            keys = [half.hashes(w, at, window) for half in halves]
-            doc = batch.column("doc_id").to_numpy()[text]
-            pos = (at - w.first[text]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(doc), pa.array(pos)], ["g", "h", "doc_id", "pos"])
+            h = halves[1].hashes(w, at, window)
+            if repeated is not None:
+                maybe = repeated.holds(h.to_numpy())
+                h, at, text = h.filter(pa.array(maybe)), at[maybe], text[maybe]
+            arrays, names = [halves[0].hashes(w, at, window), h, batch.column("doc_id").take(pa.array(text))], ["g", "h", "doc_id"]
+            if repeated is not None:
+                arrays += [batch.column("t").take(pa.array(text)), pa.array((at - w.first[text]).astype(np.int32))]
+                names += ["t", "pos"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = "g long, h long, doc_id long"
+    return texts.select("doc_id", "t", "text", "anchors").mapInArrow(run, schema if repeated is None else f"{schema}, t long, pos int")
+
+
+def _among(docs: DataFrame, marked: Bloom, wanted: bool) -> DataFrame:
+    """The rows whose doc_id may be (or cannot be) among the marked ones; none that is null may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column("doc_id")
+            held = marked.holds(doc.fill_null(0).to_numpy()) & doc.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held == wanted))
 
-    return texts.select("doc_id", "text", "anchors").mapInArrow(run, "g long, h long, doc_id long, pos int")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -152,39 +182,40 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
         raise ValueError(f"a window has at least {PERIOD} words")
     extra = F.struct(*carried).alias("carried") if carried else F.lit(None).cast("string").alias("carried")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", extra)
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
 
-    repeated = _anchors(known, window, places=False).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    # An anchor is repeated if it is found in two different texts.
+    repeated = _anchors(known, window).groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     # A stored side has its own exchange before the join, so that adaptive execution can split a hot key's rows.
     repeated = stored(repeated.where("a < b").select("h"), "repeated")
-    anchors = _anchors(known, window, places=True).join(repeated.hint("shuffle_hash"), "h")
-    anchors = anchors.groupBy("doc_id").agg(F.collect_set("pos").alias("anchors"))
+    anchors = _anchors(known, window, bloom(repeated)).join(repeated.hint("shuffle_hash"), "h")
+    anchors = anchors.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("anchors"))
 
-    named = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
+    # Rows that share a doc_id may hold different texts, so a copy is known by doc_id and text.
+    named = known.select("doc_id", "t", F.md5(F.col("text").cast("binary")).alias("k"))
     least = named.groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    copies = named.join(least, "k").where("doc_id > a").select("doc_id", "k").distinct()
+    copies = named.join(least, "k").where("doc_id > a").groupBy("doc_id", "t").agg(F.collect_set("k").alias("copied"))
+    marks = stored(anchors.join(copies, ["doc_id", "t"], "full"), "marks")
 
-    # Rows that share a doc_id may hold different texts, so a copy is known by doc_id and text.
-    marked = docs.join(anchors, "doc_id", "left").join(
-        copies.groupBy("doc_id").agg(F.collect_set("k").alias("copied")), "doc_id", "left"
-    )
-    copy = F.coalesce(F.array_contains("copied", F.md5(F.col("text").cast("binary"))), F.lit(False))
-    marked = marked.select("doc_id", "text", "carried", "anchors", copy.alias("copy"))
-    marked = marked.withColumn("open", ~F.col("copy") & F.col("anchors").isNotNull())
+    marked = bloom(stored(marks.select("doc_id").distinct(), "marked"))
     none = F.lit(None).cast("array<int>").alias("starts")
-    # The texts move once to meet their marks. Most are judged there; only those with marked windows are stored.
-    judged, later = F.when(~F.col("open"), F.col("text")).alias("text"), F.when(F.col("open"), F.col("text")).alias("open_text")
-    met = marked.select("doc_id", judged, "copy", none, "carried", "open", "anchors", later)
-    first = stored(_cut(met, window, ["carried", "open", "anchors", "open_text"]), "marked")
-
-    open_texts = first.where("open").select("doc_id", F.col("open_text").alias("text"), "carried", "anchors", F.lit(False).alias("copy"))
-    windows = _marked_windows(open_texts, window)
-    least = windows.groupBy("g", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    clean = _among(docs, marked, False).select("doc_id", "text", F.lit(False).alias("copy"), none, "carried")
+
+    met = _among(docs, marked, True).withColumn("t", F.xxhash64("text")).join(marks, ["doc_id", "t"], "left")
+    copy = F.coalesce(F.array_contains("copied", F.md5(F.col("text").cast("binary"))), F.lit(False))
+    met = met.select("doc_id", "t", "text", "carried", "anchors", copy.alias("copy"))
+    met = stored(met.withColumn("open", ~F.col("copy") & F.col("anchors").isNotNull()), "met")
+    closed = met.where("not open").select("doc_id", "text", "copy", none, "carried")
+
+    open_texts = met.where("open")
+    least = _marked_windows(open_texts, window).groupBy("g", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     least = stored(least.select("g", "h", "a"), "least")
+    windows = _marked_windows(open_texts, window, bloom(least.select("h")))
     later = windows.join(least.hint("shuffle_hash"), ["g", "h"]).where("doc_id > a")
-    starts = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    cut = _cut(open_texts.join(starts, "doc_id", "left"), window, ["carried"])
-    result = first.where("not open").select(*cut.columns).union(cut)
+    starts = later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("starts"))
+    extended = open_texts.join(starts, ["doc_id", "t"], "left").select("doc_id", "text", "copy", "starts", "carried")
+    parts = [_cut(texts, window, ["carried"]) for texts in (clean, closed, extended)]
+    result = parts[0].union(parts[1]).union(parts[2])
     return result if carried else result.drop("carried")
 
 

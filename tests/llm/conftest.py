@@ -14,6 +14,9 @@ ODD = [
     (8, "x" * 70_000, "en"),
     (9, "été à ß     😀 \x00 end", "fr"),
     (10, "the cat sat on the mat and looked at the dog " * 3000, "en"),
+    (12, " ".join(f"word{i}" for i in range(400)), "en"),
+    (12, " ".join(f"word{i}" for i in range(300, 355)), "en"),
+    (13, " ".join(f"word{i}" for i in range(320, 390)), "en"),
     (11, "<b>not</b> | a & page # * $ % < >", None),
 ]
 NAMES = ("text_", "a", "b", "h", "fp", "key", "n", "pos", "rank", "slot", "size", "m", "shard", "score", "length", "_salt")

@@ -4,8 +4,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rewardloom.llm import substrings
+from rewardloom.llm.bloom import bloom
 
 
 def brute(rows, window=substrings.WINDOW):
@@ -90,3 +92,21 @@ def test_marked_starts():
         anchors = rng.choice(n - 19, 3, replace=False)
         want = [i for i in range(n - 49) if any(0 <= a - i < substrings.PERIOD for a in anchors)]
         assert substrings.marked_starts(anchors, n, 50).tolist() == want
+
+
+def test_rows_that_share_a_number_and_hold_different_texts(table):
+    line = [f"w{i}" for i in range(400)]
+    rows = [(2, " ".join(line)), (2, " ".join(line[300:355])), (3, " ".join(line[310:390])), (1, " ".join(line[100:180])), (2, " ".join(line[:60]))]
+    rows += [(4, " ".join(line)), (4, " ".join(line)), (5, " ".join(line[200:])), (5, "short")]
+    want = brute(rows)
+    assert got(table(rows)) == want and sum(r[2] > 0 for r in want) > 4
+
+
+def test_a_filter_lets_all_its_keys_through_and_few_others(spark):
+    keys = spark.range(100_000).select((F.col("id") * 7919 - 5).alias("h"))
+    found = bloom(keys)
+    assert found.holds(np.arange(100_000) * 7919 - 5).all()
+    assert found.holds(np.arange(100_000) * 7919 - 4).mean() < 0.03
+    assert not bloom(keys.where("false")).holds(np.arange(10)).any()
+    # A full filter lets more through, but loses none.
+    assert bloom(keys, most=2**20).holds(np.arange(100_000) * 7919 - 5).all()
