@@ -46,10 +46,15 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's ``spark.checkpoint.dir``, or below its warehouse where that is unset.
 
-    Both are folders that all executors share. The folder is deleted when the driver ends.
+    Both are folders that all executors share; on a cluster, whose default warehouse is a folder of the driver's machine, one of
+    them must be set. The folder is deleted when the driver ends.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") and not context.getConf().contains("spark.sql.warehouse.dir"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base.rstrip('/')}/rewardloom/{name}-{uuid.uuid4().hex}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)

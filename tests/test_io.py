@@ -128,8 +128,18 @@ def test_work_folder_is_the_one_the_session_names(spark):
     first, second = (work_dir(spark, "x") for _ in range(2))
     assert first != second and first.startswith(f"{named}/rewardloom/x-")
     context = spark.sparkContext
-    unset = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, *_: None if key == "spark.checkpoint.dir" else spark.conf.get(key)),
-        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, _jvm=context._jvm, _jsc=context._jsc),
-    )
-    assert work_dir(unset, "x").startswith(spark.conf.get("spark.sql.warehouse.dir"))
+
+    def unset(master, *names):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, *_: None if key == "spark.checkpoint.dir" else spark.conf.get(key)),
+            sparkContext=SimpleNamespace(
+                getCheckpointDir=lambda: None, _jvm=context._jvm, _jsc=context._jsc, master=master,
+                getConf=lambda: SimpleNamespace(contains=lambda key: key in names),
+            ),
+        )
+
+    for session in (unset("local[4]"), unset("yarn", "spark.sql.warehouse.dir")):
+        assert work_dir(session, "x").startswith(spark.conf.get("spark.sql.warehouse.dir"))
+    # A cluster's default warehouse is a folder of the driver's machine.
+    with pytest.raises(ValueError, match="checkpoint"):
+        work_dir(unset("spark://host:7077"), "x")
