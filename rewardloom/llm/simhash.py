@@ -4,7 +4,7 @@ Two fingerprints that differ in at most ``distance`` bits are equal in all but `
 fingerprint is therefore dealt out once for every choice of ``blocks - distance`` blocks, under the bits of these; close
 pairs meet under at least one choice, and their true distance decides. Equal fingerprints are one row before that, and
 of those that meet only a link of each to the first of its chain leaves the task, so neither copies nor a dense group of near
-copies make pairs. Links become components; every document carries the smallest doc_id it reaches.
+copies make pairs. A key that very many fingerprints share is split by parts of its other bits, of which one is equal again. Links become components; every document carries the smallest doc_id it reaches.
 
 Rules: words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case; shingles are ``width`` words (the whole text if it
 has fewer), repeats included; a bit is 1 if it is set in over half of the shingles' XXH64 values. Null, empty and blank
@@ -30,6 +30,8 @@ from rewardloom.llm.tables import stored
 
 SEED = 42
 BITS = 64
+#: Fingerprints of one key that a task connects at once.
+MOST = 200_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -94,31 +96,80 @@ def forest(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or [none]), np.concatenate(b or [none])
 
 
-def links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+def sub_masks(mask: int, distance: int) -> list[int]:
+    """``mask`` with one of ``distance + 1`` parts of the bits it leaves out each: close values that agree in the mask's bits agree
+    in one of these too."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(free) * i // (distance + 1) for i in range(distance + 2)]
+    masks = [(mask % 2**BITS) | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return [m - 2**BITS if m >= 2 ** (BITS - 1) else m for m in masks]
+
+
+def _dealt(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """Every fingerprint under each choice ``i`` with the bits ``k`` of its mask."""
+    choices = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]
+    return prints.select("fp", F.explode(F.array(*choices)).alias("s")).select("s.i", "s.k", "fp")
+
+
+def links(prints: DataFrame, distance: int = 3, blocks: int = 6, most: int = MOST) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, enough to connect all that differ in ``distance`` bits or
-    fewer, and none that chains of such pairs don't connect."""
+    fewer, and none that chains of such pairs don't connect. A key with more than ``most`` fingerprints is dealt out again by
+    parts of its other bits."""
     masks = block_masks(blocks, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not got:
-            return
-        choice, key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((fp, key, choice))
-        choice, key, fp = choice[order], key[order], fp[order].view(np.uint64)
-        same = (key[1:] == key[:-1]) & (choice[1:] == choice[:-1])
-        starts = np.flatnonzero(np.concatenate(([True], ~same)))
-        ends = np.append(starts[1:], len(fp))
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            a, b = forest(fp[lo:hi], distance)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    dealt = prints.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s"),
-    )
-    return dealt.select("s.i", "s.k", "fp").repartition("i", "k").mapInArrow(run, "a long, b long")
+        held: list[np.ndarray] = []
+        key = None
+
+        def connected() -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(held) if len(held) > 1 else held[0]
+            if len(values) > 1:
+                a, b = forest(values, distance)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        # Keys come one after the other; only the fingerprints of one are held.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, k, fp = (c.to_numpy() for c in batch.columns)
+            fp = fp.view(np.uint64)
+            edges = np.flatnonzero((i[1:] != i[:-1]) | (k[1:] != k[:-1])) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(fp))
+            if key is not None and key != (i[0], k[0]):
+                yield from connected()
+                held = []
+            whole = np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1
+            if len(starts) > 1:
+                held.append(fp[: ends[0]])
+                yield from connected()
+                for g in whole:
+                    held = [fp[starts[g] : ends[g]]]
+                    yield from connected()
+                held = []
+            held.append(fp[starts[-1] :])
+            key = (i[-1], k[-1])
+        if key is not None:
+            yield from connected()
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        ordered = dealt.repartition("i", "k").sortWithinPartitions("i", "k", "fp")
+        return ordered.mapInArrow(run, "a long, b long")
+
+    dealt = _dealt(prints, masks)
+    big = stored(dealt.groupBy("i", "k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("i", "k"), "big")
+    if big.isEmpty():
+        return linked(dealt)
+    small = linked(dealt.join(big, ["i", "k"], "left_anti"))
+    held = stored(dealt.join(big, ["i", "k"], "left_semi"), "held")
+    parts = len(masks) * (distance + 1)
+    again = F.array(*[
+        F.struct(F.lit(n * (distance + 1) + j).alias("j"), F.col("fp").bitwiseAND(F.lit(m)).alias("h"))
+        for n, mask in enumerate(masks) for j, m in enumerate(sub_masks(mask, distance))
+    ])
+    mine = F.slice(again, F.col("i") * (distance + 1) + 1, distance + 1)
+    split = held.select("fp", F.explode(mine).alias("s")).select((F.col("s.j") + parts).alias("i"), F.col("s.h").alias("k"), "fp")
+    return small.union(linked(split))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:

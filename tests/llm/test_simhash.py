@@ -81,3 +81,38 @@ def test_every_close_pair_meets(spark):
     found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).distinct().collect()
     found = {frozenset((r.a % 2**64, r.b % 2**64)) for r in found}
     assert found == {frozenset(p) for p in pairs}
+
+
+def test_a_key_with_many_fingerprints_is_split(spark):
+    rng = random.Random(21)
+    # Half of all share their upper 32 bits, and lie about a few centres.
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    values = {rng.getrandbits(64) for _ in range(300)}
+    for _ in range(600):
+        x = (centres[0] >> 32 << 32) | (rng.choice(centres) & 0xFFFFFFFF)
+        for _ in range(rng.randrange(5)):
+            x ^= 1 << rng.randrange(32)
+        values.add(x)
+    signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
+    prints = spark.createDataFrame(signed, "fp long").repartition(3)
+
+    def classes(found):
+        root = {v: v for (v,) in signed}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for r in found.collect():
+            root[top(r.a)] = top(r.b)
+        groups = {}
+        for (v,) in signed:
+            groups.setdefault(top(v), set()).add(v)
+        return sorted(map(sorted, groups.values()))
+
+    whole = classes(simhash.links(prints))
+    assert classes(simhash.links(prints, most=20)) == whole and max(map(len, whole)) > 20
+    want = {(a, b) for (a,) in signed for (b,) in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    where = {v: i for i, group in enumerate(whole) for v in group}
+    assert all(where[a] == where[b] for a, b in want)
