@@ -1,3 +1,4 @@
+from types import SimpleNamespace
 import os
 import random
 import re
@@ -127,3 +128,34 @@ def test_a_page_inside_one_form(model):
     # A form that is one stays out.
     form = "<form><label>Your name</label><p>All fields are needed</p><button>Send</button></form>"
     assert "fields" not in text_of(model, f"<html><body><article>{article}{form}</article></body></html>")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_decoding_takes_the_best_of_all_consistent_choices(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(2, 10))
+    parent = np.array([-1, *[int(rng.integers(0, i)) for i in range(1, n)]])
+    depth = np.zeros(n, np.int64)
+    for i in range(1, n):
+        depth[i] = depth[parent[i]] + 1
+    own, odds = rng.integers(0, 200, n), rng.normal(size=n) * 2
+    below = own.copy()
+    for i in range(n - 1, 0, -1):
+        below[parent[i]] += below[i]
+    tags = ["p" if rng.random() < 0.85 else sorted(extraction.NEVER)[0] for _ in range(n)]
+    tags[0] = "html"
+    forest = SimpleNamespace(own=own, below=below, parent=parent, depth=depth)
+    kept = extraction.decoded(forest, odds, tags)
+    worth = np.where(parent < 0, 0.0, (np.log1p(own) + 0.25 * np.log1p(below)) * odds)
+
+    def total(choice):
+        return sum(worth[i] for i in range(n) if choice[i])
+
+    choices = []
+    for bits in range(2**n):
+        choice = [bits >> i & 1 for i in range(n)]
+        consistent = all(not choice[i] or (i == 0 or choice[parent[i]]) for i in range(n))
+        if consistent and not any(choice[i] and tags[i] in extraction.NEVER for i in range(n)):
+            choices.append(choice)
+    assert kept.tolist() in [list(map(bool, c)) for c in choices]
+    assert total(kept) == pytest.approx(max(map(total, choices)), abs=1e-9)

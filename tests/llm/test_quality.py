@@ -1,3 +1,6 @@
+import zstandard
+import numpy as np
+import math
 import random
 
 import pytest
@@ -59,3 +62,28 @@ def test_without_usable_labels(corpus, odd, empty):
         assert {r.score for r in quality.scored(odd, model).collect()} == {0.5}
         assert quality.accepted(odd, model).count() == odd.count()
     assert quality.fit(empty, labels) is None
+
+
+def test_scores_are_those_of_each_text_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    level, plain = quality.LEVEL, dict(write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def compressed(parts, dictionary=None):
+        held = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return sum(len(zstandard.ZstdCompressor(level=level, **held, **plain).compress(x)) for x in parts)
+
+    def score(text):
+        data = (text or "").encode()
+        small = [data[i : i + 1024] for i in range(0, len(data), 1024)] or [b""]
+        large = [data[i : i + 65536] for i in range(0, len(data), 65536)] or [b""]
+        good, bad = compressed(small, model.good), compressed(small, model.bad)
+        d, r, k = (bad - good) / (bad + good), math.log(max(1, len(data)) / compressed(large)), (1 + len(data)) ** -0.5
+        x = (np.array([1, d, d * d, r, r * r, d * r, k, k * d]) - model.mean) / model.scale
+        return 1 / (1 + math.exp(-min(30, max(-30, float(x @ model.weights)))))
+
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    found = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert all(abs(found[r.doc_id] - score(r.text)) < 1e-6 for r in rows)
+    assert len({round(x, 6) for x in found.values()}) > 50

@@ -71,3 +71,49 @@ def test_no_python_in_the_plan(table):
     rows = table([(1, "a"), (2, "a"), (3, "b")])
     plan = sharding.sharded(rows)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def optimum(sizes, quota):
+    """The fewest members outside their group's main shard, over all ways to deal the groups' members out."""
+    best = [10**9]
+
+    def place(k, room, lost):
+        if lost >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = lost
+            return
+
+        def deal(s, left, most):
+            if s == len(room):
+                if left == 0:
+                    place(k + 1, tuple(room_now), lost + sizes[k] - most)
+                return
+            for n in range(min(left, room_now[s]) + 1):
+                room_now[s] -= n
+                deal(s + 1, left - n, max(most, n))
+                room_now[s] += n
+
+        room_now = list(room)
+        deal(0, sizes[k], 0)
+
+    place(0, tuple(quota), 0)
+    return best[0]
+
+
+SMALL = (((3,) * 20, 4), ((5,) * 12, 3), ((2,) * 40, 4), ((10,) * 8, 4), ((4, 4, 4), 3), ((20,) * 6, 3), ((30, 30, 20, 20, 20), 2))
+
+
+def test_small_tables_against_a_hash_and_the_exhaustive_optimum(table):
+    """All these groups fit in whole; propagation is no exact search, but loses far less than a placement by hash."""
+    assert optimum((4, 4, 4), (4, 4, 4)) == 0 and optimum((3, 3, 2), (4, 4)) == 1 and optimum((7, 2), (3, 3, 3)) == 4
+    losses = []
+    for sizes, shards in SMALL:
+        rows = [(1000 * g + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)]
+        found = sharding.sharded(table(rows), shards=shards).collect()
+        check(rows, found, shards)
+        hashed = [Counter(zlib.crc32(str(1000 * g + i).encode()) % shards for i in range(n)) for g, n in enumerate(sizes)]
+        losses.append((round(cut(rows, found) * sum(sizes)), sum(sum(c.values()) - max(c.values()) for c in hashed)))
+    assert all(lost < by_hash for lost, by_hash in losses)
+    assert 3 * sum(lost for lost, _ in losses) < sum(by_hash for _, by_hash in losses)
+    assert any(lost == 0 for lost, _ in losses)
