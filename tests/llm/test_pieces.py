@@ -30,7 +30,13 @@ def test_the_agenda_gives_the_library_s_ids(agenda, library):
     texts = ["", " ", "   ", "a" * 5000, "中文字" * 300, "x▁y ▁ z", "▁" * 9, " " * 40 + "a" + " " * 17, "<s> </s> <unk> <0x0A>", "\n\n\t\r\x00", "é" * 200 + "́"]
     for letters in ("ab \n\t▁é中😀the", "  the of and", "lo we er.,​", "01 23\n"):
         texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(400)]
-    assert [ids(agenda.encode(t)) for t in texts] == library.encode(texts)
+    assert [ids(x) for x in agenda.encode(texts)] == library.encode(texts)
+    words = {part for t in texts for part in agenda.parts(library.normalize(t))}
+    assert all(agenda.merged(part) == agenda.merged_short(part) for part in words if len(part) < 400)
+    fresh = pieces.Agenda(library)
+    fresh.learn(sorted(words))
+    assert len(fresh) > 1000
+    assert all(ids(x) == [i for piece in agenda.merged(part) for i in agenda.ids_of(piece)] for part, x in fresh.items())
 
 
 def test_a_small_memory_and_uncut_texts_give_the_same_ids(library, monkeypatch):
@@ -38,12 +44,12 @@ def test_a_small_memory_and_uncut_texts_give_the_same_ids(library, monkeypatch):
     texts = ["".join(rng.choice("the cat sat on a ") for _ in range(400)) for _ in range(50)]
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     few = pieces.Agenda(library)
-    assert [ids(few.encode(t)) for t in texts] == library.encode(texts)
+    assert [ids(x) for x in few.encode(texts)] == library.encode(texts)
     assert len(few) <= 3 and len(few.before) <= 3
     whole = pieces.Agenda(library)
     whole.parts = lambda text: [text]
     whole.meet = {a + b for t in texts for a, b in zip(f"▁{t}".replace(" ", "▁"), t.replace(" ", "▁"), strict=False)}
-    assert [ids(whole.encode(t)) for t in texts] == library.encode(texts)
+    assert [ids(x) for x in whole.encode(texts)] == library.encode(texts)
 
 
 def test_rows(spark, odd, library):
@@ -95,4 +101,4 @@ def test_unused_pieces_come_apart_and_letters_without_bytes_are_unknown():
     library = sentencepiece.SentencePieceProcessor(model_proto=parsed.SerializeToString())
     agenda = pieces.Agenda(library)
     texts = ["the man is singing to another banana in the morning", "then the thing"]
-    assert [ids(agenda.encode(t)) for t in texts] == library.encode(texts)
+    assert [ids(x) for x in agenda.encode(texts)] == library.encode(texts)
