@@ -48,21 +48,21 @@ def tag_content(text: Column, tag: str) -> Column:
     return first_between(text, f"<{tag}>", f"</{tag}>")
 
 
-def reasoning_and_answer(text: Column, p: Profile = V2) -> tuple[Column, Column]:
-    reasoning = first_between(text, p.reasoning_open, p.reasoning_close)
+def thought_and_answer(text: Column, p: Profile = V2) -> tuple[Column, Column]:
+    thought = first_between(text, p.thought_open, p.thought_close)
     answer = first_between(text, p.answer_open, p.answer_close)
-    return F.coalesce(reasoning, F.lit("")), F.coalesce(answer, F.lit(""))
+    return F.coalesce(thought, F.lit("")), F.coalesce(answer, F.lit(""))
 
 
 def sections(text: Column, p: Profile = V2) -> tuple[Column, Column, Column]:
-    """Reasoning, answer and what follows the answer, each '' when its tags are missing."""
+    """Thought, answer and what follows the answer, each '' when its tags are missing."""
 
     def section(opening: str, closing: str) -> Column:
         inside = F.substring_index(part_after(text, opening, 1), closing, 1)
         return F.when(has_all(text, opening, closing), strip(inside)).otherwise("")
 
     post = F.when(has(text, p.answer_close), strip(part_after(text, p.answer_close, 1))).otherwise("")
-    return section(p.reasoning_open, p.reasoning_close), section(p.answer_open, p.answer_close), post
+    return section(p.thought_open, p.thought_close), section(p.answer_open, p.answer_close), post
 
 
 def hash_answer(answer: Column) -> Column:
@@ -150,7 +150,7 @@ def trial_id(stamp: Column, index: Column) -> Column:
 
 
 def response_parts(parts: Column) -> tuple[Column, Column]:
-    """Split ``array<struct<thought, text>>`` into reasoning and answer text."""
+    """Split ``array<struct<thought, text>>`` into thoughts and answer text."""
 
     def joined(flag: bool) -> Column:
         keep = F.filter(parts, lambda part: F.coalesce(part["thought"], F.lit(False)) == F.lit(flag))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.extract import custom_format
 from rewardloom.functions.text import BLANK_CLASS, count_is_one, has_all, literal_pattern
-from rewardloom.profiles import V2, Profile
+from rewardloom.profiles import THOUGHT_TAG, V2, Profile
 
 
 def _scored(condition: Column, weight: float) -> Column:
@@ -28,7 +28,7 @@ def strict_format(text: Column, p: Profile = V2) -> Column:
 def soft_format(text: Column, p: Profile = V2) -> Column:
     if p.anchored_formats:
         return _scored(text.rlike(SOFT_LAYOUT.format(*map(literal_pattern, p.tags))), p.soft_format)
-    return _scored(has_all(text, p.reasoning_open, p.reasoning_close), p.soft_format)
+    return _scored(has_all(text, p.thought_open, p.thought_close), p.soft_format)
 
 
 def tag_count(text: Column, p: Profile = V2) -> Column:
@@ -41,8 +41,8 @@ def tag_count(text: Column, p: Profile = V2) -> Column:
     opened = count_is_one(text, f"\n{p.answer_open}\n")
     closed = count_is_one(text, f"\n{p.answer_close}")
     return (
-        _scored(count_is_one(text, f"{p.reasoning_open}\n"), p.tag_weight)
-        + _scored(count_is_one(text, f"\n{p.reasoning_close}\n"), p.tag_weight)
+        _scored(count_is_one(text, f"{p.thought_open}\n"), p.tag_weight)
+        + _scored(count_is_one(text, f"\n{p.thought_close}\n"), p.tag_weight)
         + F.when(opened, p.tag_weight - trailing(f"\n{p.answer_close}\n") * p.trailing_char).otherwise(0.0)
         + F.when(closed, p.tag_weight - (trailing(f"\n{p.answer_close}") - 1) * p.trailing_char).otherwise(0.0)
     )
@@ -67,7 +67,7 @@ def approximate_format(text: Column, p: Profile) -> Column:
 
 
 # Fixed value: the layout that counts as followed.
-ADHERENCE = r"<reasoning>.*?</reasoning>.*?<answer>.*?</answer>"
+ADHERENCE = rf"<{THOUGHT_TAG}>.*?</{THOUGHT_TAG}>.*?<answer>.*?</answer>"
 
 
 def adheres(text: Column, pattern: str = ADHERENCE) -> Column:
@@ -76,8 +76,8 @@ def adheres(text: Column, pattern: str = ADHERENCE) -> Column:
 
 
 # A tag that is opened and never closed, or closed and never opened.
-UNCLOSED = r"<(reasoning|answer)[^>]*>[^<]*\z"
-UNOPENED = r"^[^<]*</(reasoning|answer)>"
+UNCLOSED = rf"<({THOUGHT_TAG}|answer)[^>]*>[^<]*\z"
+UNOPENED = rf"^[^<]*</({THOUGHT_TAG}|answer)>"
 
 
 def malformed(text: Column) -> Column:

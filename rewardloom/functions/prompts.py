@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import words
-from rewardloom.profiles import SYSTEM_PROMPT
+from rewardloom.profiles import SYSTEM_PROMPT, V2
 
-REASONING_CUE = "<reasoning>"
+THOUGHT_CUE = V2.thought_open
 # A neutral rendering; the real one belongs to a tokenizer and is passed in.
 MESSAGE_TEMPLATE = "<start_of_turn>{role}\n{content}<end_of_turn>\n"
 END_MARKER = "<eos>"
@@ -42,8 +42,8 @@ def render_messages(messages: Column, template: str = MESSAGE_TEMPLATE, end: str
     return F.concat(F.array_join(turns, ""), F.lit(end))
 
 
-def with_reasoning_cue(prompt: Column) -> Column:
-    return F.concat(prompt, F.lit(REASONING_CUE))
+def with_thought_cue(prompt: Column) -> Column:
+    return F.concat(prompt, F.lit(THOUGHT_CUE))
 
 
 def strip_prompt(full: Column, prompt: Column) -> Column:

@@ -96,8 +96,8 @@ def similarity(a: Column, b: Column, p: Profile = V2) -> Column:
 
 
 def relevance_parts(question: Column, text: Column, p: Profile = V2) -> Column:
-    """``struct<reasoning_excess, answer_excess, post_sentences, off_topic, drifts>``, the counts behind the reward."""
-    reasoning, answer, post = sections(text, p)
+    """``struct<thought_excess, answer_excess, post_sentences, off_topic, drifts>``, the counts behind the reward."""
+    thought, answer, post = sections(text, p)
 
     def excess(part: Column, limit: int) -> Column:
         return F.greatest(F.length(part) - limit, F.lit(0)).cast("bigint")
@@ -116,12 +116,12 @@ def relevance_parts(question: Column, text: Column, p: Profile = V2) -> Column:
         return of_vectors
 
     def in_row(s: Column) -> Column:
-        vectors = F.transform(sentences(s["reasoning"], p.sentence_pattern), lambda x: term_vector(x, p))
+        vectors = F.transform(sentences(s["thought"], p.sentence_pattern), lambda x: term_vector(x, p))
         judged = let(term_vector(question, p), lambda q: let(vectors, counts(q)))
         return let(
             judged,
             lambda j: F.struct(
-                excess(s["reasoning"], p.max_reasoning_chars).alias("reasoning_excess"),
+                excess(s["thought"], p.max_thought_chars).alias("thought_excess"),
                 excess(s["answer"], p.max_answer_chars).alias("answer_excess"),
                 F.size(sentences(s["post"], p.sentence_pattern)).cast("bigint").alias("post_sentences"),
                 j["off_topic"].alias("off_topic"),
@@ -129,12 +129,12 @@ def relevance_parts(question: Column, text: Column, p: Profile = V2) -> Column:
             ),
         )
 
-    return let(F.struct(reasoning.alias("reasoning"), answer.alias("answer"), post.alias("post")), in_row)
+    return let(F.struct(thought.alias("thought"), answer.alias("answer"), post.alias("post")), in_row)
 
 
 def relevance_penalty(parts: Column, p: Profile = V2) -> Column:
     terms = [
-        (parts["reasoning_excess"] + parts["answer_excess"]) / 100 * p.excess_per_100,
+        (parts["thought_excess"] + parts["answer_excess"]) / 100 * p.excess_per_100,
         parts["post_sentences"] * p.post_answer_sentence,
         parts["off_topic"] * p.off_topic_sentence,
         parts["drifts"] * p.topic_drift,

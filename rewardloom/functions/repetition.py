@@ -330,7 +330,7 @@ def detector(name: str, text: Column, p: Profile = V2) -> Column:
 
 
 def is_math(text: Column, p: Profile = V2) -> Column:
-    return has(text, p.reasoning_open) | text.rlike(any_pattern(p.whitelist[: p.math_markers]))
+    return has(text, p.thought_open) | text.rlike(any_pattern(p.whitelist[: p.math_markers]))
 
 
 def detector_counts(text: Column, p: Profile = V2) -> Column:

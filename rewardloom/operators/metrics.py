@@ -178,14 +178,14 @@ def adherence_rate(df: DataFrame, text: str, keys: list[str] = (), pattern: str
     return df.groupBy(*keys).agg(F.coalesce(F.avg(follows), F.lit(0.0)).alias("format_adherence_rate"))
 
 
-def reasoning_answer_ratio(df: DataFrame, text: str, keys: list[str] = (), p: Profile = V2) -> DataFrame:
-    reasoning = n_words(first_between(F.col(text), p.reasoning_open, p.reasoning_close))
+def thought_answer_ratio(df: DataFrame, text: str, keys: list[str] = (), p: Profile = V2) -> DataFrame:
+    thought = n_words(first_between(F.col(text), p.thought_open, p.thought_close))
     answer = n_words(first_between(F.col(text), p.answer_open, p.answer_close))
     # size(NULL) is -1 in some modes, so texts without the tags are left out explicitly.
-    has_reasoning = first_between(F.col(text), p.reasoning_open, p.reasoning_close).isNotNull()
+    has_thought = first_between(F.col(text), p.thought_open, p.thought_close).isNotNull()
     has_answer = first_between(F.col(text), p.answer_open, p.answer_close).isNotNull()
     means = df.groupBy(*keys).agg(
-        F.avg(F.when(has_reasoning, reasoning)).alias("r"), F.avg(F.when(has_answer, answer)).alias("a")
+        F.avg(F.when(has_thought, thought)).alias("r"), F.avg(F.when(has_answer, answer)).alias("a")
     )
     both = F.col("r").isNotNull() & F.col("a").isNotNull()
     return means.select(

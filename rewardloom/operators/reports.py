@@ -54,7 +54,7 @@ def _issues(p: Profile, wrong: Column | None = None) -> list[Column]:
     out = F.coalesce(F.col("output"), F.lit(""))
     wrong = F.lit(True) if wrong is None else wrong
     return [
-        F.count_if(wrong & ~has_all(out, p.reasoning_open, p.reasoning_close)).alias("missing_reasoning_tag"),
+        F.count_if(wrong & ~has_all(out, p.thought_open, p.thought_close)).alias("missing_reasoning_tag"),
         F.count_if(wrong & ~has_all(out, p.answer_open, p.answer_close)).alias("missing_answer_tag"),
         F.count_if(wrong & malformed(out)).alias("malformed_tags"),
     ]
@@ -101,7 +101,7 @@ def sample_flags(df: DataFrame, order: str, p: Profile = V2) -> DataFrame:
     return rows.select(
         *[c for c in df.columns if c not in ("input", "expected", "output", "generation_time")], "is_correct",
         seconds.alias("seconds"), F.when(F.col("output").isNotNull(), n_words(F.col("output"))).alias("words"),
-        (wrong & ~has_all(out, p.reasoning_open, p.reasoning_close)).alias("missing_reasoning_tag"),
+        (wrong & ~has_all(out, p.thought_open, p.thought_close)).alias("missing_reasoning_tag"),
         (wrong & ~has_all(out, p.answer_open, p.answer_close)).alias("missing_answer_tag"),
         (wrong & malformed(out)).alias("malformed_tags"), F.when(wrong, F.to_json(error, {"ignoreNullFields": "false"})).alias("error"),
     )

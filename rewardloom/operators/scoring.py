@@ -105,7 +105,7 @@ def flags(df: DataFrame, profile: Profile = V2) -> DataFrame:
 def generation_log(df: DataFrame, day: Column, source: str = "training", profile: Profile = V2) -> DataFrame:
     """Rows of the wide generation log, scored; ``day`` is a parameter so that re-runs give equal ids."""
     text = _text()
-    reasoning, model_answer = extract.reasoning_and_answer(text, profile)
+    thought, model_answer = extract.thought_and_answer(text, profile)
     truth = F.coalesce(F.col("answer"), F.lit(""))
     scored = score(df, profile=profile)
     return scored.select(
@@ -116,7 +116,7 @@ def generation_log(df: DataFrame, day: Column, source: str = "training", profile
         "question",
         truth.alias("ground_truth_answer"),
         text.alias("model_output"),
-        reasoning.alias("reasoning"),
+        thought.alias("reasoning"),
         model_answer.alias("model_answer"),
         "total_reward",
         *REWARDS,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom import session
+from rewardloom.profiles import V2
 
 
 # A sample is named by its conversation and turn in one number; no conversation has that many turns.
@@ -69,7 +70,7 @@ class Tables:
 
         def tagged(answer: str):
             return F.format_string(
-                f"<reasoning>\n%s\n</reasoning>\n<answer>\n{answer}\n</answer>\n", "body", "truth"
+                f"{V2.thought_open}\n%s\n{V2.thought_close}\n<answer>\n{answer}\n</answer>\n", "body", "truth"
             )
 
         output = (
@@ -78,7 +79,7 @@ class Tables:
             .when(v == 6, F.format_string("<answer>%s</answer>", "truth"))
             .when(v == 7, F.format_string("%s\nFinal Answer: it is %s", "body", "truth"))
             .when(v == 8, F.format_string("%s $\\boxed{%s}$", "body", "truth"))
-            .when(v == 9, F.format_string("<reasoning>%s</reasoning> <answer>%s</answer> %1$s", "body", "truth"))
+            .when(v == 9, F.format_string(f"{V2.thought_open}%s{V2.thought_close} <answer>%s</answer> %1$s", "body", "truth"))
             .otherwise(tagged("%s"))
         )
         return both.select(
@@ -111,16 +112,16 @@ from conversations u join conversations a on a.conv_id=u.conv_id and a.turn=u.tu
 where u.role='user' and a.role='assistant'
 """
 
-GENERATIONS = """
+GENERATIONS = f"""
 select run, sample_id, conv_id as group_id, (conv_id*3+turn)%20 as step, question, truth as answer,
  case v
  when 4 then body
- when 5 then concat('<reasoning>',chr(10),body,chr(10),'</reasoning>',chr(10),'<answer>',chr(10),truth,'1',chr(10),'</answer>',chr(10))
+ when 5 then concat('{V2.thought_open}',chr(10),body,chr(10),'{V2.thought_close}',chr(10),'<answer>',chr(10),truth,'1',chr(10),'</answer>',chr(10))
  when 6 then concat('<answer>',truth,'</answer>')
  when 7 then concat(body,chr(10),'Final Answer: it is ',truth)
- when 8 then concat(body,' $',chr(92),'boxed{',truth,'}$')
- when 9 then concat('<reasoning>',body,'</reasoning> <answer>',truth,'</answer> ',body)
- else concat('<reasoning>',chr(10),body,chr(10),'</reasoning>',chr(10),'<answer>',chr(10),truth,chr(10),'</answer>',chr(10)) end as model_output
+ when 8 then concat(body,' $',chr(92),'boxed{{',truth,'}}$')
+ when 9 then concat('{V2.thought_open}',body,'{V2.thought_close} <answer>',truth,'</answer> ',body)
+ else concat('{V2.thought_open}',chr(10),body,chr(10),'{V2.thought_close}',chr(10),'<answer>',chr(10),truth,chr(10),'</answer>',chr(10)) end as model_output
 from (select 'base' as run, turns.*, b as v from turns
       union all select 'tuned' as run, turns.*, case when b in (4,5) then 0 else b end as v from turns)
 """
@@ -165,9 +166,9 @@ _CTES = {
 
 def with_tables(sql: str, *extra: tuple[str, str]) -> str:
     """Put the derived tables a statement names (and ``extra`` steps) in front of it as common table expressions."""
-    needed, text = [], sql + " ".join(body for _, body in extra)
+    needed, text, own = [], sql + " ".join(body for _, body in extra), {name for name, _ in extra}
     for name in ("generations", "turns", "typed_answers", "metric_log", "scripted_documents"):
-        if name in text:
+        if name in text and name not in own:
             needed.insert(0, (name, _CTES[name]))
             text += _CTES[name]
     steps = [*needed, *extra]

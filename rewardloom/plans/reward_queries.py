@@ -37,7 +37,7 @@ def reward_sql(expression: str) -> str:
 R1 = f"case when {q.answer('model_output')} = answer then 4.0 else 0 end"
 R2 = f"case when {q.is_digits('(' + q.answer('model_output') + ')')} then 1.0 else 0 end"
 R3 = f"case when {q.has('model_output', *q.TAGS)} then 1.0 else 0 end"
-R4 = f"case when {q.has('model_output', '<reasoning>', '</reasoning>')} then 0.5 else 0 end"
+R4 = f"case when {q.has('model_output', q.OPEN, q.CLOSE)} then 0.5 else 0 end"
 R5 = q.tag_count("model_output")
 
 query("r1_correctness", reward_sql(R1))(reward("correctness"))
@@ -45,7 +45,23 @@ query("r2_integer_answer", reward_sql(R2))(reward("integer"))
 query("r3_strict_format", reward_sql(R3))(reward("strict_format"))
 query("r4_soft_format", reward_sql(R4))(reward("soft_format"))
 query("r5_tag_count", reward_sql(R5))(reward("tag_count"))
-query("r6_anti_repetition")(reward("anti_repetition"))
+
+
+#: The SQL of each detector's weight per ``doc_id``, with its steps inside.
+WEIGHTS: dict[str, str] = {}
+
+
+def nested(sql: str, steps: list[tuple[str, str]]) -> str:
+    if not steps:
+        return sql
+    recursive = "recursive " if any(name.startswith("recursive ") for name, _ in steps) else ""
+    return f"with {recursive}" + ", ".join(f"{name.removeprefix('recursive ')} as ({body})" for name, body in steps) + " " + sql
+
+
+def detect(query_name: str, name: str, sql: str, steps: list[tuple[str, str]] = ()) -> None:
+    """Register a detector's query over the scripted documents, and its SQL for all of them together."""
+    WEIGHTS[name] = nested(sql, list(steps))
+    query(query_name, sql, steps)(detector(name))
 
 
 def detector(name: str, profile=V2):
@@ -60,11 +76,37 @@ def lengths(pattern: str) -> str:
     return f"select doc_id, cast(coalesce(list_sum({found}), 0) as bigint) as weight from scripted_documents"
 
 
-query("r6_1_script_runs", lengths(r"\p{Han}{10,}|\p{Arabic}{10,}|\p{Tamil}{10,}|\p{Cyrillic}{10,}"))(
-    detector("consecutive_script"))
-query("r6_2_repeated_units")(detector("pattern"))
-query("r6_3_punctuation", lengths('[.]{5,}|["][.]["]{3,}|[.]["][.]["]{2,}'))(detector("punctuation"))
-query("r6_4_repeated_words", """
+detect("r6_1_script_runs", "consecutive_script", lengths(r"\p{Han}{10,}|\p{Arabic}{10,}|\p{Tamil}{10,}|\p{Cyrillic}{10,}"))
+# A run of period p >= 2 and four units or more has six equal letters p places on at each of its first places. Places with the
+# same p that follow each other are one run; at every place the shortest unit counts, and the walk goes on behind its run.
+detect("r6_2_repeated_units", "pattern", """
+select doc_id, cast(coalesce(any_value(w), 0) as bigint) as weight from scripted_documents left join (
+  select doc_id, sum(walk.total) as w from walked group by doc_id) using (doc_id) group by doc_id""", [
+    ("lines", """
+select doc_id, unnest(l) as line, generate_subscripts(l, 1) as li from (
+  select doc_id, string_split(text, chr(10)) as l from scripted_documents)"""),
+    ("six", """
+select doc_id, li, n, i, substr(line, i, 6) as g from (
+  select doc_id, li, line, length(line) as n, unnest(range(1, length(line) - 4)) as i from lines where length(line) >= 8)"""),
+    ("same", """
+select a.doc_id, a.li, a.i, b.i - a.i as p from six a join six b
+  on a.doc_id = b.doc_id and a.li = b.li and a.g = b.g and b.i >= a.i + 2 and (b.i - a.i) * 4 <= a.n"""),
+    ("unit_runs", """
+select doc_id, li, p, min(i) as low, max(i) + 5 as high from (
+  select *, i - row_number() over (partition by doc_id, li, p order by i) as island from same)
+group by doc_id, li, p, island having max(i) + 6 - min(i) >= 3 * p"""),
+    ("heads", """
+select doc_id, li, i, min(p) as p, arg_min(high + p, p) as last from (
+  select doc_id, li, p, high, unnest(range(low, high - 3 * p + 2)) as i from unit_runs) group by doc_id, li, i"""),
+    ("walked", """
+select doc_id, li, list_reduce(list_prepend({'i': 0, 'p': 0, 'last': 0, 'behind': 1, 'total': 0},
+    list({'i': i, 'p': p, 'last': last, 'behind': 0, 'total': 0} order by i)),
+  lambda a, c: case when c.i >= a.behind then {'i': c.i, 'p': c.p, 'last': c.last,
+    'behind': c.i + c.p * ((c.last - c.i + 1) // c.p), 'total': a.total + c.p} else a end) as walk
+from (select doc_id, li, i::bigint as i, p::bigint as p, last::bigint as last from heads) group by doc_id, li"""),
+])
+detect("r6_3_punctuation", "punctuation", lengths('[.]{5,}|["][.]["]{3,}|[.]["][.]["]{2,}'))
+detect("r6_4_repeated_words", "word", """
 select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(length(word) * n) as w from (
     select doc_id, word, count(*) as n from (
@@ -73,9 +115,9 @@ select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents
       from words where length(word) >= 2) group by doc_id, word, island having count(*) >= 3) group by doc_id)
 using (doc_id)""", [("words", f"""
 select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
-  select doc_id, {q.words('text')} as w from scripted_documents)""")])(detector("word"))
+  select doc_id, {q.words('text')} as w from scripted_documents)""")])
 # The longest unit that follows itself twice is taken at every letter, then the walk goes on behind its run.
-query("r6_5_glued_repetitions", """
+detect("r6_5_glued_repetitions", "no_space_word", """
 select doc_id, cast(sum(coalesce(w, 0)) as bigint) as weight from (
   select doc_id, unnest(case when len(l) > 0 then l else [''] end) as word from (
     select doc_id, """ + q.words("text") + """ as l from scripted_documents))
@@ -91,13 +133,13 @@ select word, case when unit is null then p + 1 else p + unit * times end, w + co
   from (select *, list_filter(range((length(word) - p + 1) // 3, 1, -1),
       lambda n: regexp_full_match(substr(word, p, n), '[a-zA-Z]+') and substr(word, p + n, 2 * n) = repeat(substr(word, p, n), 2))[1]
       as unit from walk where p <= length(word) - 5))"""),
-])(detector("no_space_word"))
+])
 LETTERS = "".join(f"\\p{{{s}}}" for s in SCRIPTS)
 FOREIGN = "".join(f"\\p{{{s}}}" for s in SCRIPTS if s != "Latin")
 CODES = "segment"
 for code, script in zip("0123456789:;<", SCRIPTS):
     CODES = f"regexp_replace({CODES}, '\\p{{{script}}}', '{code}', 'g')"
-query("r6_6_mixed_scripts", """
+detect("r6_6_mixed_scripts", "mixed_script", """
 select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(length(segment) * len(c)) as w from changes
   where len(c) > 0 and not (len(c) <= 6 and len(c) / (len(c) + 1) >= 0.4
@@ -108,7 +150,7 @@ select doc_id, segment from (select doc_id, unnest(regexp_extract_all(text, '[{L
   from scripted_documents where regexp_matches(text, '[{FOREIGN}]')) where regexp_matches(segment, '[{FOREIGN}]')"""),
     ("codes", f"select doc_id, segment, string_split({CODES}, '') as k from segments"),
     ("changes", "select doc_id, segment, [k[i] for i in range(2, len(k) + 1) if k[i] <> k[i - 1]] as c from codes"),
-])(detector("mixed_script"))
+])
 
 PHRASE_STEPS = [
     ("lists", f"select doc_id, text, {q.words('text')} as w from scripted_documents"),
@@ -130,11 +172,11 @@ select doc_id, phrase, positions, {q.occurrences('text', 'phrase')} as n from ca
 ]
 WHITE = " or ".join(f"regexp_matches(phrase, {q.lit(p)})" for p in V2.whitelist)
 
-query("r6_7_repeated_phrases", f"""
+detect("r6_7_repeated_phrases", "phrase", f"""
 select doc_id, cast(coalesce(w, 0) as bigint) as weight from scripted_documents left join (
   select doc_id, sum(positions * length(phrase) * n) as w from repeated where not ({WHITE}) group by doc_id)
-using (doc_id)""", PHRASE_STEPS)(detector("phrase"))
-query("r6_8_non_latin_repeats", "select doc_id, cast(0 as bigint) as weight from scripted_documents")(detector("non_latin"))
+using (doc_id)""", PHRASE_STEPS)
+detect("r6_8_non_latin_repeats", "non_latin", "select doc_id, cast(0 as bigint) as weight from scripted_documents")
 RUNS = "|".join(f"\\p{{{s}}}{{3,}}" for s in SCRIPTS if s != "Latin")
 query("r6_8_non_latin_runs", f"""
 select doc_id, cast(coalesce(list_sum(list_transform(regexp_extract_all(text, '{RUNS}'),
@@ -169,7 +211,30 @@ def k8_records(t: Tables) -> DataFrame:
     return rows.where(F.size("l") > 0).select("doc_id", "excerpt", F.array_join("l", "|").alias("phrases"))
 
 
-@query("r6_detector_counts")
+# The detectors read generations in place of the scripted documents.
+COUNT_STEPS = [
+    ("scripted_documents", """
+select row_number() over (order by run, sample_id) as doc_id, run, step, sample_id, model_output as text from generations"""),
+    *[(f"weight_{name}", sql) for name, sql in WEIGHTS.items()],
+    ("counts", "select doc_id, run, step, sample_id, text, " + ", ".join(f"weight_{n}.weight as {n}" for n, _ in V2.repetition_weights)
+     + " from scripted_documents " + " ".join(f"join weight_{n} using (doc_id)" for n, _ in V2.repetition_weights)),
+]
+MATH = " or ".join([f"contains(text, '{q.OPEN}')", *[f"regexp_matches(text, {q.lit(p)})" for p in V2.whitelist[: V2.math_markers]]])
+BEYOND = " + ".join(f"ln(greatest({name} - threshold, 0) + 1) * {weight}" for name, weight in V2.repetition_weights)
+PENALTY_STEPS = [
+    *COUNT_STEPS,
+    ("contexts", f"""
+select *, case when math then {V2.math_context.threshold} else {V2.general_context.threshold} end as threshold,
+  case when math then ln({V2.math_context.log_base}) else ln({V2.general_context.log_base}) end as log_base
+from (select *, {MATH} as math from counts)"""),
+    ("penalties", f"""
+select run, step, sample_id, greatest(cast(0 - ({BEYOND}) / log_base * {V2.repetition_scale} as double), {V2.repetition_floor}) as penalty
+from contexts"""),
+]
+query("r6_anti_repetition", "select run, sample_id, round(penalty, 6) as reward from penalties", PENALTY_STEPS)(reward("anti_repetition"))
+
+
+@query("r6_detector_counts", "select run, sample_id, " + ", ".join(n for n, _ in V2.repetition_weights) + " from counts", COUNT_STEPS)
 def r6_counts(t: Tables) -> DataFrame:
     counted = t.generations.select(*KEY, repetition.detector_counts(output()).alias("c"))
     return counted.select(*KEY, "c.*")
@@ -178,12 +243,12 @@ def r6_counts(t: Tables) -> DataFrame:
 RELEVANCE_STEPS = [
     ("parts", f"""
 select row_number() over (order by run, sample_id) as id, run, sample_id, question,
-  {q.section('model_output', '<reasoning>', '</reasoning>')} as reasoning,
+  {q.section('model_output', q.OPEN, q.CLOSE)} as thought,
   {q.section('model_output', '<answer>', '</answer>')} as answer, {q.post_answer('model_output')} as post
 from generations"""),
     ("s", f"""
 select id, question, unnest(l) as sentence, generate_subscripts(l, 1) as pos from (
-  select id, question, {q.sentences('reasoning')} as l from parts)"""),
+  select id, question, {q.sentences('thought')} as l from parts)"""),
     *q.similarity_steps("""
 select id * 1000000 + pos * 2 as id, question as a, sentence as b from s
 union all select id * 1000000 + pos * 2 + 1, lag(sentence) over (partition by id order by pos), sentence from s
@@ -194,12 +259,15 @@ from sims where sim < 0.3 group by 1"""),
 ]
 
 
+RELEVANCE = f"""cast(0 - (greatest(length(thought) - 500, 0) + greatest(length(answer) - 100, 0)) / 100 * 0.1
+    - len({q.sentences('post')}) * 0.3 - coalesce(off_topic, 0) * 0.2 - coalesce(drifts, 0) * 0.5 as double)"""
+
+
 @query("r7_topic_relevance", f"""
-select run, sample_id, greatest(length(reasoning) - 500, 0) as reasoning_excess,
+select run, sample_id, greatest(length(thought) - 500, 0) as thought_excess,
   greatest(length(answer) - 100, 0) as answer_excess, len({q.sentences('post')}) as post_sentences,
   coalesce(off_topic, 0) as off_topic, coalesce(drifts, 0) as drifts,
-  round(cast(0 - (greatest(length(reasoning) - 500, 0) + greatest(length(answer) - 100, 0)) / 100 * 0.1
-    - len({q.sentences('post')}) * 0.3 - coalesce(off_topic, 0) * 0.2 - coalesce(drifts, 0) * 0.5 as double), 6) as reward
+  round({RELEVANCE}, 6) as reward
 from parts left join misses using (id)""", RELEVANCE_STEPS)
 def r7(t: Tables) -> DataFrame:
     g = t.generations.withColumn("p", relevance.relevance_parts(F.col("question"), output()))
@@ -298,9 +366,9 @@ case when try_cast(nullif(regexp_extract(o, '(?s)<SOLUTION>.*?([\\d.]+)', 1), ''
 select run, sample_id,
   cast(case when {q.tagged_answer('model_output')} = answer then 2.0 else 0 end as double) as correctness,
   cast(case when {q.is_digits(q.tagged_answer('model_output'))} then 0.5 else 0 end as double) as integer,
-  cast(case when regexp_matches(model_output, '^<reasoning>\\n.*?\\n</reasoning>\\n<answer>\\n.*?\\n</answer>\\n$')
+  cast(case when regexp_matches(model_output, '^{q.OPEN}\\n.*?\\n{q.CLOSE}\\n<answer>\\n.*?\\n</answer>\\n$')
     then 0.5 else 0 end as double) as strict_format,
-  cast(case when regexp_matches(model_output, '^<reasoning>.*?</reasoning>\\s*<answer>.*?</answer>')
+  cast(case when regexp_matches(model_output, '^{q.OPEN}.*?{q.CLOSE}\\s*<answer>.*?</answer>')
     then 0.5 else 0 end as double) as soft_format,
   round({R5}, 6) as tag_count
 from generations""")
@@ -310,7 +378,19 @@ def r14(t: Tables) -> DataFrame:
     return scored.select(*KEY, *names[:-1], F.round("tag_count", 6).alias("tag_count"))
 
 
-@query("r15_total_reward")
+ALL_STEPS = [
+    *PENALTY_STEPS, *RELEVANCE_STEPS,
+    ("relevances", f"select run, sample_id, {RELEVANCE} as relevance from parts left join misses using (id)"),
+    ("scored", f"""
+select run, step, sample_id, cast({R1} as double) as correctness, cast({R2} as double) as integer, cast({R3} as double) as strict_format,
+  cast({R4} as double) as soft_format, {R5} as tag_count, penalty as anti_repetition, relevance as topic_relevance
+from generations join penalties using (run, step, sample_id) join relevances using (run, sample_id)"""),
+    ("totals", f"select *, {' + '.join(REWARDS)} as total_reward from scored"),
+]
+
+
+@query("r15_total_reward", "select run, sample_id, " + ", ".join(f"round({n}, 6) as {n}" for n in (*REWARDS, "total_reward")) + " from totals",
+       ALL_STEPS)
 def r15(t: Tables) -> DataFrame:
     scored = score(t.generations)
     return scored.select(*KEY, *[F.round(n, 6).alias(n) for n in (*REWARDS, "total_reward")])
@@ -358,7 +438,7 @@ def r18(t: Tables) -> DataFrame:
     )
 
 
-THINK = "replace(replace(model_output, '<reasoning>', '<think>'), '</reasoning>', '</think>')"
+THINK = f"replace(replace(model_output, '{q.OPEN}', '<think>'), '{q.CLOSE}', '</think>')"
 
 
 @query("r19_other_tag_names", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.functions.extract import question_id, reasoning_and_answer
+from rewardloom.functions.extract import question_id, thought_and_answer
 from rewardloom.functions.prompts import render_message
 from rewardloom.operators.datasets import first_rows, schema_rows, split_counts, value_counts
 from rewardloom.operators.reports import comparison_report, evaluated
@@ -128,7 +128,7 @@ def s7(t: Tables) -> DataFrame:
 
 def log_table(t: Tables) -> DataFrame:
     """The generations in the schema of the log, with the correctness reward only."""
-    reasoning, answer = reasoning_and_answer(F.col("model_output"))
+    thought, answer = thought_and_answer(F.col("model_output"))
     day = F.lit(DAY).cast("timestamp")
     return t.generations.select(
         "run",
@@ -138,7 +138,7 @@ def log_table(t: Tables) -> DataFrame:
         "question",
         F.col("answer").alias("ground_truth_answer"),
         "model_output",
-        reasoning.alias("reasoning"),
+        thought.alias("reasoning"),
         answer.alias("model_answer"),
         BUILT_IN["correctness"](t.generations, V2).alias("correctness"),
     )
@@ -147,7 +147,7 @@ def log_table(t: Tables) -> DataFrame:
 LOG_SQL = f"""
 select run, step as global_step, concat('training_20240101_', substr(md5(concat(question, answer)), 1, 12)) as question_id,
   question, answer as ground_truth_answer, model_output,
-  {q.first_between('model_output', '<reasoning>', '</reasoning>')} as reasoning,
+  {q.first_between('model_output', q.OPEN, q.CLOSE)} as reasoning,
   {q.first_between('model_output', '<answer>', '</answer>')} as model_answer,
   cast(case when {q.answer('model_output')} = answer then 4.0 else 0.0 end as double) as correctness
 from generations"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rewardloom.functions.text import BLANK_CLASS, BLANKS
-from rewardloom.profiles import SCRIPTS
+from rewardloom.profiles import SCRIPTS, V2
 
 
 def lit(text: str) -> str:
@@ -31,7 +31,7 @@ def has(e: str, *parts: str) -> str:
     return "(" + " and ".join(f"contains({e}, {lit(p)})" for p in parts) + ")"
 
 
-TAGS = ("<reasoning>", "</reasoning>", "<answer>", "</answer>")
+TAGS = OPEN, CLOSE, *_ = (V2.thought_open, V2.thought_close, "<answer>", "</answer>")
 
 
 def tagged_answer(e: str) -> str:
@@ -71,7 +71,7 @@ def tag_count(e: str) -> str:
         return f"case when {occurrences(e, part)} = 1 then "
 
     ro, rc, ao, ac = (
-        "concat('<reasoning>', chr(10))", "concat(chr(10), '</reasoning>', chr(10))",
+        f"concat('{OPEN}', chr(10))", f"concat(chr(10), '{CLOSE}', chr(10))",
         "concat(chr(10), '<answer>', chr(10))", "concat(chr(10), '</answer>')",
     )
     acn = "concat(chr(10), '</answer>', chr(10))"

@@ -16,6 +16,7 @@ from rewardloom.plans.sources_queries import LOG_SQL, log_table
 from rewardloom.plans.sql import words
 from rewardloom.plans.table_queries import CORRECT, ISSUES, TREND, TREND_FIELDS, VALIDATION, rounded, validation_input
 from rewardloom.plans.text_queries import output
+from rewardloom.profiles import V2
 from rewardloom.schemas import REWARDS
 from rewardloom.sources import generate
 from rewardloom.streaming import jobs
@@ -165,7 +166,7 @@ def t6_counts(t: Tables) -> DataFrame:
 
 
 @query("e6_batch_generation", f"""
-select sample_id, concat('<reasoning>Thinking about ', question, '</reasoning>', chr(10), '<answer>42</answer>')
+select sample_id, concat('{V2.thought_open}Thinking about ', question, '{V2.thought_close}', chr(10), '<answer>42</answer>')
   as model_output from turns""")
 def e6(t: Tables) -> DataFrame:
     """The generation hook with a fixed reply in place of a model."""

@@ -12,10 +12,10 @@ from rewardloom.operators.scoring import BUILT_IN, Rewards, score, to_long
 from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
-from rewardloom.plans.reward_queries import LONG, PLAIN, R1, R2, R3, R4, R5, long_rewards
+from rewardloom.plans.reward_queries import ALL_STEPS, LONG, PLAIN, R1, R2, R3, R4, R5, long_rewards
 from rewardloom.plans.sources_queries import EVALUATED
 from rewardloom.plans.text_queries import KEY, output
-from rewardloom.profiles import V2
+from rewardloom.profiles import THOUGHT_TAG, V2
 from rewardloom.schemas import REWARDS
 from rewardloom.sources.logs import stored
 
@@ -178,8 +178,8 @@ def a4_custom(t: Tables) -> DataFrame:
     return rounded(entropy, "token_entropy")
 
 
-@query("a5_format_adherence", """
-select run, round(avg(regexp_matches(model_output, '(?s)<reasoning>.*?</reasoning>.*?<answer>.*?</answer>')::int), 6)
+@query("a5_format_adherence", f"""
+select run, round(avg(regexp_matches(model_output, '(?s){q.OPEN}.*?{q.CLOSE}.*?<answer>.*?</answer>')::int), 6)
   as format_adherence_rate from generations group by run""")
 def a5(t: Tables) -> DataFrame:
     return rounded(metrics.adherence_rate(t.generations, "model_output", ["run"]), "format_adherence_rate")
@@ -191,14 +191,14 @@ def _words_between(tag: str) -> str:
             f"then len({q.words(inside)}) end)")
 
 
-@query("a6_reasoning_answer_ratio", """
+@query("a6_thought_answer_ratio", """
 select run, round(case when r is not null and a > 0 then r / a else 0 end, 6) as reasoning_to_answer_ratio,
   round(case when r is not null and a is not null then r else 0 end, 6) as avg_reasoning_length,
   round(case when r is not null and a is not null then a else 0 end, 6) as avg_answer_length from means""",
-       [("means", f"select run, {_words_between('reasoning')} as r, {_words_between('answer')} as a "
+       [("means", f"select run, {_words_between(THOUGHT_TAG)} as r, {_words_between('answer')} as a "
                   "from generations group by run")])
 def a6(t: Tables) -> DataFrame:
-    ratio = metrics.reasoning_answer_ratio(t.generations, "model_output", ["run"])
+    ratio = metrics.thought_answer_ratio(t.generations, "model_output", ["run"])
     return rounded(ratio, "reasoning_to_answer_ratio", "avg_reasoning_length", "avg_answer_length")
 
 
@@ -252,13 +252,13 @@ select *, coalesce(lower({q.strip('model_answer')}) = lower({q.strip('expected')
     case when regexp_matches(model_output, '(?s)<answer>(.*?)</answer>')
       then {q.first_between('model_output', '<answer>', '</answer>')} else {q.strip('model_output')} end as model_answer
   from generations)"""
-ISSUES = """
-  count(*) filter (not is_correct and not (contains(output, '<reasoning>') and contains(output, '</reasoning>')))
+ISSUES = f"""
+  count(*) filter (not is_correct and not (contains(output, '{q.OPEN}') and contains(output, '{q.CLOSE}')))
     as missing_reasoning_tag,
   count(*) filter (not is_correct and not (contains(output, '<answer>') and contains(output, '</answer>')))
     as missing_answer_tag,
-  count(*) filter (not is_correct and (regexp_matches(output, '<(reasoning|answer)[^>]*>[^<]*$')
-    or regexp_matches(output, '^[^<]*</(reasoning|answer)>'))) as malformed_tags"""
+  count(*) filter (not is_correct and (regexp_matches(output, '<({THOUGHT_TAG}|answer)[^>]*>[^<]*$')
+    or regexp_matches(output, '^[^<]*</({THOUGHT_TAG}|answer)>'))) as malformed_tags"""
 
 
 def validation_input(t: Tables) -> DataFrame:
@@ -527,11 +527,11 @@ def w7(t: Tables) -> DataFrame:
 @query("w8_adjacent_sentences", f"""
 select run, sample_id, pos - 1 as pos, sentence, lag(sentence) over (partition by run, sample_id order by pos) as previous
 from (select run, sample_id, unnest(l) as sentence, generate_subscripts(l, 1) as pos from (
-  select run, sample_id, {q.sentences(q.section('model_output', '<reasoning>', '</reasoning>'))} as l from generations))""")
+  select run, sample_id, {q.sentences(q.section('model_output', q.OPEN, q.CLOSE))} as l from generations))""")
 def w8(t: Tables) -> DataFrame:
-    reasoning, _, _ = sections(output())
-    rows = t.generations.select(F.struct(*KEY).alias("sample"), "question", reasoning.alias("reasoning"))
-    paired = pairing.question_sentence_pairs(rows, "question", "reasoning", "sample")
+    thought, _, _ = sections(output())
+    rows = t.generations.select(F.struct(*KEY).alias("sample"), "question", thought.alias("thought"))
+    paired = pairing.question_sentence_pairs(rows, "question", "thought", "sample")
     return paired.select("sample.*", "pos", "sentence", "previous")
 
 
@@ -648,7 +648,8 @@ def a17_steps(t: Tables) -> DataFrame:
                         F.round("reward_std", 6).alias("reward_std"))
 
 
-@query("a2_full_scoring")
+@query("a2_full_scoring", f"select run, step, reward_name, {q.statistics('value')} from every group by run, step, reward_name", [
+    *ALL_STEPS, ("every", " union all ".join(f"select run, step, '{n}' as reward_name, {n} as value from totals" for n in (*REWARDS, "total_reward")))])
 def a2_full(t: Tables) -> DataFrame:
     """All seven rewards and the total, stored as the long reward table and rolled up per run, step and reward."""
     names = (*REWARDS, "total_reward")

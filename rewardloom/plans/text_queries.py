@@ -14,7 +14,7 @@ from rewardloom.plans import sql as q
 from rewardloom.plans.fixtures import Tables
 from rewardloom.plans.registry import query
 from rewardloom.plans.sources_queries import RENDERED
-from rewardloom.profiles import SOLUTION_TAGS, SYSTEM_PROMPT
+from rewardloom.profiles import SOLUTION_TAGS, SYSTEM_PROMPT, THOUGHT_TAG
 
 
 def output() -> Column:
@@ -51,9 +51,9 @@ def p2(t: Tables) -> DataFrame:
     return bodies.select("conv_id", F.concat("body", F.lit(p.END_MARKER)).alias("text"))
 
 
-@query("p3_reasoning_cue", "select sample_id, concat(question, '<reasoning>') as prompt from turns")
+@query("p3_thought_cue", f"select sample_id, concat(question, '{q.OPEN}') as prompt from turns")
 def p3(t: Tables) -> DataFrame:
-    return t.turns.select("sample_id", p.with_reasoning_cue(F.col("question")).alias("prompt"))
+    return t.turns.select("sample_id", p.with_thought_cue(F.col("question")).alias("prompt"))
 
 
 @query("p4_strip_prompt", "select run, sample_id, model_output as response from generations")
@@ -144,21 +144,21 @@ def x2(t: Tables) -> DataFrame:
     return t.generations.select(*KEY, x.answer_with_fallbacks(output()).alias("answer"))
 
 
-@query("x3_reasoning_and_answer", f"""
-select run, sample_id, {q.first_between('model_output', '<reasoning>', '</reasoning>')} as reasoning,
+@query("x3_thought_and_answer", f"""
+select run, sample_id, {q.first_between('model_output', q.OPEN, q.CLOSE)} as reasoning,
   {q.first_between('model_output', '<answer>', '</answer>')} as answer from generations""")
 def x3(t: Tables) -> DataFrame:
-    reasoning, answer = x.reasoning_and_answer(output())
-    return t.generations.select(*KEY, reasoning.alias("reasoning"), answer.alias("answer"))
+    thought, answer = x.thought_and_answer(output())
+    return t.generations.select(*KEY, thought.alias("reasoning"), answer.alias("answer"))
 
 
 @query("x4_sections", f"""
-select run, sample_id, {q.section('model_output', '<reasoning>', '</reasoning>')} as reasoning,
+select run, sample_id, {q.section('model_output', q.OPEN, q.CLOSE)} as reasoning,
   {q.section('model_output', '<answer>', '</answer>')} as answer, {q.post_answer('model_output')} as post
 from generations""")
 def x4(t: Tables) -> DataFrame:
-    reasoning, answer, post = x.sections(output())
-    return t.generations.select(*KEY, reasoning.alias("reasoning"), answer.alias("answer"), post.alias("post"))
+    thought, answer, post = x.sections(output())
+    return t.generations.select(*KEY, thought.alias("reasoning"), answer.alias("answer"), post.alias("post"))
 
 
 HASHED = "case when sample_id % 4 = 0 then target else concat(category, ' #### ', target, case when sample_id % 4 = 2 then ' #### x' else '' end) end"
@@ -189,10 +189,10 @@ def x7(t: Tables) -> DataFrame:
 
 
 @query("x8_tag_content", f"""
-select run, sample_id, case when regexp_matches(model_output, '(?s)<reasoning>(.*?)</reasoning>')
-  then {q.first_between('model_output', '<reasoning>', '</reasoning>')} end as content from generations""")
+select run, sample_id, case when regexp_matches(model_output, '(?s){q.OPEN}(.*?){q.CLOSE}')
+  then {q.first_between('model_output', q.OPEN, q.CLOSE)} end as content from generations""")
 def x8(t: Tables) -> DataFrame:
-    return t.generations.select(*KEY, x.tag_content(output(), "reasoning").alias("content"))
+    return t.generations.select(*KEY, x.tag_content(output(), THOUGHT_TAG).alias("content"))
 
 
 VARIABLES = (
@@ -228,8 +228,8 @@ def solution_tagged(t: Tables) -> DataFrame:
 
 
 SOLUTIONS = "select run, sample_id, answer, " + (
-    "replace(replace(replace(replace(model_output, '<reasoning>', '<start_working_out>'), "
-    "'</reasoning>', '<end_working_out>'), '<answer>', '<SOLUTION>'), '</answer>', '</SOLUTION>')"
+    f"replace(replace(replace(replace(model_output, '{q.OPEN}', '<start_working_out>'), "
+    f"'{q.CLOSE}', '<end_working_out>'), '<answer>', '<SOLUTION>'), '</answer>', '</SOLUTION>')"
 ) + " as o from generations"
 CUSTOM = "(?ms)^\\s*<start_working_out>.+?<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>\\s*$"
 
@@ -291,9 +291,9 @@ def x15(t: Tables) -> DataFrame:
         part(F.lit(False), F.lit("A")), part(F.pmod("turn", F.lit(2)) == 1, F.col("text")),
         part(F.lit(None).cast("boolean"), F.lit("B")),
     )
-    reasoning, answer = x.response_parts(F.col("parts"))
+    thought, answer = x.response_parts(F.col("parts"))
     return t.conversations.withColumn("parts", parts).select(
-        "conv_id", "turn", reasoning.alias("reasoning"), answer.alias("answer")
+        "conv_id", "turn", thought.alias("reasoning"), answer.alias("answer")
     )
 
 

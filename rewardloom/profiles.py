@@ -41,11 +41,13 @@ MATH_PHRASES = (
     r"(Original|Initial|Final) (price|cost|value)",
 )
 
-# The instruction put in front of every question.
-SYSTEM_PROMPT = """Respond in the following format:
-<reasoning>
+# The tag around a model's thoughts, after which columns of its log are named too, and the instruction put in
+# front of every question.
+THOUGHT_TAG = "reasoning"
+SYSTEM_PROMPT = f"""Respond in the following format:
+<{THOUGHT_TAG}>
 ...
-</reasoning>
+</{THOUGHT_TAG}>
 <answer>
 ...
 </answer>"""
@@ -78,8 +80,8 @@ class Profile:
 
     name: str = "v2"
 
-    reasoning_open: str = "<reasoning>"
-    reasoning_close: str = "</reasoning>"
+    thought_open: str = f"<{THOUGHT_TAG}>"
+    thought_close: str = f"</{THOUGHT_TAG}>"
     answer_open: str = "<answer>"
     answer_close: str = "</answer>"
 
@@ -112,7 +114,7 @@ class Profile:
     # The non-Latin repeat detector cannot fire as defined; True counts every repeated run of one script instead.
     non_latin_runs: bool = False
 
-    max_reasoning_chars: int = 500
+    max_thought_chars: int = 500
     max_answer_chars: int = 100
     excess_per_100: float = 0.1
     post_answer_sentence: float = 0.3
@@ -129,7 +131,7 @@ class Profile:
 
     @property
     def tags(self) -> tuple[str, str, str, str]:
-        return self.reasoning_open, self.reasoning_close, self.answer_open, self.answer_close
+        return self.thought_open, self.thought_close, self.answer_open, self.answer_close
 
 
 V2 = Profile()
@@ -138,8 +140,8 @@ V1 = replace(
     anchored_formats=True, answer_fallbacks=False,
 )
 SOLUTION_TAGS = replace(
-    V2, name="solution_tags", reasoning_open="<start_working_out>", reasoning_close="<end_working_out>",
+    V2, name="solution_tags", thought_open="<start_working_out>", thought_close="<end_working_out>",
     answer_open="<SOLUTION>", answer_close="</SOLUTION>",
 )
-THINK_TAGS = replace(V2, name="think_tags", reasoning_open="<think>", reasoning_close="</think>")
+THINK_TAGS = replace(V2, name="think_tags", thought_open="<think>", thought_close="</think>")
 PROFILES = {p.name: p for p in (V2, V1, SOLUTION_TAGS, THINK_TAGS)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewardloom.functions.prompts import strip_prompt
+from rewardloom.profiles import V2
 
 # (prompts, questions) of one Arrow batch -> replies without the prompt.
 Generator = Callable[[pd.Series, pd.Series], pd.Series]
@@ -17,7 +18,7 @@ Generator = Callable[[pd.Series, pd.Series], pd.Series]
 
 def fixed_reply(prompts: pd.Series, questions: pd.Series) -> pd.Series:
     """The reply tests use in place of a model."""
-    return "<reasoning>Thinking about " + questions + "</reasoning>\n<answer>42</answer>"
+    return V2.thought_open + "Thinking about " + questions + V2.thought_close + "\n<answer>42</answer>"
 
 
 def generate(df: DataFrame, model: Generator, prompt: str = "prompt", question: str = "question") -> DataFrame:

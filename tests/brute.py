@@ -90,14 +90,14 @@ def repetition_reward(text, whitelist, markers):
     return max(-0.06 * loss, -4.0)
 
 
-def relevance_reward(question, reasoning, answer, post):
+def relevance_reward(question, thought, answer, post):
     def sentences(t):
         return [s for s in (m.strip() for m in re.findall(r"[^.!?]+[.!?]*", t)) if s]
 
-    lines = sentences(reasoning)
+    lines = sentences(thought)
     off = sum(similarity(question, s) < 0.3 for s in lines)
     drift = sum(similarity(a, b) < 0.3 for a, b in zip(lines, lines[1:]))
-    excess = max(len(reasoning) - 500, 0) + max(len(answer) - 100, 0)
+    excess = max(len(thought) - 500, 0) + max(len(answer) - 100, 0)
     return -(excess / 1000 + 0.3 * len(sentences(post)) + 0.2 * off + 0.5 * drift)
 
 

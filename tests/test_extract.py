@@ -5,7 +5,7 @@ from rewardloom.functions import extract as x
 from rewardloom.profiles import SOLUTION_TAGS
 
 # Text, then what follows from the written rules: the tagged answer, the answer with its untagged forms, the last number,
-# the text behind the mark, the validation answer, the reasoning, the answer section, the text behind the answer.
+# the text behind the mark, the validation answer, the thought, the answer section, the text behind the answer.
 GOLDEN = [
     ("<answer>12</answer>", "12", "12", 12.0, None, "12", "", "12", ""),
     ("<reasoning>a</reasoning><answer> -5\n</answer> tail", "-5", "-5", 5.0, None, "-5", "a", "-5", "tail"),
@@ -26,10 +26,10 @@ GOLDEN = [
 
 def test_extractions_golden(evaluate):
     t = evaluate.t
-    reasoning, answer, post = x.sections(t)
+    thought, answer, post = x.sections(t)
     got = evaluate(
         [row[0] for row in GOLDEN], x.tagged_answer(t), x.answer_with_fallbacks(t), x.last_number(t), x.hash_answer(t),
-        x.validation_answer(t), reasoning, answer, post,
+        x.validation_answer(t), thought, answer, post,
     )
     for row, values in zip(GOLDEN, got):
         assert values == row[1:], row[0]
@@ -84,5 +84,5 @@ def test_response_parts(spark):
     df = spark.createDataFrame(
         [([(True, "why "), (False, "because"), (None, "!")],)], "parts array<struct<thought boolean, text string>>"
     )
-    reasoning, answer = x.response_parts(F.col("parts"))
-    assert tuple(df.select(reasoning, answer).first()) == ("why ", "because!")
+    thought, answer = x.response_parts(F.col("parts"))
+    assert tuple(df.select(thought, answer).first()) == ("why ", "because!")

@@ -74,7 +74,7 @@ def test_entropy_and_lengths_of_empty_and_full_groups(spark):
     empty = df.where("false")
     assert tuple(metrics.length_statistics(empty, "t").first()) == (0.0, 0, 0, 0)
     assert metrics.adherence_rate(empty, "t").first()[0] == 0.0
-    assert tuple(metrics.reasoning_answer_ratio(df, "t").first()) == (0.0, 0.0, 0.0)
+    assert tuple(metrics.thought_answer_ratio(df, "t").first()) == (0.0, 0.0, 0.0)
     assert metrics.token_entropy(empty, "t").first().token_entropy == 0.0
 
 
@@ -87,13 +87,13 @@ def test_entropy_with_a_tokenizer_in_python(spark):
     assert tuple(metrics.token_entropy(df, "t", tokenizer=letters).first()) == (4, 1.0)
 
 
-def test_reasoning_answer_ratio(spark):
+def test_thought_answer_ratio(spark):
     df = spark.createDataFrame(
         [("<reasoning>a b c</reasoning><answer>1</answer>",), ("<reasoning>a</reasoning>",), ("none",), (None,)], "t string"
     )
-    assert tuple(metrics.reasoning_answer_ratio(df, "t").first()) == (2.0, 2.0, 1.0)
+    assert tuple(metrics.thought_answer_ratio(df, "t").first()) == (2.0, 2.0, 1.0)
     blank = spark.createDataFrame([("<reasoning>a</reasoning><answer> </answer>",)], "t string")
-    assert tuple(metrics.reasoning_answer_ratio(blank, "t").first()) == (0.0, 1.0, 0.0)
+    assert tuple(metrics.thought_answer_ratio(blank, "t").first()) == (0.0, 1.0, 0.0)
 
 
 def test_constant_rewards_have_no_correlation(spark):

@@ -112,9 +112,9 @@ body = st.lists(st.tuples(sentence, st.sampled_from([". ", "! ", "?!", "... ", "
 @given(st.lists(st.tuples(sentence, body, sentence, body), min_size=40, max_size=60))
 def test_relevance_agrees_with_brute_force(evaluate, rows):
     filled = [(q, f"<reasoning>{r * 9}</reasoning><answer>{a * 5}</answer>{p}") for q, r, a, p in rows]
-    reasoning, answer, post = sections(F.col("t"))
+    thought, answer, post = sections(F.col("t"))
     got = evaluate(
-        filled, relevance.topic_relevance(F.col("q"), F.col("t")), reasoning, answer, post, names=("q", "t")
+        filled, relevance.topic_relevance(F.col("q"), F.col("t")), thought, answer, post, names=("q", "t")
     )
     for (q, _), (value, r, a, p) in zip(filled, got):
         assert value == pytest.approx(brute.relevance_reward(q, r, a, p), abs=1e-9), (q, r)
