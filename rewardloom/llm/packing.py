@@ -26,7 +26,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -122,17 +121,15 @@ class Encoder:
         return ids, ends[w.first]
 
 
-@lru_cache(maxsize=1)
-def encoder_of(tokenizer_file: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
-    return Encoder(tokenizer_file)
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every piece, and its ``ids`` if asked for."""
 
+    # What a broadcast holds lives in a worker process while tasks use it: all tasks of this job that run there share one
+    # encoder, and the jobs behind it have its memory back.
+    shared = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_file)
+        encoder = shared.value.get("encoder") or shared.value.setdefault("encoder", Encoder(tokenizer_file))
         for batch in W.slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             held: list[np.ndarray] = []
