@@ -26,6 +26,9 @@ PUNCTUATION = r'[.]{5,}|["][.]["]{3,}|[.]["][.]["]{2,}'
 
 # No supported script but Latin has letters below this range: one comparison per character instead of twelve look-ups.
 _MAYBE_FOREIGN = "[\\u0370-\\x{10FFFF}]"
+# Other letters, and the words of both that hold a letter of the range above. A word is tried at its first letter only.
+_LOW = "A-Za-z\\u00aa\\u00ba\\u00c0-\\u036f"
+_FOREIGN_WORD = f"(?<![{_LOW}])[{_LOW}]*+{_MAYBE_FOREIGN}[{_LOW}\\u0370-\\x{{10FFFF}}]*+"
 UNIT_IN_WORD = r"(?d)(.{2,}?)\1{3}"
 UNIT_FROM_BLANK = f"(?d)([{BLANK_CLASS.replace('\t-', '\t\x0b-')}].*?)\\1\\1"
 
@@ -149,10 +152,15 @@ def _legitimate(changes: Column, p: Profile) -> Column:
 
 
 def mixed_script_segments(text: Column, p: Profile = V2) -> Column:
-    """``array<struct<segment, changes>>`` of letter runs that hop between scripts."""
+    """``array<struct<segment, changes>>`` of letter runs that hop between scripts.
+
+    Looking up a letter's script is dear, so only words that may hold a foreign letter are searched for runs of letters, and
+    only runs that are not of one script alone are turned into codes.
+    """
     letters = script_class(p.scripts)
-    foreign = script_class(s for s in p.scripts if s != "Latin")
-    candidates = F.filter(_all(text, letters + "{2,}"), lambda s: s.rlike(foreign))
+    one_script = "^(?:" + "|".join(f"\\p{{Is{s}}}++" for s in p.scripts) + r")\z"
+    found_in = F.transform(_all(text, _FOREIGN_WORD), lambda word: _all(word, letters + "{2,}"))
+    candidates = F.filter(F.flatten(found_in), lambda s: ~s.rlike(one_script))
 
     def judged(segment: Column) -> Column:
         return let(
@@ -164,7 +172,7 @@ def mixed_script_segments(text: Column, p: Profile = V2) -> Column:
         )
 
     found = F.filter(F.transform(candidates, judged), lambda s: s.isNotNull())
-    return F.when(maybe_foreign(text) & text.rlike(foreign), found)
+    return F.when(maybe_foreign(text), found)
 
 
 def mixed_scripts(text: Column, p: Profile = V2) -> Column:
@@ -325,7 +333,13 @@ DETECTORS = {
 }
 
 
+# These look at letters alone.
+WITHOUT_WORDS = ("consecutive_script", "punctuation", "mixed_script", "non_latin")
+
+
 def detector(name: str, text: Column, p: Profile = V2) -> Column:
+    if name in WITHOUT_WORDS:
+        return DETECTORS[name](text, p, None)
     return let(words_in_stretches(text), lambda s: DETECTORS[name](text, p, s))
 
 

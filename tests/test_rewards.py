@@ -84,6 +84,30 @@ def test_non_latin_runs_option(evaluate):
     assert evaluate(rows, repetition.non_latin_repeats(evaluate.t, replace(V2, non_latin_runs=True))) == [27, 0, 0]
 
 
+def test_mixed_scripts_beside_signs_and_plain_words(evaluate):
+    rows = ["plain “quoted” – words", "abжabжabжabжa’жab", "\u00fcж\u00fcжab", "x\u0301жaжaжaжaжaж", "𠀀a𠀀a𠀀a𠀀a𠀀", "ªжªжª ж", None]
+    letters, foreign = repetition.script_class(V2.scripts), repetition.script_class(s for s in V2.scripts if s != "Latin")
+
+    def plain(t):
+        runs = F.filter(F.regexp_extract_all(t, F.lit(letters + "{2,}"), F.lit(0)), lambda s: s.rlike(foreign))
+
+        def weight(s):
+            changes = repetition.script_changes(repetition._to_codes(s, V2))
+            judged = (F.length(changes) > 0) & ~repetition._legitimate(changes, V2)
+            return F.when(judged, F.length(s) * F.length(changes)).otherwise(0).cast("bigint")
+
+        return F.coalesce(F.aggregate(F.transform(runs, weight), F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0).cast("bigint"))
+
+    got = evaluate(rows, repetition.mixed_scripts(evaluate.t), plain(evaluate.t))
+    assert [a for a, _ in got] == [b for _, b in got] and sum(a > 0 for a, _ in got) >= 4
+
+
+@pytest.mark.parametrize("name", repetition.WITHOUT_WORDS)
+def test_detectors_of_letters_split_no_words(spark, name):
+    text = spark.createDataFrame([("a",)], "t string").select(repetition.detector(name, F.col("t")).alias("d"))
+    assert "trim(" not in text._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_whitelisted_phrases_are_reported_but_not_weighed(evaluate):
     text = "Therefore we go on. Therefore we go on. Therefore we go on."
     found = evaluate([text], repetition.repeated_phrases(evaluate.t))[0]
