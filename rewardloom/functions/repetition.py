@@ -312,12 +312,24 @@ def non_latin_repeats(text: Column, p: Profile = V2) -> Column:
     if not p.non_latin_runs:
         return F.lit(0).cast("bigint")
     pattern = "|".join(f"\\p{{Is{s}}}{{{p.min_repeats},}}" for s in p.scripts if s != "Latin")
-    return F.aggregate(
-        _all(text, pattern),
-        F.lit(0).cast("bigint"),
-        lambda total, run: total
-        + let(occurrences(text, run), lambda n: F.when(n >= p.min_repeats, n * F.length(run)).otherwise(0)),
-    )
+    found = F.transform(_all(text, f"{_MAYBE_FOREIGN}{{{p.min_repeats},}}"), lambda part: _all(part, pattern))
+
+    # A run occurs only inside runs of its script, so these are searched, not the text, and once for all equal runs.
+    def weighed(seq: Column) -> Column:
+        def total(joined: Column) -> Column:
+            def of_run(run: Column, times: Column) -> Column:
+                return let(
+                    occurrences(joined, run), lambda n: F.when(n >= p.min_repeats, n * F.length(run) * times).otherwise(0)
+                )
+
+            return F.aggregate(
+                runs(seq), F.lit(0).cast("bigint"), lambda sum_, r: sum_ + of_run(F.get(seq, r["start"]), r["size"])
+            )
+
+        return let(F.array_join(seq, " "), total)
+
+    weight = let(F.sort_array(F.flatten(found)), weighed)
+    return F.coalesce(F.when(maybe_foreign(text), weight), F.lit(0).cast("bigint"))
 
 
 # Detector name -> column of (text, profile, words of the text in stretches).

@@ -84,6 +84,36 @@ def test_non_latin_runs_option(evaluate):
     assert evaluate(rows, repetition.non_latin_repeats(evaluate.t, replace(V2, non_latin_runs=True))) == [27, 0, 0]
 
 
+def test_non_latin_runs_are_counted_in_runs_alone(evaluate):
+    from dataclasses import replace
+
+    # Runs lie in other words, in longer runs, beside other scripts and beside signs that are no letters.
+    rows = ["ab\u0436\u0436\u0436cd \u0436\u0436\u0436\u0436\u0436\u0436\u0436 x", "дададада да дад да\u2019дад", "абв漢漢漢абв “абв” 漢漢漢漢漢漢漢",
+            "𠀀𠀀𠀀 𠀀𠀀𠀀 a𠀀𠀀𠀀𠀀", "\u2014\u2014\u2014 \u2014\u2014\u2014 \u2014\u2014\u2014", "", None]
+    scripts = [s for s in V2.scripts if s != "Latin"]
+    alone = "|".join(f"\\p{{Is{s}}}{{3,}}" for s in scripts)
+
+    def plain(t):
+        runs = F.regexp_extract_all(t, F.lit(alone), F.lit(0))
+        weights = F.transform(runs, lambda r: F.when(repetition.occurrences(t, r) >= 3, repetition.occurrences(t, r) * F.length(r)).otherwise(0))
+        return F.coalesce(F.aggregate(weights, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0).cast("bigint"))
+
+    profile = replace(V2, non_latin_runs=True)
+    got = evaluate(rows, repetition.non_latin_repeats(evaluate.t, profile), plain(evaluate.t))
+    assert [a for a, _ in got] == [b for _, b in got] and sum(a > 0 for a, _ in got) >= 3
+
+
+def test_many_equal_non_latin_runs_are_searched_once(evaluate):
+    from dataclasses import replace
+    from time import monotonic
+
+    # A hundred words, 60,000 of them: the whole text was searched for each.
+    text = " ".join("слово" + "абвгдежзик"[i % 10] + "лмнопрстуф"[i // 10 % 10] for i in range(60_000))
+    begin = monotonic()
+    assert evaluate([text], repetition.non_latin_repeats(evaluate.t, replace(V2, non_latin_runs=True))) == [60_000 * 600 * 7]
+    assert monotonic() - begin < 15
+
+
 def test_mixed_scripts_beside_signs_and_plain_words(evaluate):
     rows = ["plain “quoted” – words", "abжabжabжabжa’жab", "\u00fcж\u00fcжab", "x\u0301жaжaжaжaжaж", "𠀀a𠀀a𠀀a𠀀a𠀀", "ªжªжª ж", None]
     letters, foreign = repetition.script_class(V2.scripts), repetition.script_class(s for s in V2.scripts if s != "Latin")
