@@ -190,7 +190,8 @@ def repeated_phrases(text: Column, p: Profile = V2, s: Column | None = None) ->
     be parts of longer words there. At every occurrence the words strictly inside the phrase are whole words, the word
     before them ends with the phrase's first word, the word after them begins with its last, and all gaps are single
     spaces. Positions are therefore sorted by (last letter of the first word, inner words, first letter of the last
-    word); groups smaller than ``min_repeats`` are left out, and occurrences are looked for inside a group. Only
+    word); groups smaller than ``min_repeats`` are left out, and occurrences are looked for inside a group. Most positions
+    go before that by a 32-bit hash of their key, sorted as one number with the position: equal keys have equal hashes. Only
     where they lie close enough to overlap is the text itself searched. All occurrences of a longer phrase share the
     group of its first words, so each size looks at the positions the size before has left.
     """
@@ -198,8 +199,10 @@ def repeated_phrases(text: Column, p: Profile = V2, s: Column | None = None) ->
     def of_sizes(st: Column, positions: Column, sizes: tuple[int, ...]) -> Column:
         size = sizes[0]
         fitting = F.filter(positions, lambda i: i <= F.size(st["w"]) - size)
-        sorted_keys = F.sort_array(F.transform(fitting, lambda i: _keyed(st["w"], i, size)))
-        frequent = let(sorted_keys, lambda g: F.filter(g, _frequent_key(g, p.min_repeats)))
+        hashed = F.sort_array(F.transform(fitting, lambda i: _hashed(st["w"], i, size)))
+        likely = let(hashed, lambda g: F.filter(g, _frequent_key(g, p.min_repeats, _hash)))
+        sorted_keys = F.sort_array(F.transform(likely, lambda h: _keyed(st["w"], _position(h), size)))
+        frequent = let(sorted_keys, lambda g: F.filter(g, _frequent_key(g, p.min_repeats, lambda x: x["key"])))
 
         def counted_and_longer(kept: Column) -> Column:
             counted = _by_group(kept, lambda members: _counted(text, st, members, size, p))
@@ -226,18 +229,34 @@ def _gram(seq: Column, i: Column, size: int) -> list[Column]:
     return [F.get(seq, i + d) for d in range(size)]
 
 
-def _keyed(seq: Column, i: Column, size: int) -> Column:
+def _key_parts(seq: Column, i: Column, size: int) -> list[Column]:
     first, *inner, last = _gram(seq, i, size)
-    key = F.concat_ws(" ", F.substring(first, -1, 1), *inner, F.substring(last, 1, 1))
-    return F.struct(key.alias("key"), i.alias("i"))
+    return [F.substring(first, -1, 1), *inner, F.substring(last, 1, 1)]
+
+
+def _keyed(seq: Column, i: Column, size: int) -> Column:
+    return F.struct(F.concat_ws(" ", *_key_parts(seq, i, size)).alias("key"), i.alias("i"))
+
+
+def _hashed(seq: Column, i: Column, size: int) -> Column:
+    """The key's hash in the upper half of a number, the position in the lower half."""
+    return F.shiftleft(F.hash(*_key_parts(seq, i, size)).cast("bigint"), 32) + i
+
+
+def _hash(x: Column) -> Column:
+    return F.shiftright(x, 32)
+
+
+def _position(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
-def _frequent_key(grouped: Column, k: int):
+def _frequent_key(grouped: Column, k: int, key):
     """Test of ``filter``: in a sorted group of k or more, the ends of some k neighbours share the member's key."""
 
     def test(x: Column, i: Column) -> Column:
         windows = [
-            reduce(lambda a, b: a & b, [F.get(grouped, i + d)["key"] == x["key"] for d in (lo, lo + k - 1) if d != 0])
+            reduce(lambda a, b: a & b, [key(F.get(grouped, i + d)) == key(x) for d in (lo, lo + k - 1) if d != 0])
             for lo in range(1 - k, 1)
         ]
         return F.coalesce(reduce(lambda a, b: a | b, windows), F.lit(False))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 # The white space that Python's strip() and split() know; the same class works in Java and RE2.
 BLANK_CLASS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANKS = "".join(ch for ch in map(chr, range(0x3001)) if re.match(f"[{BLANK_CLASS}]", ch))
-BLANK_RUN = f"[{BLANK_CLASS}]+"
+# Blanks as Java finds them fastest: one range lets most letters go before all others are tried.
+_BLANK = f"[\\x00-\\x20\\x7f-\\u3000&&[{BLANK_CLASS}]]"
+BLANK_RUN = f"{_BLANK}+"
 
 # Numbers as Python's float() reads them once stripped and lower-cased.
 PY_FLOAT = r"^[+-]?(([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?|inf|infinity|nan)\z"
@@ -54,7 +56,8 @@ def words(c: Column) -> Column:
 
 
 # A gap between words that is anything but one space.
-OTHER_GAP = f" ?[{BLANK_CLASS.replace(chr(32), chr(31))}][{BLANK_CLASS}]*| [{BLANK_CLASS}]+"
+_OTHER_BLANK = f"[\\x00-\\x1f\\x7f-\\u3000&&[{BLANK_CLASS.replace(chr(32), chr(31))}]]"
+OTHER_GAP = f" {_BLANK}+|{_OTHER_BLANK}{_BLANK}*"
 
 
 def words_in_stretches(c: Column) -> Column:

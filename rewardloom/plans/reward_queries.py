@@ -207,8 +207,10 @@ def k8_records(t: Tables) -> DataFrame:
     """One record per text: its start and all phrases that were let pass."""
     found = F.filter(repetition.repeated_phrases(F.col("text"), AUDIT), lambda c: c["whitelisted"])
     excerpt = F.concat(F.substring("text", 1, 500), F.when(F.length("text") > 500, "...").otherwise(""))
-    rows = t.scripted_documents.select("doc_id", excerpt.alias("excerpt"), F.sort_array(F.transform(found, lambda c: c["phrase"])).alias("l"))
-    return rows.where(F.size("l") > 0).select("doc_id", "excerpt", F.array_join("l", "|").alias("phrases"))
+    # Taken out of an array of one, as a filter on the phrases would be pushed below them and look for them a second time.
+    listed = F.array(F.sort_array(F.transform(found, lambda c: c["phrase"])))
+    rows = t.scripted_documents.select("doc_id", excerpt.alias("excerpt"), F.explode(F.filter(listed, lambda l: F.size(l) > 0)).alias("l"))
+    return rows.select("doc_id", "excerpt", F.array_join("l", "|").alias("phrases"))
 
 
 # The detectors read generations in place of the scripted documents.

@@ -145,6 +145,23 @@ def test_whitelisted_phrases_are_reported_but_not_weighed(evaluate):
     assert evaluate([text], repetition.phrases(evaluate.t)) == [brute.phrase_weight(text, V2.whitelist)]
 
 
+def test_phrases_of_a_record_are_looked_for_once(spark):
+    from rewardloom.plans.catalog import QUERIES
+
+    plan = QUERIES["k8_whitelist_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # The key's positions are hashed once for each size of phrases.
+    assert plan.count("shiftleft(hash(") == len(V2.phrase_words) and "Filter (size(" not in plan
+
+
+def test_words_end_at_every_blank(evaluate):
+    from rewardloom.functions.text import BLANKS, words, words_in_stretches
+
+    rows = [f"a{b}b {b}c{b}{b}d{b} e \u200bf\x7fg" for b in BLANKS]
+    got = evaluate(rows, words(evaluate.t), words_in_stretches(evaluate.t))
+    for row, (plain, s) in zip(rows, got):
+        assert plain == s["w"] == row.split() and len(s["stretch"]) == len(plain), repr(row)
+
+
 LINES = ["The total cost is five dollars.", "We add two numbers!", "Cost of five apples", "", "5", "a b c", "привет мир",
          "five five cost", "Ünïcode straße two", "x жж", "ж xx"]
 
