@@ -22,11 +22,19 @@ from rewardloom.sources import generate
 from rewardloom.streaming import jobs
 
 
+#: Generations of one file: about as many as a core scores in half a minute.
+FILE_ROWS = 10_000
+
+
 def generation_stream(t: Tables) -> DataFrame:
-    """The generations as a stream of files; one run per file set, few files per trigger."""
-    path = t.work("incoming")
-    t.generations.repartition(4, "run", "step").write.parquet(path)
-    return jobs.read_stream(t.spark, path, t.spark.read.parquet(path).schema, max_files=2)
+    """The generations as a stream of files, at least two micro-batches of them.
+
+    A file is a task, so a trigger takes as many as there are cores; larger tables come as more files of the same size.
+    """
+    path, cores = t.work("incoming"), max(2, t.spark.sparkContext.defaultParallelism)
+    rows = t.generations.repartition(2 * cores, "run", "step", "sample_id")
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    return jobs.read_stream(t.spark, path, rows.schema, max_files=cores)
 
 
 def metric_stream(t: Tables) -> DataFrame:

@@ -168,3 +168,19 @@ def test_every_batch_is_validated_and_reported(spark):
     ).awaitTermination()
     assert seen == [4, 4, 4]
     assert spark.read.parquet(out).agg(F.sum("correct")).first()[0] == 9
+
+
+def test_generations_arrive_in_a_file_for_every_core_and_batch(spark):
+    """Four files and two a trigger left all cores but two idle, however large the table."""
+    from pathlib import Path
+
+    from rewardloom.plans.fixtures import Tables
+    from rewardloom.plans.stream_queries import FILE_ROWS, generation_stream
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    folders = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("rewardloom/incoming-*"))
+    generation_stream(t)
+    (new,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("rewardloom/incoming-*")) - folders
+    written = spark.read.parquet(str(new))
+    assert len(list(new.glob("*.parquet"))) == 2 * max(2, spark.sparkContext.defaultParallelism)
+    assert written.count() == t.generations.count() and FILE_ROWS >= written.groupBy(F.input_file_name()).count().agg(F.max("count")).head()[0]
