@@ -103,13 +103,16 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<bigint>>, kept_text string"
 
 
-def _cut(texts: DataFrame, window: int, carried: list[str]) -> DataFrame:
-    """Results for rows of doc_id, text, copy (removed whole) and starts (of windows that repeat, or null)."""
+def _cut(texts: DataFrame, window: int, carried: list[str], marked: Bloom | None = None) -> DataFrame:
+    """Results for rows of doc_id, text, copy (removed whole) and starts (of windows that repeat, or null); none for those whose
+    doc_id may be among the ``marked``, which leave here, as another Python step before this one would double the workers."""
     kinds = ", ".join(f"{name} {kind}" for name, kind in texts.select(*carried).dtypes) if carried else ""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
+            if marked is not None:
+                batch = batch.filter(pa.array(~_maybe(batch, marked)))
             out: list[list] = [[], [], [], [], []]
             columns = (batch.column(c).to_pylist() for c in ("text", "copy", "starts"))
             for text, copy, starts in zip(*columns, strict=True):
@@ -162,14 +165,18 @@ def _marked_windows(texts: DataFrame, window: int, repeated: Bloom | None = None
     return texts.select("doc_id", "t", "text", "anchors").mapInArrow(run, schema if repeated is None else f"{schema}, t long, pos int")
 
 
-def _among(docs: DataFrame, marked: Bloom, wanted: bool) -> DataFrame:
-    """The rows whose doc_id may be (or cannot be) among the marked ones; none that is null may be."""
+def _maybe(batch: pa.RecordBatch, marked: Bloom) -> np.ndarray:
+    """Which rows' doc_id may be among the marked ones; none that is null may be."""
+    doc = batch.column("doc_id")
+    return marked.holds(doc.fill_null(0).to_numpy()) & doc.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _among(docs: DataFrame, marked: Bloom) -> DataFrame:
+    """The rows whose doc_id may be among the marked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
-            held = marked.holds(doc.fill_null(0).to_numpy()) & doc.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(held == wanted))
+            yield batch.filter(pa.array(_maybe(batch, marked)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -199,9 +206,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
 
     marked = bloom(stored(marks.select("doc_id").distinct(), "marked"))
     none = F.lit(None).cast("array<int>").alias("starts")
-    clean = _among(docs, marked, False).select("doc_id", "text", F.lit(False).alias("copy"), none, "carried")
+    clean = docs.select("doc_id", "text", F.lit(False).alias("copy"), none, "carried")
 
-    met = _among(docs, marked, True).withColumn("t", F.xxhash64("text")).join(marks, ["doc_id", "t"], "left")
+    met = _among(docs, marked).withColumn("t", F.xxhash64("text")).join(marks, ["doc_id", "t"], "left")
     copy = F.coalesce(F.array_contains("copied", F.md5(F.col("text").cast("binary"))), F.lit(False))
     met = met.select("doc_id", "t", "text", "carried", "anchors", copy.alias("copy"))
     met = stored(met.withColumn("open", ~F.col("copy") & F.col("anchors").isNotNull()), "met")
@@ -214,7 +221,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, .
     later = windows.join(least.hint("shuffle_hash"), ["g", "h"]).where("doc_id > a")
     starts = later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("starts"))
     extended = open_texts.join(starts, ["doc_id", "t"], "left").select("doc_id", "text", "copy", "starts", "carried")
-    parts = [_cut(texts, window, ["carried"]) for texts in (clean, closed, extended)]
+    parts = [_cut(clean, window, ["carried"], marked), *[_cut(texts, window, ["carried"]) for texts in (closed, extended)]]
     result = parts[0].union(parts[1]).union(parts[2])
     return result if carried else result.drop("carried")
 

@@ -6,6 +6,7 @@ is made per word. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,8 +28,19 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def give_back() -> None:
+    """Return free memory to the system. Python workers outlive their tasks, and what they keep adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    # glibc's call; other C libraries have none.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in runs of at most ``most`` bytes of ``column`` (or one row)."""
+    """The rows of ``batches`` in runs of at most ``most`` bytes of ``column`` (or one row). Free memory is given back before the
+    first, when what the worker's last task held has gone, and behind the last."""
+    give_back()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -39,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, upto - at)
             at, base = upto, int(ends[upto - 1])
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +113,41 @@ def test_a_filter_lets_all_its_keys_through_and_few_others(spark):
     assert not bloom(keys.where("false")).holds(np.arange(10)).any()
     # A full filter lets more through, but loses none.
     assert bloom(keys, most=2**20).holds(np.arange(100_000) * 7919 - 5).all()
+
+
+def test_no_stage_runs_two_python_steps(table):
+    line = " ".join(f"w{i}" for i in range(60))
+    df = substrings.substring_dedup(table([(1, line), (2, line + " more"), (3, "short")]), carried=("lang",))
+    df.collect()
+    # A plan names a step above the one it reads from; a scan or an exchange ends the stage.
+    inside = False
+    for step in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        if "MapInArrow" in step:
+            assert not inside, step
+            inside = True
+        elif "Scan" in step or "Exchange" in step:
+            inside = False
+
+
+def test_slices_give_free_memory_back():
+    # In a process of its own, whose memory nothing else moves: blocks too small to be mapped alone are freed between some that stay.
+    code = """
+import os
+import pyarrow as pa
+from rewardloom.llm import words as W
+
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+list(W.slices(iter([batch])))
+held = [bytearray(10_000) for _ in range(20_000)]
+full = resident()
+del held[1::2], held[:-1:2]
+held = held[::50]
+list(W.slices(iter([batch])))
+print(full - resident())
+"""
+    root = Path(substrings.__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert int(out) > 120e6
