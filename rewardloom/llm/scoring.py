@@ -43,8 +43,8 @@ WIDTH, HIDDEN = 16, 32
 #: A place is learnt from in one of so many rounds; there are as many rounds, so none is left out.
 SHARE = 2
 ROUNDS = 2
-#: Tokens predicted at once, and learnt from at once.
-BATCH = 4096
+#: Tokens predicted at once, whose arrays fit a core's cache, and learnt from at once.
+BATCH = 1024
 STEP = 1024
 #: Weights travel in so many blocks.
 BLOCKS = 16
@@ -106,13 +106,19 @@ class Vocabulary:
     def __init__(self, frequent: np.ndarray, grid: int = GRID):
         order = np.argsort(frequent)
         self.hashes, self.numbers, self.known, self.none = frequent[order], order, known_of(grid), grid * grid
+        # Hashes are looked up by their first bits: few known ones share these, and each is compared whole.
+        bits = max(1, 2 + len(frequent).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.hashes >> self.shift, np.arange(2**bits, dtype=np.uint64))
+        self.most = int(np.diff(np.append(self.begins, len(frequent))).max())
 
     def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.known + (hashes % np.uint64(self.none - self.known)).astype(np.int64)
-        if not len(self.hashes):
-            return other
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], other)
+        out = self.known + (hashes % np.uint64(self.none - self.known)).astype(np.int64)
+        begin = self.begins[hashes >> self.shift]
+        for k in range(self.most):
+            at = np.minimum(begin + k, len(self.hashes) - 1)
+            np.copyto(out, self.numbers[at], where=self.hashes[at] == hashes)
+        return out
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,80 +126,113 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.Hasher().words(w, W.lowered(w.data)), w.first
 
 
+STEPS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+
+
+def padded(numbers: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with ``SIDE`` times ``none`` before, between and behind the texts, and where each word lies among them."""
+    place = np.arange(len(numbers)) + SIDE * (W.owners(first) + 1)
+    out = np.full(len(numbers) + SIDE * len(first), none, np.int64)
+    out[place] = numbers
+    return out, place
+
+
 def contexts(numbers: np.ndarray, first: np.ndarray, at: np.ndarray, none: int = KNOWN + OTHER) -> np.ndarray:
     """The numbers around the words at ``at``, the number ``none`` for no word beyond a text's ends."""
-    text = np.searchsorted(first, at, side="right") - 1
-    columns = []
-    for step in (*range(-SIDE, 0), *range(1, SIDE + 1)):
-        other = at + step
-        inside = (other >= first[text]) & (other < first[text + 1])
-        columns.append(np.where(inside, numbers[np.clip(other, 0, len(numbers) - 1)], none))
-    return np.column_stack(columns)
+    line, place = padded(numbers, first, none)
+    return line[place[at][:, None] + STEPS]
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and all probabilities."""
-    x -= x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(axis=1)
-    rows = np.arange(len(x))
-    return x[rows, target] - np.log(total), e / total[:, None]
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and all probabilities before and by their division. A column is a place: sums over
+    columns' entries run along the memory."""
+    x -= x.max(axis=0)
+    chosen = x[target, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return chosen - np.log(total), x, total
 
 
 def forward(w: Weights, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log-probabilities of the targets between their contexts, and what ``gradients`` needs."""
     row, column = np.divmod(target, len(w.row_bias))
-    x = w.embed[around].reshape(len(around), -1)
-    h = np.tanh(x @ w.hidden + w.hidden_bias)
-    log_row, p_row = _softmax(h @ w.row + w.row_bias, row)
-    k = h + w.of_row[row]
-    log_column, p_column = _softmax(k @ w.column + w.column_bias, column)
-    return log_row + log_column, (around, row, column, x, h, p_row, k, p_column)
+    x = w.embed.take(around.ravel(), axis=0).reshape(len(around), -1)
+    h = x @ w.hidden
+    h += w.hidden_bias
+    np.tanh(h, out=h)
+    of_rows = w.row.T @ h.T
+    of_rows += w.row_bias[:, None]
+    log_row, p_row, sum_row = _softmax(of_rows, row)
+    k = w.of_row.take(row, axis=0)
+    k += h
+    of_columns = w.column.T @ k.T
+    of_columns += w.column_bias[:, None]
+    log_column, p_column, sum_column = _softmax(of_columns, column)
+    return log_row + log_column, (around, row, column, x, h, p_row, sum_row, k, p_column, sum_column)
 
 
 def gradients(w: Weights, held: tuple) -> Weights:
     """The gradient of the mean log-loss."""
-    around, row, column, x, h, p_row, k, p_column = held
-    n, rows = len(x), np.arange(len(x))
-    p_row[rows, row] -= 1
-    p_column[rows, column] -= 1
-    p_row /= n
-    p_column /= n
-    dk = p_column @ w.column.T
-    dh = p_row @ w.row.T + dk
-    dz = dh * (1 - h * h)
+    around, row, column, x, h, p_row, sum_row, k, p_column, sum_column = held
+    n = len(x)
+    places, one = np.arange(n), x.dtype.type(1 / n)
+    of_places = np.zeros_like(p_row)
+    of_places[row, places] = 1
+    p_row *= one / sum_row
+    p_column *= one / sum_column
+    p_row[row, places] -= one
+    p_column[column, places] -= one
+    dk = p_column.T @ w.column.T
+    dz = p_row.T @ w.row.T
+    dz += dk
+    slope = h * h
+    np.subtract(1, slope, out=slope)
+    dz *= slope
     dx = (dz @ w.hidden.T).reshape(-1, WIDTH)
-    of_row = np.zeros_like(w.of_row)
-    np.add.at(of_row, row, dk)
     embed = np.zeros_like(w.embed)
-    # Sorted and summed in runs, which takes half the time of adding at each place.
-    order = np.argsort(around, axis=None, kind="stable")
-    number = around.ravel()[order]
-    runs = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-    embed[number[runs]] = np.add.reduceat(dx[order], runs, axis=0)
-    return Weights(embed, x.T @ dz, dz.sum(axis=0), h.T @ p_row, p_row.sum(axis=0), of_row, k.T @ p_column, p_column.sum(axis=0))
+    # Two numbers are added at once, as one complex number, which takes less time than sorting the places and summing runs.
+    pairs = np.result_type(dx, np.complex64)
+    at = around.reshape(-1, 1) * (WIDTH // 2) + np.arange(WIDTH // 2)
+    np.add.at(embed.view(pairs).ravel(), at.ravel(), dx.view(pairs).ravel())
+    of_hidden, of_row, of_column = x.T @ dz, (p_row @ h).T, (p_column @ k).T
+    return Weights(embed, of_hidden, dz.sum(axis=0), of_row, p_row.sum(axis=1), of_places @ dk, of_column, p_column.sum(axis=1))
 
 
 class Adam:
+    """All weights are one array, which ``w`` shows in parts, so that a step is a few passes over it."""
+
     def __init__(self, w: Weights, rate: float = 0.01):
-        self.w, self.rate, self.step = Weights(*[x.copy() for x in w]), rate, 0
-        self.m, self.v = ([np.zeros_like(x) for x in w] for _ in range(2))
+        self.all, self.rate, self.step = w.flat(), rate, 0
+        ends = np.cumsum([x.size for x in w])[:-1]
+        self.w = Weights(*[part.reshape(x.shape) for part, x in zip(np.split(self.all, ends), w, strict=True)])
+        self.m, self.v, self.g, self.by = (np.zeros_like(self.all) for _ in range(4))
 
     def learn(self, around: np.ndarray, target: np.ndarray) -> None:
         _, held = forward(self.w, around, target)
         self.step += 1
         down1, down2 = 1 - 0.9**self.step, 1 - 0.99**self.step
-        for x, g, m, v in zip(self.w, gradients(self.w, held), self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= self.rate * (m / down1) / (np.sqrt(v / down2) + 1e-8)
+        g, m, v, by = self.g, self.m, self.v, self.by
+        np.concatenate([x.ravel() for x in gradients(self.w, held)], out=g)
+        m *= 0.9
+        np.multiply(g, 0.1, out=by)
+        m += by
+        v *= 0.99
+        by *= g
+        by *= 0.1
+        v += by
+        np.multiply(v, 1 / down2, out=by)
+        np.sqrt(by, out=by)
+        by += 1e-8
+        np.divide(m, by, out=by)
+        by *= self.rate / down1
+        self.all -= by
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """Hash ``h`` and count ``n`` of every word of all texts, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches):
+        for batch in W.slices(batches, most=4 * W.SLICE_BYTES):
             found, counts = np.unique(_hashed(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "n"])
 
@@ -318,7 +357,9 @@ SCORES = "doc_id long, n_tokens long, log_likelihood double"
 def _rare(hashes: np.ndarray, mine: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     """For each of ``n`` texts its words of those at ``mine`` with how often it holds them."""
     h, text = hashes[mine], owner[mine]
-    order = np.lexsort((h, text))
+    order = np.argsort(h)
+    # Short numbers of texts are sorted by their digits.
+    order = order[np.argsort(text[order].astype(np.min_scalar_type(n)), kind="stable")]
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -337,10 +378,10 @@ def scored(docs: DataFrame, frequent: np.ndarray, flat: np.ndarray, counts: Data
         for batch in W.slices(batches):
             hashes, first = _hashed(batch.column("text"))
             numbers = words.numbers_of(hashes)
+            line, place = padded(numbers, first, words.none)
             found = np.zeros(len(numbers))
             for a in range(0, len(numbers), BATCH):
-                at = np.arange(a, min(a + BATCH, len(numbers)))
-                found[at] = forward(w, contexts(numbers, first, at, words.none), numbers[at])[0]
+                found[a : a + BATCH] = forward(w, line[place[a : a + BATCH, None] + STEPS], numbers[a : a + BATCH])[0]
             n, owner = np.diff(first), W.owners(first)
             total = np.bincount(owner, found, len(n))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64())]

@@ -155,3 +155,47 @@ def test_known_words_grow_with_the_corpus(table, monkeypatch):
     assert len(frequent) == 3675 and scoring.weights(flat).row.shape == (scoring.HIDDEN, 70)
     r = scoring.scored(docs, frequent, flat, counts).first()
     assert r.n_tokens == 5000 and -20 < r.mean_log_likelihood < 0
+
+
+def test_words_are_looked_up_by_their_first_bits():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 2**64, 5000, np.uint64)
+    # Hashes that share their first bits, and the least and greatest.
+    close = hashes[:40] ^ np.uint64(1)
+    hashes = np.concatenate((hashes, close, np.array([0, 2**64 - 1], np.uint64)))
+    for n in (0, 1, 300, scoring.KNOWN):
+        frequent = rng.permutation(np.unique(np.concatenate((hashes[:n], hashes[-42:] if n > 100 else hashes[:0]))))[: scoring.KNOWN]
+        number = {h: i for i, h in enumerate(frequent.tolist())}
+        want = [number.get(h, scoring.KNOWN + h % scoring.OTHER) for h in hashes.tolist()]
+        words = scoring.Vocabulary(frequent)
+        assert words.numbers_of(hashes).tolist() == want
+        # A few comparisons a word, not a search among all known ones.
+        assert words.most <= 8
+
+
+def test_contexts_end_with_their_texts():
+    numbers, first = np.arange(9), np.array([0, 0, 3, 3, 4, 9, 9])
+    found = scoring.contexts(numbers, first, np.arange(9), 99).tolist()
+    texts = [list(range(a, b)) for a, b in zip(first[:-1], first[1:])]
+    want = [[t[i + s] if 0 <= i + s < len(t) else 99 for s in (-2, -1, 1, 2)] for t in texts for i in range(len(t))]
+    assert found == want
+
+
+def test_a_step_of_adam_by_its_formula():
+    rng = np.random.default_rng(6)
+    w = scoring.first_weights()
+    adam, plain = scoring.Adam(w), [x.astype(np.float64) for x in w]
+    m, v = ([np.zeros_like(x) for x in plain] for _ in range(2))
+    assert all(x.base is not None and np.shares_memory(x, adam.all) for x in adam.w)
+    for step in range(1, 4):
+        around, target = rng.integers(0, scoring.KNOWN, (300, 4)), rng.integers(0, scoring.KNOWN, 300)
+        double = scoring.Weights(*plain)
+        grads = scoring.gradients(double, scoring.forward(double, around, target)[1])
+        for x, g, a, b in zip(plain, grads, m, v):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            x -= 0.01 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        adam.learn(around, target)
+    # In single precision, a gradient near zero may take its step the other way.
+    for x, y in zip(plain, adam.w):
+        assert np.mean(np.abs(x - y) > 1e-4) < 0.01
